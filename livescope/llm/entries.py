@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from .common import ship_package
 from .exact_dedup import OP3_SQL, op3_exact_dedup
-
-_QUERIES = {"op3_exact_dedup": op3_exact_dedup}
-_SQL = {"op3_exact_dedup": OP3_SQL}
+from .simhash import op4_simhash
+from .substring_dedup import OP9_SQL, op9_substring_dedup
+
+_QUERIES = {
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_simhash": op4_simhash,
+    "op9_substring_dedup": op9_substring_dedup,
+}
+_SQL = {"op3_exact_dedup": OP3_SQL, "op9_substring_dedup": OP9_SQL}
 
 
 def _run(query):
