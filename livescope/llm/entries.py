@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 from .common import ship_package
+from .bpe import op7_bpe
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .iblt import op10_fingerprints
+from .lm_score import OP1_SQL, op1_lm_score
+from .packing import op8_packing
+from .quality import op5_quality
 from .simhash import op4_simhash
 from .substring_dedup import OP9_SQL, op9_substring_dedup
+from .suffix_dedup import op2_suffix_dedup
+from .toxicity import op6_toxicity
 
 _QUERIES = {
+    "op1_lm_score": op1_lm_score,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
+    "op7_bpe": op7_bpe,
+    "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_fingerprints": op10_fingerprints,
 }
-_SQL = {"op3_exact_dedup": OP3_SQL, "op9_substring_dedup": OP9_SQL}
+_SQL = {"op1_lm_score": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op9_substring_dedup": OP9_SQL}
 
 
 def _run(query):
