@@ -21,6 +21,8 @@ order of their texts' hashes. A single document is its own next. Other columns a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -62,6 +64,11 @@ def _add(a: Column, n: Column, x: Column) -> Column:
     return F.struct((a.n + n).alias("n"), a.k.bitwiseXOR(x.k).alias("k"), a.c.bitwiseXOR(x.c).alias("c"))
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def sketch(items: Column, cells: int) -> Column:
     """array<struct<n, k, c>> of all rows' cells."""
 
@@ -84,13 +91,15 @@ def peeled(cells_left: Column, cells: int, rounds: int) -> Column:
     def step(state: Column, _: Column) -> Column:
         pure = F.filter(state.cells, lambda c: (F.abs(c.n) == 1) & (_check(c.k) == c.c))
         new = F.array_distinct(F.transform(pure, lambda c: F.struct(c.n.alias("n"), _item(c.k, cells).alias("x"))))
+        return _with(new, lambda found: F.when(F.size(found) == 0, state).otherwise(taken(state, found)))
 
+    def taken(state: Column, new: Column) -> Column:
         def without(c: Column, i: Column) -> Column:
             here = F.filter(new, lambda p: (p.x.p0 == i) | (p.x.p1 == i) | (p.x.p2 == i))
             return F.aggregate(here, c, lambda a, p: _add(a, -p.n, p.x))
 
         found = F.concat(state.found, F.transform(new, lambda p: F.struct(p.n.alias("n"), p.x.k.alias("k"))))
-        return F.when(F.size(new) == 0, state).otherwise(F.struct(F.transform(state.cells, without).alias("cells"), found.alias("found")))
+        return F.struct(F.transform(state.cells, without).alias("cells"), found.alias("found"))
 
     start = F.struct(cells_left.alias("cells"), F.expr("cast(array() as array<struct<n: int, k: bigint>>)").alias("found"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
