@@ -88,6 +88,13 @@ def exact_dedup(
     )
 
 
+def first_copies(docs: DataFrame) -> DataFrame:
+    """The rows and columns of docs whose document is the first of its equals."""
+    gone = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
+    sha = F.sha2(normalised(text_of(docs)).cast("binary"), 256)
+    return docs.join(stored(gone, "later-copies"), docs["doc_id"].eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha")), "left_anti")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).drop("n_chunks")
 

@@ -68,6 +68,8 @@ def _ask(batch: pa.Table, order: int, buckets: int) -> pa.Table:
     rows = []
     for n, own in enumerate(_grams(batch.column("text").to_pylist(), order)[1], 1):
         hashes, counts = np.unique(own[own != 0], return_counts=True)
+        if not len(hashes):
+            continue
         bucket = _bucket(hashes, buckets)
         first = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
         for a, b in zip(first, [*first[1:], len(hashes)], strict=True):

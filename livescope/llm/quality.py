@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,6 +172,16 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return base.mapInArrow(rows, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows and columns of docs with a score of at least 0.5."""
+
+    @F.pandas_udf("double")
+    def scores(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.array([features(t) for t in texts]).reshape(len(texts), -1)))
+
+    return docs.where(scores(text_of(docs)) >= 0.5)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_mod(F.col("doc_id"), 3) != 1)

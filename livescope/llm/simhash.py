@@ -108,6 +108,13 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def first_of_groups(docs: DataFrame, width: int = 5, distance: int = 2) -> DataFrame:
+    """The rows and columns of docs of which no smaller doc_id is in their component."""
+    found = near_dedup(docs, width=width, distance=distance)
+    gone = found.where(id_of(found) > F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(stored(gone, "later-near-copies"), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

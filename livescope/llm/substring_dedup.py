@@ -154,10 +154,8 @@ def repeated_spans(
     return keyed, spans
 
 
-def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50, **sketch: int) -> DataFrame:
-    """doc_id, n_words, n_removed, removed (spans of word places, both ends in), kept_text (words joined by one space)."""
-    keyed, spans = repeated_spans(docs, doc_id, text, window, **sketch)
-    lists = stored(spans.distinct().groupBy("rid", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+def _cut(texts: DataFrame) -> DataFrame:
+    """texts(text, spans, ...) with cut: what is left of each text, and what went."""
 
     @F.pandas_udf("n_words long, n_removed long, removed array<struct<first: int, last: int>>, kept_text string")
     def cut(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
@@ -177,8 +175,33 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             rows.append((len(words), int(gone.sum()), runs, kept.decode()))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "removed", "kept_text"])
 
-    joined = keyed.join(lists, ["rid", "th"], "left")
-    return joined.select("doc_id", cut("text", "spans").alias("cut")).select("doc_id", "cut.*")
+    return texts.withColumn("cut", cut("text", "spans"))
+
+
+def _lists(spans: DataFrame) -> DataFrame:
+    return stored(spans.distinct().groupBy("rid", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+
+
+def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50, **sketch: int) -> DataFrame:
+    """doc_id, n_words, n_removed, removed (spans of word places, both ends in), kept_text (words joined by one space)."""
+    keyed, spans = repeated_spans(docs, doc_id, text, window, **sketch)
+    return _cut(keyed.join(_lists(spans), ["rid", "th"], "left")).select("doc_id", "cut.*")
+
+
+def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+    """The rows and columns of docs, with repeated words cut from text and n_chars counted anew.
+
+    Texts that lose nothing stay as they are; a document that loses all its words goes.
+    """
+    _, spans = repeated_spans(docs, window=window)
+    whole = docs.select(
+        id_of(docs).alias("rid"), F.hash(text_of(docs)).alias("th"), text_of(docs).alias("text"), F.struct(*docs.columns).alias("row")
+    )
+    cut = _cut(whole.join(_lists(spans), ["rid", "th"], "left")).where("cut.n_removed = 0 or cut.n_removed < cut.n_words")
+    text = F.when(F.col("cut.n_removed") > 0, F.col("cut.kept_text")).otherwise(F.col("row.text"))
+    n_chars = F.when(F.col("cut.n_removed") > 0, F.char_length("cut.kept_text").cast("long")).otherwise(F.col("row.n_chars"))
+    made = {"text": text, "n_chars": n_chars}
+    return cut.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,10 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     sample = held.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "terms", "counts").distinct().collect()
     sample = sorted((r.doc_id, r.y, list(r.terms), list(r.counts)) for r in sample)
     index = Index([e for e in sample if e[2]], idf)
-    votes = np.array([index.vote(index.nearest(e[2], e[3], k, without=e[0])) for e in sample])
-    y = np.array([e[1] for e in sample])
+    votes = np.array([index.vote(index.nearest(e[2], e[3], k, without=e[0])) for e in sample], float)
+    y = np.array([e[1] for e in sample], int)
     each = np.array([shares[v] / max((y == v).sum(), 1) for v in (0, 1)])[y]
-    curve = _newton(np.column_stack([votes, np.ones(len(votes))]), y.astype(float), each / each.mean(), ridge=0.05)
+    curve = _newton(np.column_stack([votes, np.ones(len(votes))]), y.astype(float), each / each.mean() if len(each) else each, ridge=0.05)
     return Model(index, curve, k, terms), held
 
 
