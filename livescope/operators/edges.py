@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -69,3 +69,10 @@ def class_edges(agg: DataFrame) -> DataFrame:
         F.sum("observations").alias("observations"), F.count("*").alias("edges"), (F.min("min_rate") != F.max("max_rate")).alias("mixed"),
         F.count_if(F.col("caller_cls") == F.col("callee_cls")).alias("inside"),
     )
+
+
+def recommended_rate(entries: Column, target: int = 20, most: int = 65_536) -> Column:
+    """The power of two that would have sampled about ``target`` of the root entries."""
+    want = F.floor(entries / target)
+    highest = F.when(want < 1, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(want)) - 1))
+    return F.least(F.greatest(highest, F.lit(1)), F.lit(most))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.buckets import bucket_high, bucket_index, bucket_low
+from ..functions.names import denied_name, test_markers
 from ..functions.redaction import denied_number, denied_text, mask_path
-from ..operators import admission, coverage, edges, graph, inventory, ledger, phases, profile, traces
+from ..operators import admission, coverage, edges, graph, inventory, ledger, phases, profile, traces, verdict
 from ..sources import derived as d
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -615,3 +617,219 @@ def l12(spark, sf):
 @query("L13", f"WITH {d.CALL_EVENTS} SELECT event_id, length(CAST(abs(nanos * 40) AS VARCHAR)) >= 12 OR (length(CAST(abs(nanos * 40) AS VARCHAR)) = 10 AND CAST(abs(nanos * 40) AS VARCHAR)[1] IN ('6', '7', '8', '9')) AS denied FROM ce")
 def l13(spark, sf):
     return d.call_events(spark, sf).select("event_id", denied_number(F.col("nanos") * 40).alias("denied"))
+
+
+# ---- G7-G11, K4-K6: verdicts, with facts derived for every part
+
+
+def _facts(spark, sf):
+    m = d.methods(spark, sf)
+    li = d.read(spark, sf, "lineitem")
+    observed = li.where("l_quantity >= 49 and l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("observed", F.lit(True))
+    inbound = li.where("l_discount >= 0.1 and l_quantity < 5").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count_distinct("l_suppkey").alias("inbound_edges"))
+    loaded = m.groupBy("cls").agg(F.bool_or(F.col("p_partkey") % 3 != 0).alias("class_loaded"))
+    k = F.col("p_partkey")
+    return (
+        inventory.match_rules(m, _RULES[:2]).join(observed, "p_partkey", "left").join(inbound, "p_partkey", "left").join(loaded, "cls")
+        .withColumns(
+            {
+                "suppressed": F.col("rule_no").isNotNull(),
+                "eligibility": F.when(~F.col("observable"), verdict.NOT_OBSERVABLE).when(k % 31 == 0, verdict.DE_INSTRUMENTED).otherwise(verdict.OBSERVABLE),
+                "installed": F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, False).otherwise(True).cast("boolean"),
+                "observed": F.coalesce("observed", F.lit(False)),
+                "inbound_edges": F.coalesce("inbound_edges", F.lit(0)),
+                "static_reachable": F.when(k % 5 == 0, True).when(k % 5 < 4, False).cast("boolean"),
+                "edges_reported": F.lit(True),
+                "usable_windows": F.when(F.col("artifact") == "Brand#3", 0).otherwise(4),
+                "excluded_windows": k % 2,
+                "phases_missing": F.col("artifact").isin("Brand#4", "Brand#5"),
+                "window_days": F.lit(4),
+                "min_window_days": F.when(F.col("artifact") == "Brand#6", 5).otherwise(0),
+                "rule_class_disabled": F.col("artifact") == "Brand#7",
+                "rate_limited": k % 41 == 0,
+            }
+        )
+    )
+
+
+_FACTS = f"""{d.METHODS}, ob AS (SELECT DISTINCT l_partkey AS p_partkey, true AS seen FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'R'),
+ie AS (SELECT l_partkey AS p_partkey, count(DISTINCT l_suppkey) AS n_in FROM lineitem WHERE l_discount >= 0.1 AND l_quantity < 5 GROUP BY ALL),
+lo AS (SELECT cls, bool_or(p_partkey % 3 <> 0) AS class_loaded FROM me GROUP BY cls),
+fa AS (SELECT me.*, starts_with(cls, 'p.Brand#1') OR regexp_full_match(name, 'm1.') AS suppressed,
+  CASE WHEN NOT observable THEN 'NOT_DYNAMICALLY_OBSERVABLE' WHEN p_partkey % 31 = 0 THEN 'DE_INSTRUMENTED' ELSE 'OBSERVABLE' END AS eligibility,
+  CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey % 7 <> 1 END AS installed, coalesce(seen, false) AS observed, coalesce(n_in, 0) AS inbound_edges, class_loaded,
+  CASE WHEN p_partkey % 5 = 0 THEN true WHEN p_partkey % 5 < 4 THEN false END AS static_reachable
+  FROM me LEFT JOIN ob USING (p_partkey) LEFT JOIN ie USING (p_partkey) JOIN lo USING (cls)),
+bl AS (SELECT *, list_filter([CASE WHEN suppressed THEN 'suppressed' END, CASE WHEN is_public_api THEN 'public-api' END,
+  CASE WHEN eligibility = 'NOT_DYNAMICALLY_OBSERVABLE' THEN 'not-dynamically-observable' END, CASE WHEN eligibility = 'DE_INSTRUMENTED' THEN 'de-instrumented' END,
+  CASE WHEN eligibility = 'OBSERVABLE' AND installed IS NOT DISTINCT FROM false THEN 'no-probe-installed' END, CASE WHEN short_circuitable THEN 'short-circuitable' END,
+  CASE WHEN NOT class_loaded THEN 'class-never-loaded' END, CASE WHEN static_reachable THEN 'static-reachable' END, CASE WHEN static_reachable IS NULL THEN 'static-unresolved' END,
+  CASE WHEN inbound_edges > 0 THEN 'runtime-edge-observed' END, CASE WHEN artifact = 'Brand#3' THEN 'no-usable-window' END,
+  CASE WHEN artifact IN ('Brand#4', 'Brand#5') THEN 'phases-missing' END, CASE WHEN artifact = 'Brand#6' THEN 'window-too-short' END,
+  CASE WHEN artifact = 'Brand#7' THEN 'rule-class-disabled' END, CASE WHEN p_partkey % 41 = 0 THEN 'rate-limited' END], lambda x: x IS NOT NULL) AS blockers FROM fa),
+ve AS (SELECT *, CASE WHEN observed OR inbound_edges > 0 THEN 'LIVE' WHEN suppressed THEN 'UNKNOWN' WHEN eligibility = 'NOT_DYNAMICALLY_OBSERVABLE' THEN eligibility
+  WHEN len(blockers) > 0 THEN 'UNKNOWN' ELSE 'DEAD_CANDIDATE' END AS status FROM bl)"""
+_EFFECTIVE = "CASE WHEN eligibility = 'OBSERVABLE' AND installed IS NOT DISTINCT FROM false THEN 'NO_PROBE_INSTALLED' ELSE eligibility END"
+
+
+@query("G7", f"WITH {_FACTS} SELECT p_partkey, {_EFFECTIVE} AS effective FROM fa")
+def g7(spark, sf):
+    return _facts(spark, sf).select("p_partkey", verdict.effective_eligibility(F.col("eligibility"), F.col("installed")).alias("effective"))
+
+
+@query("G8", f"WITH {_FACTS} SELECT p_partkey, suppressed, eligibility, observed, inbound_edges, class_loaded FROM fa")
+def g8(spark, sf):
+    return _facts(spark, sf).select("p_partkey", "suppressed", "eligibility", "observed", "inbound_edges", "class_loaded")
+
+
+@query("G9", f"WITH {_FACTS} SELECT p_partkey, status, array_to_string(blockers, ',') AS blockers FROM ve")
+def g9(spark, sf):
+    return verdict.evaluate(_facts(spark, sf)).select("p_partkey", "status", F.array_join("blockers", ",").alias("blockers"))
+
+
+@query(
+    "G10",
+    f"""WITH {_FACTS} SELECT p_partkey, CASE WHEN suppressed THEN 'suppressed' WHEN is_public_api THEN 'public-api-surface' WHEN eligibility = 'NOT_DYNAMICALLY_OBSERVABLE' THEN 'not-dynamically-observable'
+  WHEN eligibility = 'DE_INSTRUMENTED' THEN 'de-instrumented' WHEN installed IS NOT DISTINCT FROM false THEN 'no-probe-installed' WHEN short_circuitable THEN 'short-circuitable'
+  WHEN observed THEN 'runtime-observed' ELSE replace(blockers[1], 'public-api', 'public-api-surface') END AS blocking FROM ve""",
+)
+def g10(spark, sf):
+    return verdict.evaluate(_facts(spark, sf)).select("p_partkey", verdict.first_blocking(F.col("reasons")).alias("blocking"))
+
+
+_ORDERED = 'row_number() OVER (PARTITION BY artifact ORDER BY cls, name, "desc") AS place'
+
+
+@query("K4", f"""WITH {_FACTS}, c AS (SELECT artifact, cls, name, "desc", {_ORDERED} FROM ve WHERE status = 'DEAD_CANDIDATE') SELECT * FROM c WHERE place <= 20""")
+def k4(spark, sf):
+    place = F.row_number().over(W.partitionBy("artifact").orderBy("cls", "name", "desc"))
+    c = verdict.evaluate(_facts(spark, sf)).where("status = 'DEAD_CANDIDATE'").select("artifact", "cls", "name", "desc", place.alias("place"))
+    return c.where("place <= 20")
+
+
+@query("K5", f"WITH {_FACTS} SELECT artifact, status, count(*) AS methods FROM ve GROUP BY ALL")
+def k5(spark, sf):
+    return verdict.summary(verdict.evaluate(_facts(spark, sf)))
+
+
+@query(
+    "K6",
+    f"""WITH {_FACTS}, e AS (SELECT cls, {_EFFECTIVE} AS e FROM fa) SELECT cls, count(*) FILTER (e = 'NO_PROBE_INSTALLED') AS never_instrumented,
+  count(*) FILTER (e = 'NOT_DYNAMICALLY_OBSERVABLE') AS not_observable, count(*) FILTER (e = 'OBSERVABLE') AS observable FROM e GROUP BY ALL""",
+)
+def k6(spark, sf):
+    return verdict.instrumentation_gaps(_facts(spark, sf))
+
+
+@query("J5", f"WITH {_FACTS} SELECT p_partkey, 'eligibility:' || {_EFFECTIVE} AS rule_key FROM fa UNION ALL SELECT p_partkey, 'entrypoint:none' FROM fa")
+def j5(spark, sf):
+    e = verdict.effective_eligibility(F.col("eligibility"), F.col("installed"))
+    return _facts(spark, sf).select("p_partkey", F.explode(F.array(F.concat(F.lit("eligibility:"), e), F.lit("entrypoint:none"))).alias("rule_key"))
+
+
+# ---- B10, B24, L11, L7, L9, L17, H5, C5 and others over the given tables
+
+
+@query(
+    "L11",
+    """WITH n AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'getPassword' WHEN 1 THEN 'is_' WHEN 2 THEN p_name WHEN 3 THEN 'userEmail' || p_partkey ELSE 'total' END AS name FROM part)
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 3 THEN true WHEN 4 THEN false ELSE regexp_matches(lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')), 'pin|key|tel|lat|lon|geo|name|race|salt|hash|pan|sin|nin|bic') END AS denied FROM n""",
+)
+def l11(spark, sf):
+    k = F.col("p_partkey") % 5
+    name = F.when(k == 0, "getPassword").when(k == 1, "is_").when(k == 2, F.col("p_name")).when(k == 3, F.concat(F.lit("userEmail"), "p_partkey")).otherwise("total")
+    return d.read(spark, sf, "part").select("p_partkey", denied_name(name).alias("denied"))
+
+
+@query("L7", f"WITH {_FRAMES} SELECT frame, count(*) AS invocations FROM fr GROUP BY ALL")
+def l7(spark, sf):
+    return _frames(spark, sf).groupBy("frame").agg(F.sum(F.lit(1)).alias("invocations"))
+
+
+@query("L17", f"WITH {_FRAMES}, p AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY ordinal) AS place FROM fr) SELECT trace, count(*) FILTER (place <= 3) AS kept, count(*) FILTER (place > 3) AS refused FROM p GROUP BY ALL")
+def l17(spark, sf):
+    place = F.row_number().over(W.partitionBy("trace").orderBy("ordinal"))
+    return _frames(spark, sf).withColumn("place", place).groupBy("trace").agg(F.count_if(F.col("place") <= 3).alias("kept"), F.count_if(F.col("place") > 3).alias("refused"))
+
+
+
+@query(
+    "B10",
+    """WITH w AS (SELECT o_custkey, list(CASE o_orderkey % 9 WHEN 0 THEN 'org.junit.Runner' ELSE 'com.acme.C' || (o_orderkey % 50) END ORDER BY o_orderkey) AS classes FROM orders GROUP BY o_custkey)
+SELECT o_custkey, len([c FOR c IN classes IF starts_with(c, 'org.junit.')][1:8]) AS markers FROM w""",
+)
+def b10(spark, sf):
+    name = F.when(F.col("o_orderkey") % 9 == 0, "org.junit.Runner").otherwise(F.concat(F.lit("com.acme.C"), F.col("o_orderkey") % 50))
+    w = d.read(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(name).alias("classes"))
+    return w.select("o_custkey", F.size(test_markers(F.col("classes"))).alias("markers"))
+
+
+@query("C5", f"WITH {d.COVERAGE}, k AS (SELECT DISTINCT build, cls, i AS idx FROM cb, range(12) r(i)), b AS (SELECT DISTINCT build, cls, idx, true AS hit FROM cb) SELECT k.build, k.cls, CAST(k.idx AS INTEGER) AS idx, coalesce(hit, false) AS is_set FROM k LEFT JOIN b USING (build, cls, idx)")
+def c5(spark, sf):
+    bits = d.coverage_bits(spark, sf).select("build", "cls", "idx").distinct()
+    keys = bits.select("build", "cls").distinct().withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    return keys.join(bits.withColumn("hit", F.lit(True)), ["build", "cls", "idx"], "left").select("build", "cls", "idx", F.coalesce("hit", F.lit(False)).alias("is_set"))
+
+
+@query(
+    "E14",
+    f"""WITH {d.EDGES}, t AS (SELECT build, day, sum(observations)::BIGINT AS entries FROM we GROUP BY ALL), r AS (SELECT *, entries // 20 AS want FROM t)
+SELECT build, day, entries, CASE WHEN entries > 0 THEN least(greatest(CASE WHEN want < 1 THEN 0 ELSE 1 << (length(bin(want)) - 1) END, 1), 65536) END AS rate FROM r""",
+)
+def e14(spark, sf):
+    t = d.window_edges(spark, sf).groupBy("build", "day").agg(F.sum("observations").alias("entries"))
+    return t.withColumn("rate", F.when(F.col("entries") > 0, edges.recommended_rate(F.col("entries"))))
+
+
+@query("K11", f"WITH {d.WINDOWS} SELECT build, count(*) AS windows, count(*) FILTER (degraded) AS degraded, count(DISTINCT instance) AS instances FROM wi GROUP BY ALL")
+def k11(spark, sf):
+    return d.windows(spark, sf).groupBy("build").agg(F.count("*").alias("windows"), F.count_if("degraded").alias("degraded"), F.count_distinct("instance").alias("instances"))
+
+
+@query("K8", f"WITH {_AGG} SELECT build, callee_cls, callee_idx, count(*) AS callers, CAST(sum(observations) AS BIGINT) AS observations, bool_or(min_rate <> max_rate) AS mixed FROM ea GROUP BY ALL")
+def k8(spark, sf):
+    return edges.edge_agg(d.window_edges(spark, sf)).groupBy("build", *edges.CALLEE).agg(
+        F.count("*").alias("callers"), F.sum("observations").alias("observations"), F.bool_or(F.col("min_rate") != F.col("max_rate")).alias("mixed")
+    )
+
+
+@query("K21", f"WITH {_AGG} SELECT build, count(*) AS edges, count(*) FILTER (callee_idx NOT IN (SELECT p_partkey FROM part WHERE p_size % 2 = 0)) AS outside FROM ea GROUP BY ALL")
+def k21(spark, sf):
+    known = d.read(spark, sf, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("callee_idx"), F.lit(True).alias("known"))
+    agg = edges.edge_agg(d.window_edges(spark, sf)).join(known, "callee_idx", "left")
+    return agg.groupBy("build").agg(F.count("*").alias("edges"), F.count_if(F.col("known").isNull()).alias("outside"))
+
+
+@query("B18", f"WITH {d.EDGES} SELECT build, day, count(*) FILTER (callee_idx NOT IN (SELECT p_partkey FROM part WHERE p_size % 2 = 0)) > 0 AS dangling FROM we GROUP BY ALL")
+def b18(spark, sf):
+    known = d.read(spark, sf, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("callee_idx"))
+    e = d.window_edges(spark, sf)
+    bad = e.join(known, "callee_idx", "left_anti").select("build", "day").distinct().withColumn("bad", F.lit(True))
+    return e.select("build", "day").distinct().join(bad, ["build", "day"], "left").select("build", "day", F.col("bad").isNotNull().alias("dangling"))
+
+
+@query("F1", f"WITH {d.METHODS} SELECT p_partkey FROM me WHERE NOT (p_partkey % 23 = 0 OR name = 'm7')")
+def f1(spark, sf):
+    return d.methods(spark, sf).where(~((F.col("p_partkey") % 23 == 0) | (F.col("name") == "m7"))).select("p_partkey")
+
+
+@query("F6", f"WITH {d.METHODS} SELECT p_partkey, is_public_api AND NOT (lower(cls) LIKE '%.economy.%') AS public FROM me")
+def f6(spark, sf):
+    return d.methods(spark, sf).select("p_partkey", inventory.public_api(F.col("cls"), F.col("is_public_api")).alias("public"))
+
+
+@query(
+    "F13",
+    """SELECT DISTINCT ancestor, ref FROM (
+  SELECT 'r' || n_regionkey AS ancestor, 'n' || n_nationkey AS ref FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
+  UNION ALL SELECT 'r' || n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'root', 'r' || r_regionkey FROM region UNION ALL SELECT 'root', 'n' || n_nationkey FROM nation UNION ALL SELECT 'root', 'c' || c_custkey FROM customer)""",
+)
+def f13(spark, sf):
+    name = lambda p, c: F.concat(F.lit(p), F.col(c))
+    links = (
+        d.read(spark, sf, "customer").select(name("n", "c_nationkey").alias("parent"), name("c", "c_custkey").alias("ref"))
+        .union(d.read(spark, sf, "nation").select(name("r", "n_regionkey"), name("n", "n_nationkey")))
+        .union(d.read(spark, sf, "region").select(F.lit("root"), name("r", "r_regionkey")))
+    )
+    return graph.descendants(links)
