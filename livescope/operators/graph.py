@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again, so that a loop's lineage stays short and survives lost executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.livescope.shared.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.livescope.shared.dir", folder)
-    path = f"{folder.rstrip('/')}/graph/{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again, so that a loop's lineage stays short and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/graph/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def triage(edges: DataFrame, tests: DataFrame) -> DataFrame:

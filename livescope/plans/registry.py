@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from ..functions.names import denied_name, test_markers
 from ..functions.redaction import denied_number, denied_text, mask_path
 from ..operators import admission, coverage, edges, graph, inventory, ledger, phases, profile, traces, verdict
 from ..sources import derived as d
+from ..sources import windows
+from ..streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -833,3 +836,63 @@ def f13(spark, sf):
         .union(d.read(spark, sf, "region").select(F.lit("root"), name("r", "r_regionkey")))
     )
     return graph.descendants(links)
+
+
+# ---- A1, A2, B1, B12, B21, B22: documents
+
+
+def _decoded(spark, sf):
+    return windows.decode_windows(d.window_documents(spark, sf))
+
+
+@query("B1", f"WITH {d.DOCUMENTS} SELECT build, instance, day, reject_reason FROM dr")
+def b1(spark, sf):
+    return _decoded(spark, sf).select("build", "instance", "day", "reject_reason")
+
+
+@query("B21", f"WITH {d.DOCUMENTS} SELECT reject_reason, count(*) AS documents FROM dr WHERE reject_reason IS NOT NULL GROUP BY ALL")
+def b21(spark, sf):
+    return windows.rejects(_decoded(spark, sf))
+
+
+@query("B22", f"WITH {d.DOCUMENTS} SELECT build, count(*) AS received, count(*) FILTER (reject_reason IS NULL) AS accepted FROM dr GROUP BY ALL")
+def b22(spark, sf):
+    return _decoded(spark, sf).groupBy("build").agg(F.count("*").alias("received"), F.count_if(F.col("reject_reason").isNull()).alias("accepted"))
+
+
+_BITS = f"WITH {d.DOCUMENTS} SELECT cb.build, cb.instance, cb.cls, cb.idx, count(*) AS windows FROM cb JOIN dr USING (build, instance, day) WHERE reject_reason IS NULL GROUP BY ALL"
+
+
+def _bits(records):
+    return coverage.explode_bits(records.select("build", "instance", "cls", "probes")).groupBy("build", "instance", "cls", "idx").agg(F.count("*").alias("windows"))
+
+
+@query("B12", _BITS)
+def b12(spark, sf):
+    return _bits(windows.accepted_coverage(_decoded(spark, sf)))
+
+
+def _folder(spark, name):
+    return f"{graph.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("A1", _BITS)
+def a1(spark, sf):
+    path = _folder(spark, "documents")
+    d.window_documents(spark, sf).select("body").write.option("compression", "gzip").text(path)
+    return _bits(windows.accepted_coverage(windows.decode_windows(windows.read_windows(spark, path))))
+
+
+@query("A2", _BITS)
+def a2(spark, sf):
+    path = _folder(spark, "stream")
+    d.window_documents(spark, sf).select("body").write.text(f"{path}/in")
+    ingest.append_coverage(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint")
+    return _bits(spark.read.parquet(f"{path}/out"))
+
+
+@query("A9", f"WITH {d.COVERAGE} SELECT build, count(*) AS bits FROM cb GROUP BY ALL")
+def a9(spark, sf):
+    path = _folder(spark, "tables")
+    d.coverage_bits(spark, sf).repartition("build").sortWithinPartitions("cls", "idx").write.partitionBy("build").parquet(path)
+    return spark.read.parquet(path).groupBy("build").agg(F.count("*").alias("bits"))

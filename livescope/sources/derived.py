@@ -141,3 +141,36 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INTERVALS = """iv AS (
   SELECT o_orderpriority AS build, CAST(o_orderdate AS DATE) AS start, CAST(CAST(o_orderdate AS DATE) + 1 AS DATE) AS stop FROM orders WHERE o_orderkey % 3 = 0)"""
+
+
+def window_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(build, instance, day, body): a JSON document a window, some spoiled by rule."""
+    from ..operators.coverage import pack_bits
+
+    bits = coverage_bits(spark, sf_dir)
+    packed = pack_bits(bits, ["build", "instance", "day", "cls"])
+    fault = F.dayofmonth("day") * 10 + F.substring("instance", 5, 1).cast("int")
+    probes = F.when(fault % 37 == 5, "not base64!").otherwise(F.base64(F.unhex("octets")))
+    windows_ = packed.groupBy("build", "instance", "day").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("cls").alias("class"), F.lit("h").alias("schemaHash"), probes.alias("probes")))).alias("coverage")
+    )
+    start = F.unix_date("day").cast("long") * 86_400_000
+    loaded = F.when(fault % 29 == 4, F.array(F.lit("org.junit.Runner"))).otherwise(F.transform("coverage", lambda r: r["class"]))
+    document = F.struct(
+        F.when(fault % 11 == 3, 9).otherwise(2).alias("schemaVersion"),
+        F.when(fault % 13 != 6, F.col("build")).alias("buildSha"),
+        F.lit("app").alias("artifact"),
+        F.when(fault % 17 == 2, "").otherwise(F.col("instance")).alias("instanceId"),
+        start.alias("windowStartMs"),
+        F.when(fault % 19 == 8, start - 1).otherwise(start + 86_400_000).alias("windowEndMs"),
+        F.when(fault % 23 != 7, F.struct(F.lit(0).alias("transformFailures"))).alias("agentHealth"),
+        loaded.alias("classesLoaded"),
+        "coverage",
+    )
+    body = F.when(fault % 7 == 1, F.substring(F.to_json(document), 1, 40)).otherwise(F.to_json(document))
+    return windows_.select("build", "instance", "day", body.alias("body"))
+
+
+DOCUMENTS = f"""{COVERAGE}, fx AS (SELECT build, instance, day, day(day) * 10 + CAST(substr(instance, 5, 1) AS INTEGER) AS f FROM wi),
+dr AS (SELECT build, instance, day, CASE WHEN f % 7 = 1 THEN 'malformed_body' WHEN f % 11 = 3 THEN 'schema_version_mismatch' WHEN f % 13 = 6 THEN 'missing_field'
+  WHEN f % 17 = 2 OR f % 19 = 8 THEN 'bad_field' WHEN f % 23 = 7 THEN 'missing_agent_health' WHEN f % 29 = 4 THEN 'test_runner_window' WHEN f % 37 = 5 THEN 'bad_probe_bitset' END AS reject_reason FROM fx)"""
