@@ -80,7 +80,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 some = batch.slice(at, _SLICE)
-                yield _rows(some.column(0).to_pylist(), [enc.encode(t) for t in some.column(1).to_pylist()])
+                yield _rows(some.column(0).to_pylist(), enc.encode_many(some.column(1).to_pylist()))
 
     base = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     special = F.lit(False)

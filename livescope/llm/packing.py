@@ -44,7 +44,7 @@ def tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 some = batch.slice(at, _SLICE)
-                ids = [enc.encode(t).tobytes() + end for t in some.column(2).to_pylist()]
+                ids = [x.tobytes() + end for x in enc.encode_many(some.column(2).to_pylist())]
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), n, pa.array(ids, pa.binary())], names=["row", "doc_id", "n", "ids"])
 

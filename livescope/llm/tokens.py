@@ -2,8 +2,8 @@
 
 Both pre-tokenizers cut a text at white space without looking further back, so the ids of
 a text are those of its units (a run of other characters with the space before it, or a
-white-space run) one after another. Words repeat, so each task keeps the ids of the
-``CACHE`` units it met last. Texts that hold a special token go to the library whole.
+white-space run) one after another. Words repeat, so each task keeps the ids of
+up to ``CACHE`` units. Texts that hold a special token go to the library whole.
 
 Python workers read the vocabulary file from ``path``, which every node must have.
 """
@@ -16,9 +16,11 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE = 300_000
+CACHE = 600_000
 #: Unicode's White_Space, which is what the tokenizers' patterns mean by white space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Marks that never join a letter's run, the apostrophe left out.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _UNITS = {
     "byte": re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"),
     "word": re.compile(f"[^{WHITE}]+"),
@@ -57,37 +59,76 @@ def bytes_of_ids(path: str) -> list[bytes]:
     return table
 
 
+@lru_cache(maxsize=4)
+def _edges(path: str, kind: str) -> np.ndarray:
+    """Ids that end a word ("word") or begin with a space ("byte")."""
+    tok = tokenizer(path)
+    out = np.zeros(tok.get_vocab_size(), bool)
+    for token, i in tok.get_vocab().items():
+        out[i] = token.endswith("</w>") if kind == "word" else token.startswith("\u0120")
+    return out
+
+
 class Encoder:
     """Ids of texts as little-endian int32 bytes. kind: "byte" or "word"."""
 
     def __init__(self, path: str, kind: str):
         self.tok, self.path, self.units, self.known = tokenizer(path), path, _UNITS[kind], {}
+        self.lower = kind == "word"
+        self.edges = _edges(path, kind)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or r"(?!)")
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
+        """Ids of new units; a tail of marks after a letter is a token run of its own, and known from other words."""
+        ends = {}
+        for unit in new:
+            base = unit.rstrip(_MARKS)
+            if base and len(base) < len(unit) and base[-1].isascii() and base[-1].isalpha():
+                ends[unit] = base
+        known = self.known
+        plain = [*((new - ends.keys()) | ({*ends.values(), *(u[len(b) :] for u, b in ends.items())} - known.keys()))]
+        letters = [u for u in plain if (u if self.lower else u[1:]).isalpha() and (self.lower or u[0] == " ")]
+        if self._learn_words(letters):
+            plain = [u for u in plain if u not in known]
+        for unit, got in zip(plain, self.tok.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+            known[unit] = np.array(got.ids, np.int32).tobytes()
+        for unit, base in ends.items():
+            known[unit] = known[base] + known[unit[len(base) :]]
+
+    def _learn_words(self, words: list[str]) -> bool:
+        """Ids of many words in one call: words of letters never run together, and their ids show where one ends."""
+        if not words:
+            return False
+        ids = self.whole((" " if self.lower else "").join(words))
+        edge = self.edges[ids]
+        starts = np.append(np.flatnonzero(np.append(True, edge[:-1]) if self.lower else edge), len(ids)) * 4
+        if len(starts) != len(words) + 1:
+            return False
+        raw, at = ids.tobytes(), starts.tolist()
+        self.known.update((w, raw[a:b]) for w, a, b in zip(words, at, at[1:], strict=False))
+        return True
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        if self.lower:  # the library lower-cases anyway, and so more units are alike
+            low = [t.lower() if t.isascii() else t.encode().lower().decode() for t in texts]
+        else:
+            low = texts
+        odd = [bool(self.special.search(t)) for t in low]
+        units = [[] if o else self.units.findall(t) for t, o in zip(low, odd, strict=True)]
+        new = set().union(*units) - self.known.keys()
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
-        for unit, got in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[unit] = np.array(got.ids, np.int32).tobytes()
+            new = set().union(*units)
+        if new:
+            self._learn(new)
+        of = self.known.__getitem__
+        return [self.whole(t) if o else np.frombuffer(b"".join(map(of, us)), np.int32) for t, o, us in zip(texts, odd, units, strict=True)]
 
     def encode(self, text: str) -> np.ndarray:
-        if self.special.search(text):
-            return self.whole(text)
-        units, known = self.units.findall(text), self.known
-        parts, at = [], 0
-        while at < len(units):
-            some = units[at : at + CACHE // 4]
-            new = [u for u in dict.fromkeys(some) if u not in known]
-            if new:
-                self._learn(new)
-                if len(known) == len(new):  # emptied meanwhile
-                    self._learn([u for u in dict.fromkeys(some) if u not in known])
-            parts.append(b"".join([known[u] for u in some]))
-            at += len(some)
-        return np.frombuffer(b"".join(parts), np.int32)
+        return self.encode_many([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids, skip_special_tokens=False) of a byte-level vocabulary."""
