@@ -25,10 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .anchors import mixed
 from .common import documents, id_of, stored, text_of
 from .components import components
 
 SEED = 42
+#: Independent fingerprints of the wide form, and the bits of a block of them that is met on.
+LANES, BLOCK_BITS = 6, 28
 _BLOCK = 1 << 15
 
 
@@ -108,11 +111,58 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def first_of_groups(docs: DataFrame, width: int = 5, distance: int = 2) -> DataFrame:
-    """The rows and columns of docs of which no smaller doc_id is in their component."""
-    found = near_dedup(docs, width=width, distance=distance)
-    gone = found.where(id_of(found) > F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(stored(gone, "later-near-copies"), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+def wide_simhash(text: str, width: int) -> list[int]:
+    """LANES independent fingerprints of the same shingles, as signed 64-bit integers."""
+    hashes, out = shingle_hashes(text, width), []
+    for lane in range(LANES):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), _BLOCK):
+            block = mixed(hashes[at : at + _BLOCK] + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))
+            ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def farthest(similarity: float) -> int:
+    """Differing bits of all lanes at that Jaccard similarity: cosine 2j / (1 + j) for texts of one length, and a little room."""
+    return int(64 * LANES * (np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.01))
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """rid, root: the smallest id that each document reaches over pairs of about that similarity or more.
+
+    A pair at similarity 0.8 differs in some 15 bits of 100, too many for one ball. So several
+    blocks of BLOCK_BITS bits are taken from independent fingerprints, each block emits its
+    ball of one bit, and pairs that meet in any block are verified on all bits of all lanes.
+    """
+
+    @F.pandas_udf("array<long>")
+    def wide(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_simhash(t, width) for t in texts])
+
+    marked = stored(docs.select(id_of(docs, doc_id).alias("rid"), wide(text_of(docs, text)).alias("wide")), "wide-simhash")
+    reps = stored(marked.groupBy("wide").agg(F.min("rid").alias("rep")), "wide-distinct")
+    per_lane = 64 // BLOCK_BITS
+    mask = (1 << BLOCK_BITS) - 1
+    blocks = F.array(*[
+        F.shiftrightunsigned(F.element_at("wide", i // per_lane + 1), BLOCK_BITS * (i % per_lane)).bitwiseAND(mask) + F.lit(i << BLOCK_BITS).cast("long")
+        for i in range(LANES * per_lane)
+    ])
+    balls = F.array(*[F.col("block").bitwiseXOR(F.lit(m).cast("long")) for m in (0, *(1 << i for i in range(BLOCK_BITS)))])
+    variants = reps.select("rep", F.explode(blocks).alias("block")).select(F.explode(balls).alias("variant"), "rep")
+    met = variants.repartition("variant").sortWithinPartitions("variant", "rep").mapInArrow(_stars, "a long, b long")
+    pairs = stored(met.distinct(), "wide-pairs")
+    near = pairs.join(reps.select(F.col("rep").alias("a"), F.col("wide").alias("wa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("wide").alias("wb")), "b")
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, n: a + n)
+    roots = components(near.where(apart <= farthest(similarity)).select("a", "b"))
+    named = stored(reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("wide", F.coalesce("root", "rep").alias("root")), "wide-roots")
+    return marked.join(named, "wide").select("rid", "root")
+
+
+def first_of_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows and columns of docs that reach no smaller doc_id."""
+    gone = stored(similar_groups(docs, width=width, similarity=similarity).where("rid > root").select("rid").distinct(), "later-near-copies")
+    return docs.join(gone, id_of(docs) == gone["rid"], "left_anti")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

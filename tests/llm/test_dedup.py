@@ -146,3 +146,22 @@ def test_substring_dedup_of_blocks(spark, docs, monkeypatch):
 
 def test_substring_dedup_of_nothing(none):
     assert substring_dedup.substring_dedup(none).count() == 0
+
+
+def test_similar_groups_find_edited_copies_and_leave_the_rest(spark, docs):
+    import random
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, edited = [], 0
+    for i in range(150):
+        words = [word() for _ in range(rng.randrange(150, 400))]
+        rows.append((i, " ".join(words), "x"))
+        if i % 2 == 0:  # an edit changes five shingles: about 0.9 alike
+            for at in rng.sample(range(len(words)), max(1, len(words) // 100)):
+                words[at] = word()
+            rows.append((1000 + i, " ".join(words), "x"))
+            edited += 1
+    kept = {r.doc_id for r in simhash.first_of_groups(spark.createDataFrame(rows, docs.schema)).collect()}
+    assert set(range(150)) <= kept and len([d for d in kept if d >= 1000]) <= 0.1 * edited
+    assert simhash.first_of_groups(docs).columns == docs.columns and simhash.first_of_groups(docs.where("false")).count() == 0
