@@ -125,7 +125,7 @@ def wide_simhash(text: str, width: int) -> list[int]:
 
 def farthest(similarity: float) -> int:
     """Differing bits of all lanes at that Jaccard similarity: cosine 2j / (1 + j) for texts of one length, and a little room."""
-    return int(64 * LANES * (np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.01))
+    return int(64 * LANES * (np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.02))
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
