@@ -76,3 +76,9 @@ def recommended_rate(entries: Column, target: int = 20, most: int = 65_536) -> C
     want = F.floor(entries / target)
     highest = F.when(want < 1, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(want)) - 1))
     return F.least(F.greatest(highest, F.lit(1)), F.lit(most))
+
+
+def loss(window_edges: DataFrame) -> DataFrame:
+    """window_edges with a dropped flag: what each window observed, what it dropped, and whether it is lossy."""
+    lost = window_edges.groupBy("build", "day").agg(F.sum("observations").alias("observed"), F.count_if("dropped").alias("dropped"))
+    return lost.withColumn("lossy", F.col("dropped") > 0)
