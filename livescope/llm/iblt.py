@@ -1,8 +1,8 @@
 """Document fingerprints by invertible Bloom lookup sketches (DataFrame functions only).
 
-A text is cut into paragraphs: up to the first line end after 64 characters, 256 characters
+A text is cut into paragraphs: up to the first line end after 128 characters, 512 characters
 at most (both grow with texts of more than 65,536 characters, so that no text has more than
-about a thousand). A sketch has three rows of cells; every distinct paragraph digest is
+about five hundred). A sketch has three rows of cells; every distinct paragraph digest is
 added to one cell in each row, a cell holding a count and the XORs of its digests and of
 their check sums. Two sketches of one size subtract cell by cell, what both texts have
 cancels out, and cells with a single digest are peeled until nothing is left: the digests
@@ -37,7 +37,7 @@ RANGE, RANGES = 32, 50_000
 
 def paragraphs(text: Column) -> Column:
     scale = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.char_length(text) / 65536, F.lit(1.0))))).cast("int")
-    low, high = (scale * 64).cast("string"), (scale * 256).cast("string")
+    low, high = (scale * 128).cast("string"), (scale * 512).cast("string")
     return F.regexp_extract_all(text, F.concat(F.lit("(?s).{"), low, F.lit(","), high, F.lit("}?\n|.{1,"), high, F.lit("}")), F.lit(0))
 
 
@@ -94,12 +94,15 @@ def peeled(cells_left: Column, cells: int, rounds: int) -> Column:
         return _with(new, lambda found: F.when(F.size(found) == 0, state).otherwise(taken(state, found)))
 
     def taken(state: Column, new: Column) -> Column:
-        def without(c: Column, i: Column) -> Column:
-            here = F.filter(new, lambda p: (p.x.p0 == i) | (p.x.p1 == i) | (p.x.p2 == i))
-            return F.aggregate(here, c, lambda a, p: _add(a, -p.n, p.x))
+        def without(held: Column, p: Column) -> Column:
+            # Each digest touches its own cells only: the array is cut open there.
+            def put(c: Column, i: Column) -> Column:
+                return F.concat(F.slice(c, 1, i), F.array(_add(F.element_at(c, i + 1), -p.n, p.x)), F.slice(c, i + 2, ROWS * cells))
+
+            return F.aggregate(F.array(p.x.p0, p.x.p1, p.x.p2), held, put)
 
         found = F.concat(state.found, F.transform(new, lambda p: F.struct(p.n.alias("n"), p.x.k.alias("k"))))
-        return F.struct(F.transform(state.cells, without).alias("cells"), found.alias("found"))
+        return F.struct(F.aggregate(new, state.cells, without).alias("cells"), found.alias("found"))
 
     start = F.struct(cells_left.alias("cells"), F.expr("cast(array() as array<struct<n: int, k: bigint>>)").alias("found"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
@@ -127,7 +130,8 @@ def compare(pairs: DataFrame, cells: int = CELLS) -> DataFrame:
 
     Retries with larger sketches until every pair is peeled.
     """
-    left, out = pairs, None
+    # Few bytes but much work: dealt out to all tasks.
+    left, out = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key"), None
     while True:
         rounds = 12 + cells.bit_length()
         made = left.select(
@@ -144,7 +148,7 @@ def compare(pairs: DataFrame, cells: int = CELLS) -> DataFrame:
             F.transform(F.filter("found", lambda f: f.n == -1), lambda f: f.k).alias("only_b"),
         )
         out = good if out is None else out.unionByName(good)
-        left = tried.where("not done").select(*left.columns)
+        left = tried.where("not done").select(*left.columns).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
         if left.isEmpty():
             return out
         cells *= GROWTH
