@@ -149,9 +149,13 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for i in range(LANES * per_lane)
     ])
     balls = F.array(*[F.col("block").bitwiseXOR(F.lit(m).cast("long")) for m in (0, *(1 << i for i in range(BLOCK_BITS)))])
-    variants = reps.select("rep", F.explode(blocks).alias("block")).select(F.explode(balls).alias("variant"), "rep")
+    # Documents with the same block fold into the first of them before any ball is emitted.
+    dealt = reps.select("rep", F.explode(blocks).alias("block"))
+    heads = stored(dealt.groupBy("block").agg(F.min("rep").alias("head")), "wide-blocks")
+    same = dealt.join(heads, "block").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    variants = heads.select(F.explode(balls).alias("variant"), F.col("head").alias("rep"))
     met = variants.repartition("variant").sortWithinPartitions("variant", "rep").mapInArrow(_stars, "a long, b long")
-    pairs = stored(met.distinct(), "wide-pairs")
+    pairs = stored(met.union(same).distinct(), "wide-pairs")
     near = pairs.join(reps.select(F.col("rep").alias("a"), F.col("wide").alias("wa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("wide").alias("wb")), "b")
     apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, n: a + n)
     roots = components(near.where(apart <= farthest(similarity)).select("a", "b"))
