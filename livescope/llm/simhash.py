@@ -16,7 +16,7 @@ largest. Rows that repeat a ``doc_id`` each get a row. Other columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -30,9 +30,14 @@ from .common import documents, id_of, stored, text_of
 from .components import components
 
 SEED = 42
-#: Independent fingerprints of the wide form, and the bits of a block of them that is met on.
-LANES, BLOCK_BITS = 6, 28
+#: Independent fingerprints of the wide form.
+LANES = 6
+#: Keys that similar texts meet on: of distinct shingles, of shingles counted with repeats; minima in each.
+SET_KEYS, BAG_KEYS, MINIMA = 24, 8, 6
+#: Documents of a key compared in one place, about; more are dealt out by pairs of parts.
+CROWD = 4_096
 _BLOCK = 1 << 15
+_ODD = np.random.default_rng(SEED).integers(1, 1 << 63, (SET_KEYS + BAG_KEYS) * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -111,9 +116,9 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_simhash(text: str, width: int) -> list[int]:
+def wide_simhash(hashes: np.ndarray) -> list[int]:
     """LANES independent fingerprints of the same shingles, as signed 64-bit integers."""
-    hashes, out = shingle_hashes(text, width), []
+    out = []
     for lane in range(LANES):
         ones = np.zeros(64, np.int64)
         for at in range(0, len(hashes), _BLOCK):
@@ -123,6 +128,64 @@ def wide_simhash(text: str, width: int) -> list[int]:
     return out
 
 
+def meeting_keys(hashes: np.ndarray) -> list[int]:
+    """64-bit keys, each of MINIMA smallest permuted shingles: texts agree on one with the MINIMA-th power of their Jaccard similarity."""
+    if not len(hashes):
+        return []
+    distinct, times = np.unique(hashes, return_counts=True)
+    nth = np.arange(len(hashes)) - np.repeat(np.cumsum(times) - times, times)
+    bag = np.repeat(distinct, times)
+    bag[nth > 0] = mixed(bag[nth > 0] + nth[nth > 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    n, least = SET_KEYS * MINIMA, []
+    for items, odd in ((distinct, _ODD[:n]), (bag, _ODD[n:])):
+        least.append(np.min([np.multiply.outer(odd, items[at : at + 2048]).min(axis=1) for at in range(0, len(items), 2048)], axis=0))
+    rows, key = np.concatenate(least).reshape(-1, MINIMA), np.arange(SET_KEYS + BAG_KEYS, dtype=np.uint64)
+    for i in range(MINIMA):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
+    return key.view(np.int64).tolist()
+
+
+def linkage(wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of unsigned fingerprints: places (a, b) of pairs within ``most`` bits that connect all that any such pairs connect."""
+    left, todo, a, b = np.arange(len(wide)), [], [], []
+    while len(left):
+        if not todo:
+            todo, left = [left[0]], left[1:]
+        at = todo.pop()
+        near = np.bitwise_count(wide[left] ^ wide[at]).sum(axis=1) <= most
+        found, left = left[near], left[~near]
+        todo.extend(found.tolist())
+        a.append(np.full(len(found), at))
+        b.append(found)
+    return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
+
+
+def _met(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """From (key, rep, wide) sorted by key: verified links (a, b) among the documents of each key."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64)]
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, LANES)]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+        # The last key may go on in the next batch.
+        ready = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
+        (key, rep, wide), held = [x[:ready] for x in held], [x[ready:] for x in held]
+        first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        sizes = np.diff(np.append(first, len(key)))
+        two = first[sizes == 2]
+        two = two[np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1) <= most]
+        a, b = [two], [two + 1]
+        for at, size in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            x, y = linkage(wide[at : at + size], most)
+            a.append(x + at)
+            b.append(y + at)
+        links = np.sort(np.column_stack([rep[np.concatenate(a)], rep[np.concatenate(b)]]), axis=1)
+        links = np.unique(links, axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], names=["a", "b"])
+
+
 def farthest(similarity: float) -> int:
     """Differing bits of all lanes at that Jaccard similarity: cosine 2j / (1 + j) for texts of one length, and a little room."""
     return int(64 * LANES * (np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.02))
@@ -131,36 +194,32 @@ def farthest(similarity: float) -> int:
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """rid, root: the smallest id that each document reaches over pairs of about that similarity or more.
 
-    A pair at similarity 0.8 differs in some 15 bits of 100, too many for one ball. So several
-    blocks of BLOCK_BITS bits are taken from independent fingerprints, each block emits its
-    ball of one bit, and pairs that meet in any block are verified on all bits of all lanes.
+    A pair at similarity 0.8 differs in some 15 bits of 100, too many for balls of a key that
+    stays selective. So documents meet on 64-bit keys made of their smallest shingles, and
+    bring all bits of all lanes with them. Every document is compared with every other one of
+    its key, unless the two are connected already; a crowded key has its documents dealt into
+    parts, and each two parts are compared in a place of their own.
     """
 
-    @F.pandas_udf("array<long>")
-    def wide(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_simhash(t, width) for t in texts])
-
-    marked = stored(docs.select(id_of(docs, doc_id).alias("rid"), wide(text_of(docs, text)).alias("wide")), "wide-simhash")
-    reps = stored(marked.groupBy("wide").agg(F.min("rid").alias("rep")), "wide-distinct")
-    per_lane = 64 // BLOCK_BITS
-    mask = (1 << BLOCK_BITS) - 1
-    blocks = F.array(*[
-        F.shiftrightunsigned(F.element_at("wide", i // per_lane + 1), BLOCK_BITS * (i % per_lane)).bitwiseAND(mask) + F.lit(i << BLOCK_BITS).cast("long")
-        for i in range(LANES * per_lane)
-    ])
-    balls = F.array(*[F.col("block").bitwiseXOR(F.lit(m).cast("long")) for m in (0, *(1 << i for i in range(BLOCK_BITS)))])
-    # Documents with the same block fold into the first of them before any ball is emitted.
-    dealt = reps.select("rep", F.explode(blocks).alias("block"))
-    heads = stored(dealt.groupBy("block").agg(F.min("rep").alias("head")), "wide-blocks")
-    same = dealt.join(heads, "block").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
-    variants = heads.select(F.explode(balls).alias("variant"), F.col("head").alias("rep"))
-    met = variants.repartition("variant").sortWithinPartitions("variant", "rep").mapInArrow(_stars, "a long, b long")
-    pairs = stored(met.union(same).distinct(), "wide-pairs")
-    near = pairs.join(reps.select(F.col("rep").alias("a"), F.col("wide").alias("wa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("wide").alias("wb")), "b")
-    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, n: a + n)
-    roots = components(near.where(apart <= farthest(similarity)).select("a", "b"))
+    @F.pandas_udf("wide array<long>, keys array<long>")
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        hashes = [shingle_hashes(t, width) for t in texts]
+        return pd.DataFrame({"wide": [wide_simhash(h) for h in hashes], "keys": [meeting_keys(h) for h in hashes]})
+
+    marked = docs.select(id_of(docs, doc_id).alias("rid"), marks(text_of(docs, text)).alias("marks"))
+    marked = stored(marked.select("rid", "marks.wide", "marks.keys"), "wide-simhash")
+    reps = stored(marked.groupBy("wide").agg(F.min("rid").alias("rep"), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys")), "wide-distinct")
+    dealt = reps.select(F.explode("keys").alias("key"), "rep", "wide")
+    crowds = stored(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key", F.ceil(F.col("n") / CROWD).alias("parts")), "crowded-keys")
+    part, other = F.pmod(F.xxhash64("rep"), F.col("parts")), F.col("other")
+    spread = dealt.join(crowds, "key", "left").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
+    place = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least(part, other), F.greatest(part, other)))
+    met = spread.select(place.alias("key"), "rep", "wide").repartition("key").sortWithinPartitions("key")
+    most = farthest(similarity)
+    near = stored(met.mapInArrow(lambda it: _met(it, most), "a long, b long").distinct(), "wide-links")
+    roots = components(near)
     named = stored(reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("wide", F.coalesce("root", "rep").alias("root")), "wide-roots")
-    return marked.join(named, "wide").select("rid", "root")
+    return marked.select("rid", "wide").join(named, "wide").select("rid", "root")
 
 
 def first_of_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -1,0 +1,55 @@
+"""The near-dedup stage against exact five-word-shingle Jaccard similarity."""
+
+import random
+
+import numpy as np
+
+from livescope.llm import simhash
+from livescope.llm.common import ship_package
+
+
+def _jaccard(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def _crowd(template_words, own_words, n, pairs, seed=2, changes=1):
+    """Unrelated texts with a common template, smallest ids first; then near copies of new ones, in pairs."""
+    rng = random.Random(seed)
+    fresh = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    template = fresh(template_words)
+    texts = [" ".join(template + fresh(own_words)) for _ in range(n + pairs)]
+    copies = []
+    for t in texts[n:]:
+        words = t.split()
+        for i in range(changes):
+            words[-3 - 7 * i] = f"other{rng.randrange(10**9)}"
+        copies.append(" ".join(words))
+    return dict(enumerate(texts + copies)), [(n + i, n + pairs + i) for i in range(pairs)]
+
+
+def _roots(spark, texts, pairs):
+    ship_package(spark)
+    assert min(_jaccard(texts[a], texts[b]) for a, b in pairs) > 0.8
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    return {r.rid: r.root for r in simhash.similar_groups(docs).collect()}
+
+
+def test_near_copies_beside_unrelated_smaller_texts_are_found(spark):
+    texts, pairs = _crowd(170, 70, 600, 100, changes=4)
+    root = _roots(spark, texts, pairs)
+    assert [(a, b) for a, b in pairs if root[a] != root[b]] == []
+
+
+def test_crowded_keys_lose_nothing_and_texts_of_one_template_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 5, raising=False)
+    texts, pairs = _crowd(150, 100, 60, 30)
+    root = _roots(spark, texts, pairs)
+    later = dict((b, a) for a, b in pairs)
+    assert [i for i in texts if root[i] != later.get(i, i)] == []
+
+
+def test_linkage_connects_over_a_dissimilar_head():
+    h, x, y = np.full(6, -1), np.zeros(6, np.int64), np.array([-1, 0, 0, 0, 0, 0])
+    a, b = simhash.linkage(np.array([h, x, y]).view(np.uint64), 65)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(1, 2)]
