@@ -47,6 +47,11 @@ def pieces(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarra
     """Anchor, first window and number of windows of each piece, given the items' hashes."""
     if len(h) < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = window_minima(gram_hashes(h, gram), window - gram + 1)
+    return runs_of(gram_hashes(h, gram), window - gram + 1)
+
+
+def runs_of(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, given the hashes of the grams and how many a window has."""
+    least = window_minima(grams, width)
     first = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
     return least[first], first, np.diff(np.concatenate((first, [len(least)])))

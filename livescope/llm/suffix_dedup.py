@@ -3,7 +3,8 @@
 Windows that may be equal share an anchor (see ``anchors``), so texts are cut into pieces
 of windows with one anchor, and anchors are dealt out instead of suffixes:
 
-1. Anchors that occur once hold nothing repeated and go no further.
+1. Anchors that occur once hold nothing repeated and go no further, unless their piece has
+   a window twice (a run of short period); such pieces are always compared.
 2. Equal pieces fold into one, at its earliest place; every other copy goes whole.
 3. Distinct pieces that share an anchor may still share windows. Buckets of such pieces get
    a suffix array and its Burrows-Wheeler transform. Breadth-first backward extension
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import pieces
+from .anchors import gram_hashes, runs_of
 from .common import documents, id_of, stored, text_of
 
 WINDOW, GRAM = 100, 32
@@ -43,23 +44,33 @@ HOT, BUCKET = 4_096, 4_096
 _BYTE_HASH = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def _cut(raw: bytes, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Anchors, first windows and numbers of windows of a text's pieces, block by block."""
-    data = np.frombuffer(raw, np.uint8)
+def _cut(raw: bytes, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Anchors, first windows, numbers of windows of a text's pieces, and whether one has a window twice, block by block."""
+    data, width = np.frombuffer(raw, np.uint8), window - GRAM + 1
     for at in range(0, len(raw) - window + 1, BLOCK):
-        anchor, first, runs = pieces(_BYTE_HASH[data[at : at + BLOCK + window - 1]], window, GRAM)
+        grams = gram_hashes(_BYTE_HASH[data[at : at + BLOCK + window - 1]], GRAM)
+        anchor, first, runs = runs_of(grams, width)
         if runs.max(initial=0) > RUN:
             times = -(-runs // RUN)
             step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             left = np.repeat(runs, times) - step * RUN
             anchor, first, runs = np.repeat(anchor, times), np.repeat(first, times) + step * RUN, np.minimum(left, RUN)
-        yield anchor, first + at, runs
+        # Equal windows of a piece have its anchor at one place of each, so it has the anchor twice.
+        sizes = runs + width - 1
+        starts = np.cumsum(sizes) - sizes
+        places = np.arange(sizes.sum()) - np.repeat(starts - first, sizes)
+        inner = np.add.reduceat(grams[places] == np.repeat(anchor, sizes), starts, dtype=np.int64) > 1
+        for i in np.flatnonzero(inner).tolist():
+            a, n = int(first[i]) + at, int(runs[i])
+            inner[i] = len({raw[j : j + window] for j in range(a, a + n)}) < n
+        yield anchor, first + at, runs, inner
 
 
 def _anchors_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Anchors of pieces, twice where a piece has a window twice."""
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
-            found = [x[0] for t in batch.column(0).slice(a, 500).to_pylist() for x in _cut(t, window)]
+            found = [x for t in batch.column(0).slice(a, 500).to_pylist() for anchor, _, _, inner in _cut(t, window) for x in (anchor, anchor[inner])]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["anchor"])
 
@@ -70,12 +81,14 @@ def _pieces_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
         for a in range(0, batch.num_rows, 500):
             found = []
             for rid, th, raw in zip(*(batch.column(i).slice(a, 500).to_pylist() for i in range(3)), strict=True):
-                for anchor, first, runs in _cut(raw, window):
+                for anchor, first, runs, inner in _cut(raw, window):
                     digest = [hashed(raw[i:j]) for i, j in zip(first.tolist(), (first + runs + window - 1).tolist(), strict=True)]
-                    found.append((anchor, np.array(digest, np.uint64), np.full(len(first), rid), first << 24 | th << 8 | runs))
+                    found.append((anchor, np.array(digest, np.uint64), np.full(len(first), rid), first << 24 | th << 8 | runs, inner))
             if found:
-                anchor, digest, rid, pos = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(rid), pa.array(pos)], names=["anchor", "digest", "rid", "pos"])
+                anchor, digest, rid, pos, inner = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(rid), pa.array(pos), pa.array(inner)], names=["anchor", "digest", "rid", "pos", "inner"]
+                )
 
 
 def _contents_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -183,15 +196,15 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     anchors = long.select("raw").mapInArrow(lambda it: _anchors_of(it, window), "anchor long")
     often = stored(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    found = long.select("rid", "th", "raw").mapInArrow(lambda it: _pieces_of(it, window), "anchor long, digest long, rid long, pos long")
+    found = long.select("rid", "th", "raw").mapInArrow(lambda it: _pieces_of(it, window), "anchor long, digest long, rid long, pos long, inner boolean")
     suspects = stored(found.join(often, "anchor", "left_semi"), "suspects")
-    firsts = stored(suspects.groupBy("anchor", "digest").agg(F.min(F.struct("rid", "pos")).alias("own"), F.count("*").alias("copies")), "first-pieces")
+    firsts = stored(suspects.groupBy("anchor", "digest").agg(F.min(F.struct("rid", "pos")).alias("own"), F.count("*").alias("copies"), F.max("inner").alias("inner")), "first-pieces")
     th = F.shiftright("pos", 8).bitwiseAND(0xFFFF).cast("int").alias("th")
     n = F.col("pos").bitwiseAND(255).alias("n")
     copies = stored(firsts.where("copies > 1").select("anchor", "digest", "own"), "copied-pieces")
     copied = suspects.join(copies, ["anchor", "digest"]).where(F.struct("rid", "pos") != F.col("own")).select("rid", th, _first().alias("first"), n)
 
-    contested = stored(firsts.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1").select("anchor", (F.col("contents") > hot).alias("hot")), "contested")
+    contested = stored(firsts.groupBy("anchor").agg(F.count("*").alias("contents"), F.max("inner").alias("inner")).where("contents > 1 or inner").select("anchor", (F.col("contents") > hot).alias("hot")), "contested")
     wanted = firsts.select("anchor", "own.rid", "own.pos").join(contested, "anchor")
     wanted = wanted.groupBy("rid", th).agg(F.collect_list(F.struct("anchor", "pos", "hot")).alias("wanted"))
     contents = stored(
