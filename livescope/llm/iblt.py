@@ -1,8 +1,7 @@
 """Document fingerprints by invertible Bloom lookup sketches (DataFrame functions only).
 
-A text is cut into paragraphs: up to the first line end after 128 characters, 512 characters
-at most (both grow with texts of more than 65,536 characters, so that no text has more than
-about five hundred). A sketch has three rows of cells; every distinct paragraph digest is
+A text is cut into paragraphs: up to the first line end after 64 characters, 256 characters
+at most, by one rule for texts of any length. A sketch has three rows of cells; every distinct paragraph digest is
 added to one cell in each row, a cell holding a count and the XORs of its digests and of
 their check sums. Two sketches of one size subtract cell by cell, what both texts have
 cancels out, and cells with a single digest are peeled until nothing is left: the digests
@@ -36,9 +35,7 @@ RANGE, RANGES = 32, 50_000
 
 
 def paragraphs(text: Column) -> Column:
-    scale = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.char_length(text) / 65536, F.lit(1.0))))).cast("int")
-    low, high = (scale * 128).cast("string"), (scale * 512).cast("string")
-    return F.regexp_extract_all(text, F.concat(F.lit("(?s).{"), low, F.lit(","), high, F.lit("}?\n|.{1,"), high, F.lit("}")), F.lit(0))
+    return F.regexp_extract_all(text, F.lit("(?s).{64,256}?\n|.{1,256}"), F.lit(0))
 
 
 def digests(text: Column) -> Column:
@@ -70,13 +67,24 @@ def _with(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def sketch(items: Column, cells: int) -> Column:
-    """array<struct<n, k, c>> of all rows' cells."""
+    """array<struct<n, k, c>> of all rows' cells.
+
+    Items are dealt to groups of neighbouring cells first, so that none is looked at for every cell.
+    """
+    shift = 0
+    while 4 << (2 * shift) <= cells and cells % (2 << shift) == 0:
+        shift += 1
+    width = 1 << shift
 
     def row(r: int) -> Column:
-        return F.transform(
-            F.sequence(F.lit(r * cells), F.lit((r + 1) * cells - 1)),
-            lambda i: F.aggregate(F.filter(items, lambda x: x[f"p{r}"] == i), F.expr(_EMPTY), lambda a, x: _add(a, F.lit(1), x)),
-        )
+        def cell(few: Column, i: Column) -> Column:
+            return F.aggregate(F.filter(few, lambda x: x[f"p{r}"] == i), F.expr(_EMPTY), lambda a, x: _add(a, F.lit(1), x))
+
+        def group(g: Column) -> Column:
+            few = F.filter(items, lambda x: F.shiftright(x[f"p{r}"], shift) == g)
+            return _with(few, lambda held: F.transform(F.sequence(g * width, g * width + (width - 1)), lambda i: cell(held, i)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(r * cells // width), F.lit((r + 1) * cells // width - 1)), group))
 
     return F.concat(*[row(r) for r in range(ROWS)])
 

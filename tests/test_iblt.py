@@ -1,0 +1,40 @@
+"""Sketches and likeness of edited texts."""
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from livescope.llm import iblt
+
+
+def _text(n, seed):
+    rng = random.Random(seed)
+    return "".join("".join(rng.choice("abcdefgh ij") for _ in range(69)) + "\n" for _ in range(n // 70))
+
+
+def test_two_thirds_of_a_text_stay_alike_at_any_length(spark):
+    texts = {2: _text(70_000, 1), 1: _text(70, 2), 4: _text(420, 3), 3: _text(70, 4)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in iblt.fingerprints(docs).collect()}
+
+    # Descending ids: 4, 3, 2, 1 and 4 again; the edited text ends with the start of the next one.
+    for i, after in ((2, 1), (4, 3)):
+        kept = len(texts[i]) - len(texts[i]) // 3
+        edited = texts[i][:kept] + texts[after][: len(texts[i]) // 3]
+        a, e = (set(re.findall(r"(?s).{64,256}?\n|.{1,256}", x)) for x in (texts[i], edited))
+        assert got[i].n_chars == len(texts[i])
+        assert abs(got[i].near_edited - len(a & e) / len(a | e)) < 1e-9 and got[i].near_edited > 0.4
+
+
+def test_every_digest_is_in_its_cells(spark):
+    keys = [random.Random(9).randrange(-(2**63), 2**63) for _ in range(1)] + list(range(200))
+    row = spark.createDataFrame([(keys,)], "d array<long>")
+    for cells in (16, 64, 256):
+        item = F.transform("d", lambda d: iblt._item(d, cells))
+        got = row.select(iblt.sketch(item, cells).alias("s"), item.alias("i")).first()
+        want = [[0, 0, 0] for _ in range(iblt.ROWS * cells)]
+        for x in got.i:
+            for p in (x.p0, x.p1, x.p2):
+                want[p] = [want[p][0] + 1, want[p][1] ^ x.k, want[p][2] ^ x.c]
+        assert [[c.n, c.k, c.c] for c in got.s] == want
