@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, stored, text_of
-from .tokens import Encoder, bytes_of_ids, vocabulary
+from .tokens import Encoder, bytes_of_ids, encoder, vocabulary
 
 #: Characters that one task encodes in one go.
 LONGEST = 1 << 16
@@ -76,7 +76,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     """doc_id, ids (array<int>): as the library encodes each whole text, special tokens not added."""
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path, "byte")
+        enc = encoder(path, "byte")
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 some = batch.slice(at, _SLICE)
@@ -84,7 +84,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     base = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     special = F.lit(False)
-    for token in Encoder(path, "byte").tok.get_added_tokens_decoder().values():
+    for token in encoder(path, "byte").tok.get_added_tokens_decoder().values():
         special = special | F.contains("text", F.lit(token.content))
     short = base.where((F.length("text") <= longest) | special).mapInArrow(direct, "doc_id long, ids array<int>")
 
@@ -100,7 +100,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 )
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path, "byte")
+        enc = encoder(path, "byte")
         for batch in batches:
             for i in range(batch.num_rows):
                 doc, row, part, t = (batch.column(c)[i].as_py() for c in range(4))
@@ -110,7 +110,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 )
 
     def tree(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
-        enc = Encoder(path, "byte")
+        enc = encoder(path, "byte")
         parts = parts.sort_by("part")
         ids = [np.array(x, np.int32) for x in parts.column("ids").to_pylist()]
         while len(ids) > 1:
@@ -128,7 +128,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     """tokens(doc_id, ids) with decoded, the text as the library's decode gives it, special tokens kept."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path, "byte")
+        enc = encoder(path, "byte")
         for batch in batches:
             ids = batch.column(1)
             for at in range(0, batch.num_rows, _SLICE):

@@ -10,7 +10,8 @@ are cut where that fills the windows. Only lengths go to the shards, never ids,
 number of shards follows the number of documents.
 
 Cases: null text is empty and has the end id only; texts longer than a window give full
-windows first; rows that repeat a ``doc_id`` are packed each; other columns are ignored.
+windows first, however long they are; a table without rows gives none; documents of one length
+are packed in the order of their rows; rows that repeat a ``doc_id`` are packed each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, stored, text_of
-from .tokens import Encoder, vocabulary
+from .tokens import encoder, vocabulary
 
 WINDOW, END_ID = 4096, 2
 #: Lengths are rounded up to this many tokens; a combination has so many lengths at most.
@@ -40,7 +41,7 @@ def tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     """row, doc_id, n, ids (binary, little-endian unsigned 32-bit): whole texts with the end id."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = Encoder(path, "word"), np.array([end_id], np.uint32).tobytes()
+        enc, end = encoder(path, "word"), np.array([end_id], np.uint32).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 some = batch.slice(at, _SLICE)

@@ -2,8 +2,8 @@
 
 Both pre-tokenizers cut a text at white space without looking further back, so the ids of
 a text are those of its units (a run of other characters with the space before it, or a
-white-space run) one after another. Words repeat, so each task keeps the ids of
-up to ``CACHE`` units. Texts that hold a special token go to the library whole.
+white-space run) one after another. Words repeat, so each worker process keeps the ids of
+up to ``CACHE`` units from task to task. Texts that hold a special token go to the library whole.
 
 Python workers read the vocabulary file from ``path``, which every node must have.
 """
@@ -137,3 +137,9 @@ class Encoder:
             return b"".join([table[i] for i in ids.tolist()]).decode()
         except UnicodeDecodeError:
             return self.tok.decode(ids.tolist(), skip_special_tokens=False)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, kind: str) -> Encoder:
+    """The worker process's encoder: what it has learned in one task is known in the next."""
+    return Encoder(path, kind)
