@@ -5,7 +5,8 @@ of windows with one anchor, and anchors are dealt out instead of suffixes:
 
 1. Anchors that occur once hold nothing repeated and go no further, unless their piece has
    a window twice (a run of short period); such pieces are always compared.
-2. Equal pieces fold into one, at its earliest place; every other copy goes whole.
+2. Equal pieces (128-bit digests; two of 1e12 distinct ones agree by chance with odds of one in
+   1e14) fold into one, at its earliest place; every other copy goes whole.
 3. Distinct pieces that share an anchor may still share windows. Buckets of such pieces get
    a suffix array and its Burrows-Wheeler transform. Breadth-first backward extension
    derives the common prefixes by increasing length: an interval of suffixes that begin
@@ -14,12 +15,15 @@ of windows with one anchor, and anchors are dealt out instead of suffixes:
    as the string. It stops at ``window``; neighbours without a value by then have at least
    ``window`` bytes in common. In each run of those the earliest place stays.
 
-An anchor with more than ``hot`` distinct pieces would make its bucket large; its windows
-are grouped one by one instead, by their bytes, with the minimum taken before the shuffle.
+An anchor with more than ``hot`` distinct pieces would make its bucket, and so one task, grow
+with the input; its windows are grouped one by one instead, by their bytes, with the minimum
+taken before the shuffle: the exact way for the rest.
 
 Places are (doc_id, start). Cases: null text is empty; texts shorter than a window lose
 nothing; a null ``doc_id`` counts as the largest; rows that repeat doc_id and text are one
-document; matches never cross documents. Other columns are ignored.
+document; texts of one ``doc_id`` come in the order of their hashes; matches never cross
+documents; a table without rows gives none; long texts are read block by block. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -76,28 +80,29 @@ def _anchors_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
 
 
 def _pieces_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    hashed = xxhash.xxh3_64_intdigest
+    hashed = xxhash.xxh3_128_digest
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
             found = []
             for rid, th, raw in zip(*(batch.column(i).slice(a, 500).to_pylist() for i in range(3)), strict=True):
                 for anchor, first, runs, inner in _cut(raw, window):
                     digest = [hashed(raw[i:j]) for i, j in zip(first.tolist(), (first + runs + window - 1).tolist(), strict=True)]
-                    found.append((anchor, np.array(digest, np.uint64), np.full(len(first), rid), first << 24 | th << 8 | runs, inner))
+                    found.append((anchor, digest, np.full(len(first), rid), np.full(len(first), th), first << 8 | runs, inner))
             if found:
-                anchor, digest, rid, pos, inner = (np.concatenate(x) for x in zip(*found, strict=True))
+                digests = pa.array([d for x in found for d in x[1]], pa.binary())
+                anchor, rid, th, pos, inner = (np.concatenate([x[i] for x in found]) for i in (0, 2, 3, 4, 5))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(rid), pa.array(pos), pa.array(inner)], names=["anchor", "digest", "rid", "pos", "inner"]
+                    [pa.array(anchor.view(np.int64)), digests, pa.array(rid), pa.array(th), pa.array(pos), pa.array(inner)], names=["anchor", "digest", "rid", "th", "pos", "inner"]
                 )
 
 
 def _contents_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rid, raw, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            cut = [raw[(p >> 24) : (p >> 24) + (p & 255) + window - 1] for p in (w["pos"] for w in wanted)]
+        for rid, th, raw, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            cut = [raw[(p >> 8) : (p >> 8) + (p & 255) + window - 1] for p in (w["pos"] for w in wanted)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([w["anchor"] for w in wanted], pa.int64()), pa.array([rid] * len(cut), pa.int64()), pa.array([w["pos"] for w in wanted], pa.int64()), pa.array(cut, pa.binary()), pa.array([w["hot"] for w in wanted], pa.bool_())],
-                names=["anchor", "rid", "pos", "held", "hot"],
+                [pa.array([w["anchor"] for w in wanted], pa.int64()), pa.array([rid] * len(cut), pa.int64()), pa.array([th] * len(cut), pa.int64()), pa.array([w["pos"] for w in wanted], pa.int64()), pa.array(cut, pa.binary()), pa.array([w["hot"] for w in wanted], pa.bool_())],
+                names=["anchor", "rid", "th", "pos", "held", "hot"],
             )
 
 
@@ -150,9 +155,9 @@ def long_common_prefixes(symbols: np.ndarray, order: np.ndarray, least: int) ->
 
 def _compare(bucket: pa.Table, window: int) -> pa.Table:
     """Windows of a bucket's pieces that start earlier as well: rid, th, first, n."""
-    rid, pos = bucket.column("rid").to_numpy(), bucket.column("pos").to_numpy()
-    once = np.unique(np.column_stack([rid, pos]), axis=0, return_index=True)[1]  # rows that repeat come more than once
-    rid, pos, held = rid[once], pos[once], bucket.column("held").take(pa.array(once)).to_pylist()
+    rid, th, pos = (bucket.column(x).to_numpy() for x in ("rid", "th", "pos"))
+    once = np.unique(np.column_stack([rid, th, pos]), axis=0, return_index=True)[1]  # rows that repeat come more than once
+    rid, th, pos, held = rid[once], th[once], pos[once], bucket.column("held").take(pa.array(once)).to_pylist()
     sizes = np.array([len(h) for h in held])
     raw = np.frombuffer(b"\0".join(held) + b"\0", np.uint8).astype(np.int64) + 1
     ends = np.cumsum(sizes + 1) - 1
@@ -164,7 +169,7 @@ def _compare(bucket: pa.Table, window: int) -> pa.Table:
     group = np.cumsum(~shared)
     inside = start + window <= sizes[piece]
     piece, start, group = piece[inside], start[inside], group[inside]
-    place = np.lexsort((start + (pos[piece] >> 24), rid[piece], group))
+    place = np.lexsort((start + (pos[piece] >> 8), th[piece], rid[piece], group))
     later = np.ones(len(place), bool)
     later[0:1] = False
     g = group[place]
@@ -179,49 +184,48 @@ def _compare(bucket: pa.Table, window: int) -> pa.Table:
     n = np.diff(np.append(head, len(piece)))
     p = piece[head]
     return pa.table(
-        [pa.array(rid[p]), pa.array(((pos[p] >> 8) & 0xFFFF).astype(np.int32)), pa.array((pos[p] >> 24) + start[head]), pa.array(n.astype(np.int64))],
+        [pa.array(rid[p]), pa.array(th[p]), pa.array((pos[p] >> 8) + start[head]), pa.array(n.astype(np.int64))],
         names=["rid", "th", "first", "n"],
     )
 
 
 def _first(pos: str = "pos") -> Column:
-    return F.shiftright(pos, 24)
+    return F.shiftright(pos, 8)
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, hot: int = HOT, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """The rows of docs as (rid, th, doc_id, raw), and runs (rid, th, first, n) of windows that start earlier."""
     held = text_of(docs, text)
-    keyed = docs.select(id_of(docs, doc_id).alias("rid"), F.hash(held).bitwiseAND(0xFFFF).alias("th"), docs[doc_id].alias("doc_id"), held.cast("binary").alias("raw"))
+    keyed = docs.select(id_of(docs, doc_id).alias("rid"), F.xxhash64(held).alias("th"), docs[doc_id].alias("doc_id"), held.cast("binary").alias("raw"))
     long = keyed.where(F.octet_length("raw") >= window)
 
     anchors = long.select("raw").mapInArrow(lambda it: _anchors_of(it, window), "anchor long")
     often = stored(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    found = long.select("rid", "th", "raw").mapInArrow(lambda it: _pieces_of(it, window), "anchor long, digest long, rid long, pos long, inner boolean")
+    found = long.select("rid", "th", "raw").mapInArrow(lambda it: _pieces_of(it, window), "anchor long, digest binary, rid long, th long, pos long, inner boolean")
     suspects = stored(found.join(often, "anchor", "left_semi"), "suspects")
-    firsts = stored(suspects.groupBy("anchor", "digest").agg(F.min(F.struct("rid", "pos")).alias("own"), F.count("*").alias("copies"), F.max("inner").alias("inner")), "first-pieces")
-    th = F.shiftright("pos", 8).bitwiseAND(0xFFFF).cast("int").alias("th")
+    firsts = stored(suspects.groupBy("anchor", "digest").agg(F.min(F.struct("rid", "th", "pos")).alias("own"), F.count("*").alias("copies"), F.max("inner").alias("inner")), "first-pieces")
     n = F.col("pos").bitwiseAND(255).alias("n")
     copies = stored(firsts.where("copies > 1").select("anchor", "digest", "own"), "copied-pieces")
-    copied = suspects.join(copies, ["anchor", "digest"]).where(F.struct("rid", "pos") != F.col("own")).select("rid", th, _first().alias("first"), n)
+    copied = suspects.join(copies, ["anchor", "digest"]).where(F.struct("rid", "th", "pos") != F.col("own")).select("rid", "th", _first().alias("first"), n)
 
     contested = stored(firsts.groupBy("anchor").agg(F.count("*").alias("contents"), F.max("inner").alias("inner")).where("contents > 1 or inner").select("anchor", (F.col("contents") > hot).alias("hot")), "contested")
-    wanted = firsts.select("anchor", "own.rid", "own.pos").join(contested, "anchor")
-    wanted = wanted.groupBy("rid", th).agg(F.collect_list(F.struct("anchor", "pos", "hot")).alias("wanted"))
+    wanted = firsts.select("anchor", "own.rid", "own.th", "own.pos").join(contested, "anchor")
+    wanted = wanted.groupBy("rid", "th").agg(F.collect_list(F.struct("anchor", "pos", "hot")).alias("wanted"))
     contents = stored(
-        keyed.select("rid", "th", "raw").join(stored(wanted, "wanted"), ["rid", "th"]).select("rid", "raw", "wanted")
-        .mapInArrow(lambda it: _contents_of(it, window), "anchor long, rid long, pos long, held binary, hot boolean"),
+        keyed.select("rid", "th", "raw").join(stored(wanted, "wanted"), ["rid", "th"]).select("rid", "th", "raw", "wanted")
+        .mapInArrow(lambda it: _contents_of(it, window), "anchor long, rid long, th long, pos long, held binary, hot boolean"),
         "contents",
     )
     buckets = max(1, -(-contents.where("not hot").count() // bucket))
-    dealt = contents.where("not hot").select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"), "rid", "pos", "held")
-    compared = dealt.groupBy("bucket").applyInArrow(lambda t: _compare(t, window), "rid long, th int, first long, n long")
+    dealt = contents.where("not hot").select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"), "rid", "th", "pos", "held")
+    compared = dealt.groupBy("bucket").applyInArrow(lambda t: _compare(t, window), "rid long, th long, first long, n long")
 
     at = F.explode(F.sequence(F.lit(0), n.cast("int") - 1)).alias("at")
-    single = contents.where("hot").select("rid", "pos", "held", at).select(
-        "rid", th, (_first() + F.col("at")).alias("first"), F.expr(f"substring(held, at + 1, {window})").alias("held")
+    single = contents.where("hot").select("rid", "th", "pos", "held", at).select(
+        "rid", "th", (_first() + F.col("at")).alias("first"), F.expr(f"substring(held, at + 1, {window})").alias("held")
     )
-    earliest = stored(single.groupBy("held").agg(F.min(F.struct("rid", "first")).alias("own"), F.count("*").alias("n")).where("n > 1").select("held", "own"), "hot-windows")
-    apart = single.join(earliest, "held").where(F.struct("rid", "first") != F.col("own")).select("rid", "th", "first", F.lit(1).cast("long").alias("n"))
+    earliest = stored(single.groupBy("held").agg(F.min(F.struct("rid", "th", "first")).alias("own"), F.count("*").alias("n")).where("n > 1").select("held", "own"), "hot-windows")
+    apart = single.join(earliest, "held").where(F.struct("rid", "th", "first") != F.col("own")).select("rid", "th", "first", F.lit(1).cast("long").alias("n"))
     return keyed, copied.unionByName(compared).unionByName(apart)
 
 
