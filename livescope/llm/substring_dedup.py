@@ -3,11 +3,14 @@
 A window is ``window`` consecutive words of one document. It goes where its words also
 start in a document with a smaller ``doc_id``.
 
-Pass 1 makes a count-min sketch of window counts. Each partition counts the cells of its
-own windows (one per piece: windows that share an anchor, see ``anchors``, share their
-cells, so a cell's sum is never below any of its windows' counts), and the partition
-sketches are merged by adding them. The sketch is kept sparse and spread by cell, with
-``depth`` rows of ``2 ** width_bits`` cells, so nothing of it has to fit in one place.
+Pass 1 makes a count-min sketch of window counts, with ``depth`` rows of ``2 ** width_bits``
+cells: by default the least power of two with ``SPARE`` cells or more for each piece, so that a
+row takes one window in ``SPARE`` to be repeated that is not, and both rows one in
+``SPARE ** 2``. Windows that share an anchor (see ``anchors``) share their cells, so a cell's sum
+is never below any of its windows' counts. Each partition adds up its own sketch (the partial
+aggregate of its cells) and partition sketches are merged by adding them. A sketch of a size
+that follows the input would not fit in one task at 100 TB (some 1e12 pieces, 8e12 cells), so
+partition sketches hold the cells in use only, and the merged one is dealt by cell.
 
 Pass 2 takes the pieces whose estimate is 2 or more in every row, and compares exactly.
 Equal pieces fold into one with its first document; only where several pieces share an
@@ -35,9 +38,11 @@ from .anchors import pieces
 from .common import documents, id_of, stored, text_of
 
 GRAM = 8
+#: Cells of a row of the sketch for each piece, at least.
+SPARE = 8
 #: Windows handled at once; longer texts go block by block, one window less than a block apart.
 BLOCK = 1 << 16
-_PIECE = "anchor long, digest long, rid long, th int, first int, n int"
+_PIECE = "anchor long, digest long, rid long, th long, first int, n int"
 
 
 class Words:
@@ -68,7 +73,7 @@ def _pieces_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
                 anchor, first, runs = pieces(h[at : at + BLOCK + window - 1], window, GRAM)
                 first = first + at
                 digest = [xxhash.xxh3_64_intdigest(words.joined[starts[a] : starts[b] - 1]) for a, b in zip(first.tolist(), (first + runs + window - 1).tolist(), strict=True)]
-                found.append((anchor, np.array(digest, np.uint64), np.full(len(first), rid), np.full(len(first), th, np.int32), first, runs))
+                found.append((anchor, np.array(digest, np.uint64), np.full(len(first), rid), np.full(len(first), th), first, runs))
         if found:
             anchor, digest, rid, th, first, runs = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -108,15 +113,17 @@ def _cells(depth: int, width_bits: int):
 
 
 def repeated_spans(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50, depth: int = 2, width_bits: int = 40
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50, depth: int = 2, width_bits: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """The rows of docs as (rid, th, doc_id, text), and the spans (rid, th, first, last) of words to remove."""
     keyed = docs.select(
-        id_of(docs, doc_id).alias("rid"), F.hash(text_of(docs, text)).alias("th"), docs[doc_id].alias("doc_id"), text_of(docs, text).alias("text")
+        id_of(docs, doc_id).alias("rid"), F.xxhash64(text_of(docs, text)).alias("th"), docs[doc_id].alias("doc_id"), text_of(docs, text).alias("text")
     )
     found = stored(keyed.select("rid", "th", "text").mapInArrow(lambda it: _pieces_of(it, window), _PIECE), "pieces")
 
     # Pass 1: partition sketches, merged by sum.
+    if width_bits is None:
+        width_bits = max(10, (SPARE * found.count() - 1).bit_length())
     cells = _cells(depth, width_bits)
     sketch = found.select(F.explode(F.array(*cells)).alias("cell")).groupBy("cell").agg(F.count("*").alias("estimate"))
     often = stored(sketch.where("estimate > 1").select("cell"), "sketch")
@@ -194,12 +201,11 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     Texts that lose nothing stay as they are; a document that loses all its words goes.
     """
     _, spans = repeated_spans(docs, window=window)
-    whole = docs.select(
-        id_of(docs).alias("rid"), F.hash(text_of(docs)).alias("th"), text_of(docs).alias("text"), F.struct(*docs.columns).alias("row")
-    )
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    whole = docs.select(id_of(docs).alias("rid"), F.xxhash64(text_of(docs)).alias("th"), text_of(docs).alias("text"), row)
     cut = _cut(whole.join(_lists(spans), ["rid", "th"], "left")).where("cut.n_removed = 0 or cut.n_removed < cut.n_words")
     text = F.when(F.col("cut.n_removed") > 0, F.col("cut.kept_text")).otherwise(F.col("row.text"))
-    n_chars = F.when(F.col("cut.n_removed") > 0, F.char_length("cut.kept_text").cast("long")).otherwise(F.col("row.n_chars"))
+    n_chars = F.when(F.col("cut.n_removed") > 0, F.char_length("cut.kept_text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
     made = {"text": text, "n_chars": n_chars}
     return cut.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
