@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@lru_cache(maxsize=8)
+def _made(folder: str, application: str) -> str:
+    """A folder of this application's own, which the file system deletes when the driver ends."""
+    path = f"{folder}/llm-{application}-{uuid.uuid4().hex}"
+    spark = SparkSession.active()
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return _made(shared_dir(spark), spark.sparkContext.applicationId)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -39,7 +56,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     whose size is known, so that Spark broadcasts it only when it is small.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

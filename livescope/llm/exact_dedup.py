@@ -6,7 +6,8 @@ verified to stand for one content, and documents are compared by their recipes,
 the ordered lists of identifiers. Chunk contents are shuffled once, duplicates
 removed before the shuffle; documents themselves never move.
 
-Cases: null text counts as empty; all empty texts are one group. Rows that
+Cases: null text counts as empty; all empty texts are one group; a text of any length is a list
+of chunks; a table without rows gives none. Rows that
 repeat a ``doc_id`` with the same text are one document and are kept alike.
 Columns other than the id and the text are ignored.
 """
@@ -90,9 +91,11 @@ def exact_dedup(
 
 def first_copies(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs whose document is the first of its equals."""
-    gone = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
-    sha = F.sha2(normalised(text_of(docs)).cast("binary"), 256)
-    return docs.join(stored(gone, "later-copies"), docs["doc_id"].eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha")), "left_anti")
+    gone = stored(exact_dedup(docs).where("not kept").select("doc_id", "text_sha256").distinct(), "later-copies")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    sha = F.sha2(normalised(F.coalesce(F.col("row.text"), F.lit(""))).cast("binary"), 256)
+    left = own.join(gone, F.col("row.doc_id").eqNullSafe(gone["doc_id"]) & (sha == gone["text_sha256"]), "left_anti")
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

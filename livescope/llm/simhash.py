@@ -10,7 +10,8 @@ component without making all pairs.
 
 Cases: a null or blank text has fingerprint zero and is linked like any other; fewer
 words than a shingle make one shingle of them all; a null ``doc_id`` counts as the
-largest. Rows that repeat a ``doc_id`` each get a row. Other columns are ignored.
+largest. Rows that repeat a ``doc_id`` each get a row; texts are read whole at any length; a
+table without rows gives none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import mixed
-from .common import documents, id_of, stored, text_of
+from .common import LAST_ID, documents, id_of, stored, text_of
 from .components import components
 
 SEED = 42
@@ -93,7 +94,12 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
-    """(a, b): verified links between distinct fingerprints ``fp``, enough for their components."""
+    """(a, b): verified links between distinct fingerprints ``fp``, enough for their components.
+
+    Only for even distances, where all that meet on a variant are within ``distance`` of one another.
+    """
+    if distance % 2:
+        raise ValueError("distance must be even")
     masks = [sum(1 << i for i in bits) for r in range((distance + 1) // 2 + 1) for bits in combinations(range(64), r)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     variants = distinct.select(
@@ -225,7 +231,9 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def first_of_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows and columns of docs that reach no smaller doc_id."""
     gone = stored(similar_groups(docs, width=width, similarity=similarity).where("rid > root").select("rid").distinct(), "later-near-copies")
-    return docs.join(gone, id_of(docs) == gone["rid"], "left_anti")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rid = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST_ID))
+    return own.join(gone, rid == gone["rid"], "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
