@@ -1,11 +1,17 @@
 """Stupid-backoff language-model scores, computed relationally.
 
 Every document is scored by n-gram counts over all documents. Documents are dealt into
-batches by hash. A batch lists its distinct n-grams, hashed and counted, and asks each
-hash bucket for its share of them: one row (bucket, batch, order, hashes, counts). A bucket
-adds up the counts of all batches, which is its part of the count table, and answers each
-row with the totals in the row's own order. Batches take their answers, look up each of
-their n-grams, and sum the scores of each document.
+batches by hash. A batch lists its distinct n-grams, hashed and counted, and joins each
+hash partition of the count table for its share of them: one row (bucket, batch, order,
+hashes, counts). A bucket adds up the counts of all batches, which is its part of the count
+table, and answers each row with the totals in the row's own order. Batches take their
+answers, look up each of their n-grams, and sum the scores of each document.
+
+Rows of single n-grams would be the plainer form. On 0.87 GB of text, order 3 has some 205
+million distinct n-grams of batches; as Spark rows of (hash, batch, count) that is 16 bytes
+each in a compressed shuffle, 3.2 GB one way, against six here: hashes are sorted, so that
+their differences are stored, and counts take the bytes they need. There are never more
+lists than there would be rows, as empty ones are left out.
 
 Counts are added up before they are shuffled, so the most frequent n-gram is one entry a
 batch. Buckets and batches have about ``batch_bytes`` of text to them and their number
@@ -16,7 +22,8 @@ least ``min_count`` occurrences, times ``alpha`` for each order given up; at the
 the word's share of all words. Words are runs without ASCII white space, A-Z lower-cased.
 
 Cases: null, empty and blank texts have no words, score 0 and mean 0; rows that repeat a
-``doc_id`` are scored and counted each; other columns are ignored.
+``doc_id`` are scored and counted each; a long text is one document of its batch; a table
+without rows gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +37,11 @@ from pyspark.sql import functions as F
 from .anchors import mixed
 from .common import documents, stored, text_of
 
-ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
+ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 #: Bytes of text of a batch; also of the n-grams of a bucket.
-BATCH_BYTES = 8 << 20
-_ASK = "bucket long, batch long, gram int, hashes binary, counts binary"
-_ANSWER = "batch long, gram int, bucket long, totals binary"
+BATCH_BYTES = 16 << 20
+_ASK = "bucket long, batch long, gram int, n int, hashes binary, counts binary"
+_ANSWER = "batch long, gram int, bucket long, n int, totals binary"
 
 
 def _grams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -58,6 +65,28 @@ def _grams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return sizes, out
 
 
+def _pack_hashes(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as compressed differences, bytes of one place together."""
+    apart = np.diff(hashes, prepend=np.uint64(0))
+    return pa.compress(apart.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _hashes_of(packed: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(packed, 8 * n, "zstd", asbytes=True)
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, n).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes as the greatest needs; the first byte says how many."""
+    width = np.min_scalar_type(int(counts.max(initial=0)))
+    return bytes([width.itemsize]) + pa.compress(counts.astype(width).tobytes(), "zstd", asbytes=True)
+
+
+def _counts_of(packed: bytes, n: int) -> np.ndarray:
+    width = packed[0]
+    return np.frombuffer(pa.decompress(packed[1:], width * n, "zstd", asbytes=True), f"u{width}")
+
+
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Grows with the hash, so that sorted hashes are sorted by bucket."""
     return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -73,28 +102,28 @@ def _ask(batch: pa.Table, order: int, buckets: int) -> pa.Table:
         bucket = _bucket(hashes, buckets)
         first = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
         for a, b in zip(first, [*first[1:], len(hashes)], strict=True):
-            rows.append((int(bucket[a]), number, n, hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()))
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "batch", "gram", "hashes", "counts"])
+            rows.append((int(bucket[a]), number, n, int(b - a), _pack_hashes(hashes[a:b]), _pack_counts(counts[a:b])))
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "batch", "gram", "n", "hashes", "counts"])
 
 
 def _answer(asked: pa.Table) -> pa.Table:
     """One bucket: its part of the count tables, and from it an answer to each row."""
     out = []
-    grams = asked.column("gram").to_numpy()
+    grams, sizes = asked.column("gram").to_numpy(), asked.column("n").to_numpy()
     for n in np.unique(grams):
         rows = np.flatnonzero(grams == n)
-        hashes = [np.frombuffer(asked.column("hashes")[i].as_py(), np.uint64) for i in rows.tolist()]
-        counts = [np.frombuffer(asked.column("counts")[i].as_py(), np.uint32) for i in rows.tolist()]
+        hashes = [_hashes_of(asked.column("hashes")[i].as_py(), int(sizes[i])) for i in rows.tolist()]
+        counts = [_counts_of(asked.column("counts")[i].as_py(), int(sizes[i])) for i in rows.tolist()]
         keys, at = np.unique(np.concatenate(hashes), return_inverse=True)
         totals = np.bincount(at, weights=np.concatenate(counts), minlength=len(keys)).astype(np.uint64)
         mine, a = totals[at], 0
-        for i, own in zip(rows.tolist(), hashes, strict=True):
-            out.append((asked.column("batch")[i].as_py(), int(n), asked.column("bucket")[i].as_py(), mine[a : a + len(own)].tobytes()))
-            a += len(own)
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["batch", "gram", "bucket", "totals"])
+        for i, size in zip(rows.tolist(), sizes[rows].tolist(), strict=True):
+            out.append((asked.column("batch")[i].as_py(), int(n), asked.column("bucket")[i].as_py(), size, _pack_counts(mine[a : a + size])))
+            a += size
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["batch", "gram", "bucket", "n", "totals"])
 
 
 def _sum(batch: pa.Table, answers: pa.Table, order: int, alpha: float, min_count: int) -> pa.Table:
@@ -102,7 +131,7 @@ def _sum(batch: pa.Table, answers: pa.Table, order: int, alpha: float, min_count
     counts = []
     for n, own in enumerate(grams, 1):
         rows = sorted((b, i) for i, (b, g) in enumerate(zip(answers.column("bucket").to_pylist(), answers.column("gram").to_pylist(), strict=True)) if g == n)
-        totals = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(answers.column("totals")[i].as_py(), np.uint64) for _, i in rows)])
+        totals = np.concatenate([np.zeros(0, np.uint64), *(_counts_of(answers.column("totals")[i].as_py(), answers.column("n")[i].as_py()) for _, i in rows)])
         known = own != 0
         got = np.zeros(len(own))
         got[known] = totals[np.unique(own[known], return_inverse=True)[1]]
@@ -156,16 +185,20 @@ WITH d AS (
   SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS ws
   FROM documents
 ), w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
-p AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM w),
+p AS (SELECT doc_id, i, w, lag(w) OVER o AS v, lag(w, 2) OVER o AS u FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 c1 AS (SELECT w, count(*) AS n FROM w GROUP BY w),
 c2 AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, w),
-s AS (
-  SELECT p.doc_id,
-    CASE WHEN p.v IS NULL THEN ln(a.n / (SELECT count(*) FROM w))
-         WHEN c2.n >= 2 THEN ln(c2.n / b.n)
-         ELSE ln(a.n / (SELECT count(*) FROM w)) + ln(0.4) END AS s,
-    CASE WHEN p.v IS NOT NULL AND c2.n < 2 THEN 1 ELSE 0 END AS backed
+c3 AS (SELECT u, v, w, count(*) AS n FROM p WHERE u IS NOT NULL GROUP BY u, v, w),
+t AS (
+  SELECT p.doc_id, a.n AS n1, b.n AS before1, c2.n AS n2, e.n AS before2, c3.n AS n3,
+    CASE WHEN p.u IS NOT NULL THEN 3 WHEN p.v IS NOT NULL THEN 2 ELSE 1 END AS top
   FROM p JOIN c1 a ON a.w = p.w LEFT JOIN c1 b ON b.w = p.v LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w
+  LEFT JOIN c2 e ON e.v = p.u AND e.w = p.v LEFT JOIN c3 ON c3.u = p.u AND c3.v = p.v AND c3.w = p.w
+), r AS (SELECT *, CASE WHEN top = 3 AND n3 >= 2 THEN 3 WHEN top >= 2 AND n2 >= 2 THEN 2 ELSE 1 END AS got FROM t),
+s AS (
+  SELECT doc_id, top - got AS backed, (top - got) * ln(0.4)
+    + CASE got WHEN 3 THEN ln(n3 / before2) WHEN 2 THEN ln(n2 / before1) ELSE ln(n1 / (SELECT count(*) FROM w)) END AS s
+  FROM r
 )
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_backoffs, 0)::BIGINT AS n_backoffs, coalesce(mean_score, 0.0) AS mean_score
 FROM d LEFT JOIN (SELECT doc_id, sum(backed) AS n_backoffs, round(avg(s), 6) AS mean_score FROM s GROUP BY doc_id) x ON d.doc_id = x.doc_id
