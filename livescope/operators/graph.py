@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -27,6 +28,20 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """df with place: the row number in its group by order, without one task for a whole group.
+
+    Rows are dealt into ranges of (group, order) and numbered there; a range starts where the ranges of the group before it end.
+    """
+    ranged = _kept(df.repartitionByRange(*group, *order).withColumn("part_no", F.spark_partition_id()))
+    sizes = ranged.groupBy(*group, "part_no").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(W.partitionBy(*group).orderBy("part_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    starts = _kept(sizes.select(*group, "part_no", before))
+    within = F.row_number().over(W.partitionBy(*group, "part_no").orderBy(*order))
+    numbered = ranged.withColumn("place", within).join(starts, [*group, "part_no"])
+    return numbered.withColumn("place", F.col("place") + F.col("before")).drop("part_no", "before")
+
+
 def triage(edges: DataFrame, tests: DataFrame) -> DataFrame:
     """edges(src, dst, resolution, semantics) with category: unresolved, from_test, noop or forward, the first that fits."""
     from_test = tests.select(F.col("ref").alias("src"), F.lit(True).alias("from_test")).distinct()

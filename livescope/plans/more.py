@@ -66,8 +66,7 @@ def g6(spark, sf):
 
 @query("G11", f"""WITH {_FACTS} SELECT artifact, cls, name, "desc", status, row_number() OVER (PARTITION BY artifact ORDER BY cls, name, "desc") AS place FROM ve""")
 def g11(spark, sf):
-    place = F.row_number().over(W.partitionBy("artifact").orderBy("cls", "name", "desc"))
-    return verdict.evaluate(_facts(spark, sf)).select("artifact", "cls", "name", "desc", "status", place.alias("place"))
+    return graph.placed(verdict.evaluate(_facts(spark, sf)).select("artifact", "cls", "name", "desc", "status"), ["artifact"], ["cls", "name", "desc"])
 
 
 def _lines(spark, sf):
