@@ -47,3 +47,8 @@ def withheld(bits: DataFrame, windows: DataFrame) -> DataFrame:
     return bits.join(held, ["build", "instance", "day"], "left_semi").groupBy("build").agg(
         F.count("*").alias("bits"), F.count_distinct("instance", "day", "cls").alias("records"), F.count_distinct("cls").alias("classes")
     )
+
+
+def evidence_only(rows: DataFrame, windows: DataFrame, of: str = "life") -> DataFrame:
+    """The rows of windows that are evidence of ``life`` or ``death``; nothing else goes into a merge."""
+    return rows.join(usable(windows).where(of).select("build", "instance", "day"), ["build", "instance", "day"], "left_semi")

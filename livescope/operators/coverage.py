@@ -103,3 +103,10 @@ def last_window(bits: DataFrame) -> DataFrame:
     """The latest window of each build and class."""
     w = W.partitionBy("build", "cls").orderBy(F.desc("day"), "instance")
     return bits.select("build", "cls", "day", "instance").distinct().withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+
+
+def seen_classes(bits: DataFrame) -> DataFrame:
+    """When each class was first and last seen, with how many probes, on how many days."""
+    return bits.groupBy("build", "cls").agg(
+        F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count_distinct("idx").alias("bits"), F.count_distinct("day").alias("days")
+    )

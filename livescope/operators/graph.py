@@ -49,15 +49,29 @@ def triage(edges: DataFrame, tests: DataFrame) -> DataFrame:
     return edges.join(from_test, "src", "left").withColumn("category", category.otherwise("forward")).drop("from_test")
 
 
+def initialisers(methods: DataFrame) -> DataFrame:
+    """(src, dst): from every method(ref, cls, name) to its class's initialisers, which run before it."""
+    of = methods.where("name = '<clinit>'").select("cls", F.col("ref").alias("dst"))
+    return methods.select("cls", F.col("ref").alias("src")).join(of, "cls").select("src", "dst").where("src <> dst")
+
+
 def reachable(roots: DataFrame, forward: DataFrame) -> DataFrame:
-    """ref: everything that roots(ref) reach over forward(src, dst). Only the frontier is joined in a round."""
+    """ref: everything that roots(ref) reach over forward(src, dst).
+
+    A round writes its frontier beside those before it, so what is reached is written once, and joins the frontier only.
+    """
+    spark, folder = roots.sparkSession, f"{shared_folder(roots.sparkSession)}/graph/{uuid.uuid4().hex}"
     edges = _kept(forward.select("src", "dst").distinct())
-    reached = frontier = _kept(roots.select("ref").distinct())
-    while not frontier.isEmpty():
+    new, rounds = roots.select("ref").distinct(), []
+    while True:
+        rounds.append(f"{folder}/round={len(rounds)}")
+        new.write.parquet(rounds[-1])
+        frontier = spark.read.schema(new.schema).parquet(rounds[-1])
+        reached = spark.read.schema(new.schema).parquet(*rounds)
+        if frontier.isEmpty():
+            return reached
         step = edges.join(frontier, edges["src"] == frontier["ref"], "left_semi").select(F.col("dst").alias("ref")).distinct()
-        frontier = _kept(step.join(reached, "ref", "left_anti"))
-        reached = _kept(reached.union(frontier))
-    return reached
+        new = step.join(reached, "ref", "left_anti")
 
 
 def static_reachable(methods: DataFrame, triaged: DataFrame, reached: DataFrame, tests: DataFrame) -> DataFrame:

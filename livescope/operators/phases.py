@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,16 +32,52 @@ def span(intervals: DataFrame) -> DataFrame:
     return intervals.groupBy("build").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).withColumn("window_days", F.date_diff("stop", "start"))
 
 
-def month_ends(span_of: DataFrame, days: int) -> DataFrame:
-    """(phase, p_start, p_stop): the last days of every month that the span overlaps; one-row span in, a calendar out."""
+# The rules of a calendar and the months that each takes.
+RULES = {"last-days-of-month": tuple(range(1, 13)), "last-days-of-quarter": (3, 6, 9, 12), "last-days-of-year": (12,)}
+
+
+def expand(span_of: DataFrame, rules: list[tuple[str, str, int]]) -> DataFrame:
+    """(phase, p_start, p_stop): the last days of every month, quarter or year that the span overlaps.
+
+    rules are (phase, rule, days), at least one day each; one-row span in, a calendar out. An unknown rule is an error.
+    """
+    unknown = [r for _, r, _ in rules if r not in RULES]
+    if unknown:
+        raise ValueError(f"unknown calendar rules: {unknown}")
     months = F.explode(F.sequence(F.trunc(F.add_months("start", -1), "month"), F.trunc(F.date_add("stop", 40), "month"), F.expr("interval 1 month"))).alias("m")
-    tail = span_of.select("start", "stop", months).select("start", "stop", F.date_add(F.last_day("m"), 1 - days).alias("p_start"), F.date_add(F.last_day("m"), 1).alias("p_stop"))
-    kept = tail.where((F.col("p_start") < F.col("stop")) & (F.col("p_stop") > F.col("start")))
-    return kept.select(F.lit("month-end").alias("phase"), "p_start", "p_stop")
+    known = F.array(*[F.struct(F.lit(p).alias("phase"), F.array(*map(F.lit, RULES[r])).alias("months"), F.lit(max(1, n)).alias("days")) for p, r, n in rules])
+    each = span_of.select("start", "stop", months).select("start", "stop", "m", F.explode(known).alias("rule")).where(F.array_contains("rule.months", F.month("m")))
+    tail = each.select("start", "stop", "rule.phase", F.expr("date_add(last_day(m), 1 - rule.days)").alias("p_start"), F.date_add(F.last_day("m"), 1).alias("p_stop"))
+    return tail.where((F.col("p_start") < F.col("stop")) & (F.col("p_stop") > F.col("start"))).select("phase", "p_start", "p_stop")
+
 
+def phase_coverage(builds: DataFrame, merged: DataFrame, phases: DataFrame, required: list[str], least: float = 0.9) -> DataFrame:
+    """For each build(build, ...) and required phase the best covered occurrence, whether it is enough, and why not.
 
-def phase_coverage(merged: DataFrame, phases: DataFrame, least: float = 0.9) -> DataFrame:
-    """The best covered occurrence of each phase, and whether it is enough."""
+    A phase without any occurrence is missing, and so is every phase of a build without windows.
+    """
     o = overlap_days(merged, phases).withColumn("fraction", F.col("covered") / F.date_diff("p_stop", "p_start"))
-    best = o.groupBy("build", "phase").agg(F.round(F.max("fraction"), 4).alias("fraction"), F.count("*").alias("occurrences"))
-    return best.withColumn("is_covered", F.col("fraction") >= least)
+    best = o.groupBy("build", "phase").agg(F.max("fraction").alias("best"))
+    happens = F.broadcast(phases.groupBy("phase").agg(F.count("*").alias("occurrences")))  # a row a phase
+    wanted = builds.select("build", F.explode(F.array(*map(F.lit, required))).alias("phase"))
+    joined = wanted.join(happens, "phase", "left").join(best, ["build", "phase"], "left")
+    fraction = F.coalesce("best", F.lit(0.0))
+    state = F.when(F.col("occurrences").isNull(), "no occurrence").when(fraction >= least, "covered").otherwise("too little observed")
+    return joined.select("build", "phase", F.round(fraction, 4).alias("fraction"), F.coalesce("occurrences", F.lit(0)).alias("occurrences"), (fraction >= least).alias("is_covered"), state.alias("state"))
+
+
+DEFAULT_CALENDAR = [("month-end", "last-days-of-month", 2), ("quarter-end", "last-days-of-quarter", 2)]
+
+
+def read_calendar(spark: SparkSession, path: str) -> list[tuple[str, str, int]]:
+    """The rules of a calendar file (JSON lines of phase, rule, days); the default ones where there is no file."""
+    try:
+        rows = spark.read.schema("phase string, rule string, days int").json(path).collect()  # a calendar is a few rows
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return DEFAULT_CALENDAR
+    unknown = [r.rule for r in rows if r.rule not in RULES]
+    if unknown:
+        raise ValueError(f"unknown calendar rules: {unknown}")
+    return sorted((r.phase, r.rule, r.days if r.days is not None else 1) for r in rows)

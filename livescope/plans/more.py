@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import coverage, edges, graph, ledger, rules, verdict
 from ..sources import derived as d
 from ..sources import windows
-from .registry import _AGG, _EFFECTIVE, _FACTS, _FRAMES, _LIFE, SQL, _decoded, _facts, _frames, _roots, _triaged, _TRIAGE, query
+from .registry import _AGG, _EFFECTIVE, _FACTS, _FRAMES, _LIFE, SQL, _decoded, _facts, _frames, _reached, _triaged, _TRIAGE, query
 
 
 @query(
@@ -53,7 +53,7 @@ WHERE category <> 'unresolved' AND dst NOT IN (SELECT ref FROM re) GROUP BY dst"
 )
 def g4(spark, sf):
     triaged, _tests = _triaged(spark, sf)
-    found = graph.reachable(_roots(spark, sf), triaged.where("category = 'forward'"))
+    found = _reached(spark, sf)
     rest = triaged.where("category <> 'unresolved'").select(F.col("dst").alias("ref"), "category").join(found, "ref", "left_anti")
     return rest.groupBy("ref").agg(F.bool_and(F.col("category") == "noop").alias("only_noop"), F.bool_and(F.col("category") == "from_test").alias("only_test"))
 

@@ -190,17 +190,22 @@ def c1(spark, sf):
 _SEEN = "CAST(min(day) + 1 AS DATE) AS first_seen, CAST(max(day) + 1 AS DATE) AS last_seen"
 
 
-@query("C3", f"WITH {d.COVERAGE} SELECT build, cls, idx, {_SEEN}, count(*) AS windows FROM cb GROUP BY ALL")
-def c3(spark, sf):
-    return coverage.merge_bits(d.coverage_bits(spark, sf))
+_GATED = f"{d.COVERAGE}, ev AS (SELECT cb.* FROM cb SEMI JOIN (SELECT * FROM wi WHERE {_LIFE}) w USING (build, instance, day))"
 
 
-@query("C4", f"WITH {d.MASKS} SELECT DISTINCT build, cls, idx FROM ib ANTI JOIN cb USING (build, cls, idx)")
-def c4(spark, sf):
-    return coverage.death_evidence(d.install_bits(spark, sf), d.coverage_bits(spark, sf).where("instance <> 'pod-1'").where("idx < 5"))
+def _evidence(spark, sf, rows):
+    """Only what windows with evidence bring: the gate before every merge."""
+    return admission.evidence_only(rows, d.windows(spark, sf))
+
+
+@query("C3", f"WITH {_GATED} SELECT build, cls, idx, {_SEEN}, count(*) AS windows FROM ev GROUP BY ALL")
+def c3(spark, sf):
+    return coverage.merge_bits(_evidence(spark, sf, d.coverage_bits(spark, sf)))
 
 
-SQL["C4"] = f"WITH {d.MASKS} SELECT DISTINCT build, cls, idx FROM ib ANTI JOIN (SELECT * FROM cb WHERE instance <> 'pod-1' AND idx < 5) c USING (build, cls, idx)"
+@query("C4", f"WITH {d.MASKS}, e AS (SELECT cb.* FROM cb SEMI JOIN (SELECT * FROM wi WHERE {_LIFE} AND NOT degraded) w USING (build, instance, day)) SELECT DISTINCT build, cls, idx FROM ib ANTI JOIN e USING (build, cls, idx)")
+def c4(spark, sf):
+    return coverage.death_evidence(d.install_bits(spark, sf), admission.evidence_only(d.coverage_bits(spark, sf), d.windows(spark, sf), "death"))
 
 
 @query("C6", f"WITH {d.COVERAGE} SELECT build, cls, count(DISTINCT idx) AS set_bits FROM cb GROUP BY ALL")
@@ -217,9 +222,9 @@ def c7(spark, sf):
     return coverage.newly_set(d.coverage_bits(spark, sf))
 
 
-@query("C9", f"WITH {d.COVERAGE} SELECT build, cls, idx, {_SEEN} FROM cb GROUP BY ALL")
+@query("C9", f"WITH {_GATED} SELECT build, cls, min(day) AS first_day, max(day) AS last_day, count(DISTINCT idx) AS bits, count(DISTINCT day) AS days FROM ev GROUP BY ALL")
 def c9(spark, sf):
-    return coverage.merge_bits(d.coverage_bits(spark, sf)).drop("windows")
+    return coverage.seen_classes(_evidence(spark, sf, d.coverage_bits(spark, sf)))
 
 
 @query("C10", f"WITH {d.MASKS} SELECT build, cls, count(*) AS windows, min(day) AS first_day, max(day) AS last_day FROM (SELECT DISTINCT build, cls, instance, day FROM ib) GROUP BY ALL")
@@ -242,18 +247,18 @@ def c12(spark, sf):
     return coverage.mask_totals(d.install_bits(spark, sf))
 
 
-@query("C13", f"WITH {d.MASKS} SELECT build, cls, count(*) AS bits FROM cb SEMI JOIN ib USING (build, instance, day, cls) ANTI JOIN ib i USING (build, instance, day, cls, idx) GROUP BY ALL")
+@query(
+    "C13",
+    f"""WITH {d.MASKS} SELECT build, cls, count(*) AS bits FROM cb WHERE cls <> 'app.view'
+  AND NOT EXISTS (SELECT 1 FROM ib WHERE ib.build = cb.build AND ib.instance = cb.instance AND ib.day = cb.day AND ib.cls = cb.cls AND ib.idx = cb.idx) GROUP BY ALL""",
+)
 def c13(spark, sf):
     return coverage.inconsistent(d.coverage_bits(spark, sf), d.install_bits(spark, sf))
 
 
-SQL["C13"] = f"""WITH {d.MASKS} SELECT build, cls, count(*) AS bits FROM cb WHERE cls <> 'app.view'
-  AND NOT EXISTS (SELECT 1 FROM ib WHERE ib.build = cb.build AND ib.instance = cb.instance AND ib.day = cb.day AND ib.cls = cb.cls AND ib.idx = cb.idx) GROUP BY ALL"""
-
-
-@query("C14", f"WITH {d.COVERAGE} SELECT build, cls, {_SEEN}, count(*) AS load_windows FROM (SELECT DISTINCT build, instance, day, cls FROM ce) GROUP BY ALL")
+@query("C14", f"WITH {_GATED} SELECT build, cls, {_SEEN}, count(*) AS load_windows FROM (SELECT DISTINCT build, instance, day, cls FROM ev) GROUP BY ALL")
 def c14(spark, sf):
-    return coverage.loaded_classes(d.call_events(spark, sf))
+    return coverage.loaded_classes(_evidence(spark, sf, d.call_events(spark, sf)))
 
 
 @query(
@@ -267,11 +272,11 @@ def c15(spark, sf):
 
 @query(
     "C16",
-    f"""WITH {d.MASKS}, k AS (SELECT DISTINCT build, cls, idx FROM cb WHERE day < DATE '2024-01-04'), b AS (SELECT DISTINCT build, cls, idx FROM ib)
+    f"""WITH {d.MASKS}, k AS (SELECT DISTINCT build, cls, idx FROM cb SEMI JOIN (SELECT * FROM wi WHERE {_LIFE}) w USING (build, instance, day)), b AS (SELECT DISTINCT build, cls, idx FROM ib)
 SELECT b.build, b.cls, bool_and(k.idx IS NOT NULL) AS fully_covered FROM b LEFT JOIN k USING (build, cls, idx) GROUP BY ALL""",
 )
 def c16(spark, sf):
-    return coverage.fully_covered(d.install_bits(spark, sf), d.coverage_bits(spark, sf).where("day < date '2024-01-04'"))
+    return coverage.fully_covered(d.install_bits(spark, sf), _evidence(spark, sf, d.coverage_bits(spark, sf)))
 
 
 @query("C17", f"WITH {d.COVERAGE} SELECT DISTINCT build, cls FROM cb")
@@ -354,12 +359,12 @@ def e9(spark, sf):
 
 @query(
     "E12",
-    f"""WITH {d.EDGES}, f AS (SELECT build, caller_cls, caller_idx, callee_cls, callee_idx, min(day) AS first_day, sum(observations) AS observations FROM we GROUP BY ALL),
-p AS (SELECT *, row_number() OVER (PARTITION BY build ORDER BY first_day, caller_cls, caller_idx, callee_cls, callee_idx) AS place FROM f)
-SELECT build, count(*) FILTER (place <= 8192) AS kept_edges, CAST(coalesce(sum(observations) FILTER (place > 8192), 0) AS BIGINT) AS refused FROM p GROUP BY ALL""",
+    f"""WITH {d.EDGES}, f AS (SELECT build, day, caller_cls, caller_idx, callee_cls, callee_idx, sum(observations) AS observations FROM we GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY build, day ORDER BY caller_cls, caller_idx, callee_cls, callee_idx) AS place FROM f)
+SELECT build, day, count(*) FILTER (place <= 64) AS kept_edges, CAST(coalesce(sum(observations) FILTER (place > 64), 0) AS BIGINT) AS refused FROM p GROUP BY ALL""",
 )
 def e12(spark, sf):
-    return edges.cap_distinct(d.window_edges(spark, sf), 8192)
+    return edges.cap_distinct(d.window_edges(spark, sf), 64)
 
 
 @query("K10", f"WITH {_AGG} SELECT build, caller_cls, caller_idx, callee_cls, callee_idx, observations, place, {_UNIFORM} AS uniform_rate FROM (SELECT *, {_HOT} FROM ea) WHERE place <= 25")
@@ -402,20 +407,18 @@ def i2(spark, sf):
     return inventory.match_rules(d.methods(spark, sf), _RULES).select("cls", "name", "desc", "rule_no")
 
 
-@query("K14", "SELECT 1")
+@query("K14", f"SELECT coalesce(rule_no, -1) AS rule_no, count(*) AS methods FROM ({SQL['I2']}) GROUP BY ALL")
 def k14(spark, sf):
     return inventory.match_rules(d.methods(spark, sf), _RULES).groupBy(F.coalesce("rule_no", F.lit(-1)).alias("rule_no")).agg(F.count("*").alias("methods"))
 
 
-SQL["K14"] = f"SELECT coalesce(rule_no, -1) AS rule_no, count(*) AS methods FROM ({SQL['I2']}) GROUP BY ALL"
-
-
 # ---- G: reachability
 
 _TRIAGE = f"""{d.CALLS}, te AS (SELECT p_partkey AS ref FROM me WHERE is_test), tr AS (
   SELECT cg.*, CASE WHEN resolution = 'unresolved' THEN 'unresolved' WHEN src IN (SELECT ref FROM te) THEN 'from_test' WHEN semantics IN ('noop', 'no-op') THEN 'noop' ELSE 'forward' END AS category FROM cg),
 ro AS (SELECT DISTINCT ref FROM ep WHERE kind <> 'test' AND ref NOT IN (SELECT ref FROM te)),
-re AS (SELECT ref FROM ro UNION SELECT dst FROM tr JOIN re ON src = re.ref WHERE category = 'forward')"""
+fw AS (SELECT src, dst FROM tr WHERE category = 'forward' UNION SELECT a.p_partkey, b.p_partkey FROM me a JOIN me b ON a.cls = b.cls AND b.name = '<clinit>' AND a.p_partkey <> b.p_partkey),
+re AS (SELECT ref FROM ro UNION SELECT dst FROM fw JOIN re ON src = re.ref)"""
 
 
 def _triaged(spark, sf):
@@ -427,6 +430,12 @@ def _roots(spark, sf):
     return inventory.roots(d.entry_points(spark, sf), d.methods(spark, sf))
 
 
+def _reached(spark, sf):
+    """What production roots reach over forward calls, and the initialisers of reached classes."""
+    starts = graph.initialisers(d.methods(spark, sf).select(F.col("p_partkey").alias("ref"), "cls", "name"))
+    return graph.reachable(_roots(spark, sf), _triaged(spark, sf)[0].where("category = 'forward'").select("src", "dst").unionByName(starts))
+
+
 @query("G1", f"WITH RECURSIVE {_TRIAGE} SELECT ref FROM ro")
 def g1(spark, sf):
     return _roots(spark, sf)
@@ -439,7 +448,7 @@ def g2(spark, sf):
 
 @query("G3", f"WITH RECURSIVE {_TRIAGE} SELECT ref FROM re")
 def g3(spark, sf):
-    return graph.reachable(_roots(spark, sf), _triaged(spark, sf)[0].where("category = 'forward'"))
+    return _reached(spark, sf)
 
 
 @query(
@@ -449,7 +458,7 @@ SELECT p_partkey AS ref, CASE WHEN p_partkey IN (SELECT ref FROM re) THEN true W
 )
 def g5(spark, sf):
     triaged, tests = _triaged(spark, sf)
-    found = graph.reachable(_roots(spark, sf), triaged.where("category = 'forward'"))
+    found = _reached(spark, sf)
     return graph.static_reachable(d.methods(spark, sf).select(F.col("p_partkey").alias("ref")), triaged, found, tests).select("ref", "static_reachable")
 
 
@@ -472,32 +481,50 @@ def h5(spark, sf):
     return phases.span(d.intervals(spark, sf))
 
 
+_CALENDAR = [("month-end", "last-days-of-month", 2), ("quarter-end", "last-days-of-quarter", 5), ("year-end", "last-days-of-year", 9)]
 _MONTHS = f"""{d.INTERVALS}, sp AS (SELECT min(start) AS lo, max(stop) AS hi FROM iv),
-ca AS (SELECT * FROM (SELECT lo, hi, CAST(last_day(m) - 1 AS DATE) AS p_start, CAST(last_day(m) + 1 AS DATE) AS p_stop
-  FROM sp, unnest(generate_series(date_trunc('month', lo - INTERVAL 1 MONTH)::TIMESTAMP, date_trunc('month', hi + 40)::TIMESTAMP, INTERVAL 1 MONTH)) g(m)) WHERE p_start < hi AND p_stop > lo)"""
+ru(phase, every, days) AS (VALUES ('month-end', 1, 2), ('quarter-end', 3, 5), ('year-end', 12, 9)),
+ca AS (SELECT * FROM (SELECT lo, hi, phase, days, CAST(last_day(m) - days + 1 AS DATE) AS p_start, CAST(last_day(m) + 1 AS DATE) AS p_stop
+  FROM ru, sp, unnest(generate_series(date_trunc('month', lo - INTERVAL 1 MONTH)::TIMESTAMP, date_trunc('month', hi + 40)::TIMESTAMP, INTERVAL 1 MONTH)) g(m) WHERE month(m) % every = 0) WHERE p_start < hi AND p_stop > lo)"""
 
 
 def _calendar(spark, sf):
-    return phases.month_ends(d.intervals(spark, sf).agg(F.min("start").alias("start"), F.max("stop").alias("stop")), 2)
+    return phases.expand(d.intervals(spark, sf).agg(F.min("start").alias("start"), F.max("stop").alias("stop")), _CALENDAR)
 
 
-@query("H3", f"WITH {_MONTHS} SELECT 'month-end' AS phase, p_start, p_stop FROM ca")
+@query("H3", f"WITH {_MONTHS} SELECT phase, p_start, p_stop FROM ca")
 def h3(spark, sf):
     return _calendar(spark, sf)
 
 
 _COVERED = f"""{_MONTHS}, dy AS (SELECT DISTINCT build, start AS day FROM iv),
-co AS (SELECT build, 'month-end' AS phase, p_start, p_stop, count(*) AS covered FROM dy JOIN ca ON day >= p_start AND day < p_stop GROUP BY ALL)"""
+co AS (SELECT build, phase, p_start, p_stop, days, count(*) AS covered FROM dy JOIN ca ON day >= p_start AND day < p_stop GROUP BY ALL)"""
 
 
-@query("H2", f"WITH {_COVERED} SELECT * FROM co")
+@query("H2", f"WITH {_COVERED} SELECT build, phase, p_start, p_stop, covered FROM co")
 def h2(spark, sf):
     return phases.overlap_days(phases.merge_intervals(d.intervals(spark, sf)), _calendar(spark, sf))
 
 
-@query("H4", f"WITH {_COVERED}, b AS (SELECT build, phase, round(max(covered / 2), 4) AS fraction, count(*) AS occurrences FROM co GROUP BY ALL) SELECT *, fraction >= 0.9 AS is_covered FROM b")
+@query(
+    "H4",
+    f"""WITH {_COVERED}, b AS (SELECT build, phase, max(covered / days) AS best FROM co GROUP BY ALL), n AS (SELECT phase, count(*) AS n FROM ca GROUP BY phase),
+w AS (SELECT build, phase, coalesce(n, 0) AS occurrences, coalesce(best, 0) AS best FROM (SELECT DISTINCT build FROM iv) q CROSS JOIN (VALUES ('month-end'), ('quarter-end'), ('year-end'), ('audit')) p(phase) LEFT JOIN n USING (phase) LEFT JOIN b USING (build, phase))
+SELECT build, phase, round(best, 4) AS fraction, occurrences, best >= 0.9 AS is_covered, CASE WHEN occurrences = 0 THEN 'no occurrence' WHEN best >= 0.9 THEN 'covered' ELSE 'too little observed' END AS state FROM w""",
+)
 def h4(spark, sf):
-    return phases.phase_coverage(phases.merge_intervals(d.intervals(spark, sf)), _calendar(spark, sf))
+    windows_ = d.intervals(spark, sf)
+    return phases.phase_coverage(windows_.select("build").distinct(), phases.merge_intervals(windows_), _calendar(spark, sf), ["month-end", "quarter-end", "year-end", "audit"])
+
+
+@query("A6", "SELECT phase, rule, days FROM (VALUES ('month-end', 'last-days-of-month', 2), ('quarter-end', 'last-days-of-quarter', 5), ('year-end', 'last-days-of-year', 9)) v(phase, rule, days) WHERE EXISTS (SELECT 1 FROM orders)")
+def a6(spark, sf):
+    """The calendar as a file beside the windows' data: written for the table's builds, read, checked."""
+    folder = f"{graph.shared_folder(spark)}/calendar-{uuid.uuid4().hex}"
+    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(r).alias("rule"), F.lit(n).alias("days")) for p, r, n in _CALENDAR])).alias("x")
+    d.read(spark, sf, "orders").limit(1).select(rows).select("x.*").write.json(folder)
+    found = phases.read_calendar(spark, folder)
+    return spark.createDataFrame(found, "phase string, rule string, days int")
 
 
 # ---- J: ledger

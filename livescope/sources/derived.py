@@ -61,11 +61,11 @@ COVERAGE = f"{WINDOWS}, cb AS (SELECT DISTINCT build, instance, day, cls, idx FR
 def install_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The installed probes that each window's record of a class reports; app.view reports no mask."""
     records = call_events(spark, sf_dir).where("cls <> 'app.view'").select("build", "instance", "day", "cls").distinct()
-    return records.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(7)))).where((F.col("idx") + F.length("cls")) % 5 != 0)
+    return records.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(8)))).where((F.col("idx") + F.length("cls")) % 5 != 0)
 
 
 MASKS = f"""{COVERAGE}, ib AS (
-  SELECT build, instance, day, cls, CAST(idx AS INTEGER) AS idx FROM (SELECT DISTINCT build, instance, day, cls FROM ce WHERE cls <> 'app.view'), range(8) r(idx)
+  SELECT build, instance, day, cls, CAST(idx AS INTEGER) AS idx FROM (SELECT DISTINCT build, instance, day, cls FROM ce WHERE cls <> 'app.view'), range(9) r(idx)
   WHERE (idx + length(cls)) % 5 <> 0)"""
 
 
@@ -95,7 +95,7 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(
         "p_partkey",
         F.concat(F.lit("p."), "p_brand", F.lit("."), "p_type").alias("cls"),
-        F.concat(F.lit("m"), F.col("p_partkey") % 500).alias("name"),
+        F.when(F.col("p_partkey") % 50 == 7, "<clinit>").otherwise(F.concat(F.lit("m"), F.col("p_partkey") % 500)).alias("name"),
         F.concat(F.lit("("), "p_partkey", F.lit(")V")).alias("desc"),
         (F.col("p_size") % 11 == 0).alias("is_public_api"),
         (F.col("p_brand") == "Brand#1").alias("is_test"),
@@ -106,7 +106,7 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 METHODS = """me AS (
-  SELECT p_partkey, 'p.' || p_brand || '.' || p_type AS cls, 'm' || (p_partkey % 500) AS name, '(' || p_partkey || ')V' AS "desc", p_size % 11 = 0 AS is_public_api,
+  SELECT p_partkey, 'p.' || p_brand || '.' || p_type AS cls, CASE WHEN p_partkey % 50 = 7 THEN '<clinit>' ELSE 'm' || (p_partkey % 500) END AS name, '(' || p_partkey || ')V' AS "desc", p_size % 11 = 0 AS is_public_api,
     p_brand = 'Brand#1' AS is_test, p_size % 5 <> 0 AS observable, p_size % 13 = 0 AS short_circuitable, p_brand AS artifact FROM part)"""
 
 
@@ -134,13 +134,14 @@ def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    """A day for every order; builds are fine enough to leave days without any."""
     day = F.to_date("o_orderdate")
-    return o.select(F.col("o_orderpriority").alias("build"), day.alias("start"), F.date_add(day, 1).alias("stop"))
+    build = F.concat("o_orderpriority", F.lit("/"), F.col("o_custkey") % 40)
+    return read(spark, sf_dir, "orders").select(build.alias("build"), day.alias("start"), F.date_add(day, 1).alias("stop"))
 
 
 INTERVALS = """iv AS (
-  SELECT o_orderpriority AS build, CAST(o_orderdate AS DATE) AS start, CAST(CAST(o_orderdate AS DATE) + 1 AS DATE) AS stop FROM orders WHERE o_orderkey % 3 = 0)"""
+  SELECT o_orderpriority || '/' || (o_custkey % 40) AS build, CAST(o_orderdate AS DATE) AS start, CAST(CAST(o_orderdate AS DATE) + 1 AS DATE) AS stop FROM orders)"""
 
 
 def window_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
