@@ -86,3 +86,8 @@ def loss(window_edges: DataFrame) -> DataFrame:
     """window_edges with a dropped flag: what each window observed, what it dropped, and whether it is lossy."""
     lost = window_edges.groupBy("build", "day").agg(F.sum("observations").alias("observed"), F.count_if("dropped").alias("dropped"))
     return lost.withColumn("lossy", F.col("dropped") > 0)
+
+
+def starved(armed: Column, sampled_roots: Column, boundary_calls: Column) -> Column:
+    """Sampling is on and calls came in, but none was ever sampled."""
+    return armed & (F.coalesce(sampled_roots, F.lit(0)) == 0) & (F.coalesce(boundary_calls, F.lit(0)) > 0)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import placed
+
 
 def feedback_stats(feedback: DataFrame) -> DataFrame:
     """feedback(rule_key, kind): rates over judged reports; few judgements keep a rule active."""
@@ -18,10 +21,34 @@ def feedback_stats(feedback: DataFrame) -> DataFrame:
     return s.withColumns({"rate": F.round(F.when(judged > 0, rate), 4), "status": status})
 
 
-def cap_new(candidates: DataFrame, cap: int) -> DataFrame:
-    """allowed: the first ``cap`` new candidates of each artifact, by class, name and descriptor."""
-    place = F.row_number().over(W.partitionBy("artifact").orderBy("cls", "name", "desc"))
-    return candidates.withColumn("allowed", place <= cap)
+def cap_new(candidates: DataFrame, opened: DataFrame, cap: int) -> DataFrame:
+    """allowed: candidates already known, and the first ``cap`` less opened(artifact, opened) today of each artifact's new ones.
+
+    New ones come by class, name and descriptor; an artifact with most of them is not one task's work.
+    """
+    new = placed(candidates.where("not known"), ["artifact"], ["cls", "name", "desc"]).join(opened, "artifact", "left")
+    allowed = new.withColumn("allowed", F.col("place") <= cap - F.coalesce("opened", F.lit(0))).drop("place", "opened")
+    return candidates.where("known").withColumn("allowed", F.lit(True)).unionByName(allowed)
+
+
+def reconciled(candidates: DataFrame, previous: DataFrame, inventory: DataFrame, keys: list[str], today: dt.date) -> DataFrame:
+    """The next ledger: keys, active, first_proposed, revoked_at, reason.
+
+    Candidates are confirmed: opened or active again, first_proposed set once, what revoked them cleared. Active proposals that
+    are none are revoked, by what blocks them in the inventory(keys, blocking), or because it no longer has them.
+    """
+    now = candidates.select(*keys).distinct().withColumn("now", F.lit(True))
+    joined = previous.withColumn("was", F.lit(True)).join(now, keys, "full_outer").join(inventory.select(*keys, "blocking", F.lit(True).alias("there")), keys, "left")
+    going = F.col("now").isNull() & F.col("active")
+    why = F.when(F.col("there"), F.concat(F.lit("no longer a candidate: "), F.coalesce("blocking", F.lit("clause no longer satisfied")))).otherwise("method no longer present in the inventory")
+    return joined.select(
+        *keys, F.coalesce("now", F.lit(False)).alias("active"), F.when(F.col("was"), F.col("first_proposed")).otherwise(F.lit(today)).alias("first_proposed"),
+        F.when(F.col("now").isNull(), F.when(going, F.lit(today)).otherwise(F.col("revoked_at"))).alias("revoked_at"), F.when(F.col("now").isNull(), F.when(going, why).otherwise(F.col("reason"))).alias("reason"),
+    )
+
+
+def revoked(ledger: DataFrame, today: dt.date) -> DataFrame:
+    return ledger.where(F.col("revoked_at") == F.lit(today))
 
 
 def reconcile(candidates: DataFrame, previous: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .inventory import parse_rule
+
 #: Order in which layers are asked.
 LAYERS = ("user", "derived", "default")
 
@@ -43,3 +45,22 @@ def compose(layers: dict[str, DataFrame], defaults: bool = True) -> DataFrame:
 
 def counts_by_origin(rules: DataFrame) -> DataFrame:
     return rules.groupBy("origin").agg(F.count("*").alias("rules"))
+
+
+# Members that compilers and code generators write, as class#method(desc).
+DEFAULT_RULES = (
+    "*#values()[L*;",
+    "*#valueOf(Ljava/lang/String;)L*;",
+    "*#equals(Ljava/lang/Object;)Z",
+    "*#hashCode()I",
+    "*#toString()Ljava/lang/String;",
+    "*#canEqual(Ljava/lang/Object;)Z",
+    "*#builder()L*;",
+    "*#toBuilder()L*;",
+    "*$*Builder#*",
+)
+
+
+def default_rules() -> list[tuple[str, str, str]]:
+    """Class, method and descriptor globs of the default list."""
+    return [parse_rule(line)[:3] for line in DEFAULT_RULES]

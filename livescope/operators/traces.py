@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.names import denied_name
+
 
 def frames(conversations: DataFrame) -> DataFrame:
     turn = F.col("turn")
@@ -44,3 +47,41 @@ def collapse(frames: DataFrame) -> DataFrame:
         if out.isEmpty():
             break
     return done
+
+
+def invocations(frames: DataFrame) -> DataFrame:
+    """How often each method ran: folded frames stand for as many as they say."""
+    return frames.groupBy("frame").agg(F.sum(F.coalesce("repeated", F.lit(1).cast("long"))).alias("invocations"))
+
+
+def via_counts(frames: DataFrame) -> DataFrame:
+    """Frames and traces of the thread that a trace was on, and of those that joined it."""
+    via = F.coalesce("via", F.lit("own")).alias("via")
+    return frames.groupBy(via).agg(F.count("*").alias("frames"), F.count_distinct("trace").alias("traces"), F.count_distinct(F.when(F.col("via").isNotNull(), F.col("trace"))).alias("joined"))
+
+
+def capped(frames: DataFrame, most: int = 20_000, deepest: int = 256) -> DataFrame:
+    """Of each trace: frames within both caps, and which cap was hit."""
+    place = F.row_number().over(W.partitionBy("trace").orderBy("ordinal"))
+    fits, shallow = F.col("place") <= most, F.col("depth") < deepest
+    return frames.withColumn("place", place).groupBy("trace").agg(
+        F.count_if(fits & shallow).alias("kept"), F.bool_or(~fits).alias("frames_capped"), F.bool_or(~shallow).alias("depth_capped")
+    )
+
+
+def projected(observed: DataFrame, allowed: list[tuple[str, str]]) -> DataFrame:
+    """observed(type, member): how many are shown by an exact (type, member) list, and how many of those it names are refused by their name."""
+    listed = F.lit(False)
+    for kind, member in allowed:
+        listed = listed | ((F.col("type") == kind) & (F.col("member") == member))
+    denied = denied_name(F.col("member"))
+    return observed.groupBy("type").agg(F.count_if(listed & ~denied).alias("shown"), F.count_if(listed & denied).alias("refused"))
+
+
+def health(documents: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """The latest cumulative counters of each instance, and whether one is above its limit."""
+    latest = documents.groupBy("instance").agg(*[F.max_by(c, "started_at").alias(c) for c in limits])
+    alert = F.lit(False)
+    for c, most in limits.items():
+        alert = alert | (F.col(c) > most)
+    return latest.withColumn("alert", alert)

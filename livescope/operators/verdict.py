@@ -95,3 +95,18 @@ def instrumentation_gaps(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("cls").agg(
         F.count_if(e == NO_PROBE).alias("never_instrumented"), F.count_if(e == NOT_OBSERVABLE).alias("not_observable"), F.count_if(e == OBSERVABLE).alias("observable")
     )
+
+
+def by_class(verdicts: DataFrame, cls: str) -> DataFrame:
+    return verdicts.where(F.col("cls") == cls)
+
+
+def by_package(verdicts: DataFrame, package: str) -> DataFrame:
+    """Of a package and all below it."""
+    return verdicts.where((F.col("cls") == package) | F.col("cls").startswith(f"{package}."))
+
+
+def by_file(verdicts: DataFrame, classes: DataFrame, path: str) -> DataFrame:
+    """Of classes(cls, source_file) in a file, named in full or by the end of its path."""
+    found = classes.where((F.col("source_file") == path) | F.col("source_file").endswith(f"/{path}")).select("cls").distinct()
+    return verdicts.join(found, "cls", "left_semi")

@@ -64,7 +64,7 @@ def g6(spark, sf):
     return joined.groupBy("cls").agg(F.coalesce(F.min_by("kind", "ref"), F.lit("none")).alias("kind"))
 
 
-@query("G11", f"""WITH {_FACTS} SELECT artifact, cls, name, "desc", status, row_number() OVER (PARTITION BY artifact ORDER BY cls, name, "desc") AS place FROM ve""")
+@query("G11", f"""WITH RECURSIVE {_FACTS} SELECT artifact, cls, name, "desc", status, row_number() OVER (PARTITION BY artifact ORDER BY cls, name, "desc") AS place FROM ve""")
 def g11(spark, sf):
     return graph.placed(verdict.evaluate(_facts(spark, sf)).select("artifact", "cls", "name", "desc", "status"), ["artifact"], ["cls", "name", "desc"])
 
@@ -125,16 +125,9 @@ def j1(spark, sf):
     return ledger.reconcile(m.where("not is_public_api"), m.where("p_partkey % 3 <> 0"), ["p_partkey"]).where("state <> 'revoked'")
 
 
-@query("K15", f"WITH {d.METHODS} SELECT artifact, count(*) AS standing FROM me WHERE NOT is_public_api GROUP BY ALL")
-def k15(spark, sf):
-    m = d.methods(spark, sf)
-    state = ledger.reconcile(m.where("not is_public_api"), m.where("p_partkey % 3 <> 0"), ["p_partkey"])
-    return state.where("state <> 'revoked'").join(m, "p_partkey").groupBy("artifact").agg(F.count("*").alias("standing"))
-
-
 @query(
     "J7",
-    f"""WITH {_FACTS}, k AS (SELECT p_partkey, ['entrypoint:' || artifact, 'eligibility:' || {_EFFECTIVE}] AS keys FROM fa)
+    f"""WITH RECURSIVE {_FACTS}, k AS (SELECT p_partkey, ['entrypoint:' || artifact, 'eligibility:' || {_EFFECTIVE}] AS keys FROM fa)
 SELECT p_partkey, [x FOR x IN keys IF x IN ('entrypoint:Brand#7', 'eligibility:DE_INSTRUMENTED')][1] AS disabled_key FROM k""",
 )
 def j7(spark, sf):
@@ -144,15 +137,9 @@ def j7(spark, sf):
     return keys.groupBy("p_partkey").agg(F.min_by(F.when(off, F.col("rule_key")), F.when(off, F.col("at"))).alias("disabled_key"))
 
 
-@query("K3", f"""WITH {d.METHODS} SELECT p_partkey FROM me WHERE ends_with('src/' || artifact || '/' || split_part(cls, '.', 3) || '.java', '/ECONOMY.java')""")
-def k3(spark, sf):
-    path = F.concat(F.lit("src/"), "artifact", F.lit("/"), F.split_part("cls", F.lit("."), F.lit(3)), F.lit(".java"))
-    return d.methods(spark, sf).where(path.endswith("/ECONOMY.java")).select("p_partkey")
-
-
 @query(
     "K9",
-    f"""WITH {_FACTS}, {_AGG} SELECT build, callee_idx, count(*) AS callers, coalesce(bool_or(status = 'LIVE'), false) AS any_live FROM ea LEFT JOIN ve ON p_partkey = caller_idx GROUP BY ALL""",
+    f"""WITH RECURSIVE {_FACTS}, {_AGG} SELECT build, callee_idx, count(*) AS callers, coalesce(bool_or(status = 'LIVE'), false) AS any_live FROM ea LEFT JOIN ve ON p_partkey = caller_idx GROUP BY ALL""",
 )
 def k9(spark, sf):
     status = verdict.evaluate(_facts(spark, sf)).select(F.col("p_partkey").alias("caller_idx"), "status")
@@ -180,11 +167,6 @@ def k18(spark, sf):
     return g.select("build", note.alias("note"))
 
 
-@query("L9", f"WITH {_FRAMES} SELECT ordinal % 3 AS via, count(*) AS frames, count(DISTINCT trace) AS traces FROM fr GROUP BY ALL")
-def l9(spark, sf):
-    return _frames(spark, sf).groupBy((F.col("ordinal") % 3).alias("via")).agg(F.count("*").alias("frames"), F.count_distinct("trace").alias("traces"))
-
-
 @query(
     "L14",
     r"""SELECT doc_id, CASE WHEN text IS NULL THEN 'null' WHEN regexp_matches(text, '[^@\s]+@[^@\s]+\.[^@\s]+') OR regexp_matches(text, '[0-9]{12,}') OR regexp_matches(text, '(^|[^0-9])[6-9][0-9]{9}([^0-9]|$)')
@@ -210,14 +192,3 @@ def l4(spark, sf):
     return collapse(_frames(spark, sf))
 
 
-@query(
-    "M6",
-    r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
-w AS (SELECT unnest(regexp_extract_all(line, '[\p{L}\p{N}_]+')) AS name FROM l WHERE NOT starts_with(ltrim(line, ' '), '//'))
-SELECT name, count(*) AS refs FROM w WHERE name IN ('the', 'and', 'of') GROUP BY name""",
-)
-def m6(spark, sf):
-    lines = d.read(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line")).where(~F.ltrim("line").startswith("//"))
-    counted = lines.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_count("line", F.lit(rf"(?U)\b{n}\b")).alias("k")) for n in ("the", "and", "of")])).alias("x"))
-    return counted.groupBy("x.name").agg(F.sum("x.k").alias("refs"))
-

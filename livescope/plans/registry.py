@@ -451,17 +451,22 @@ def g3(spark, sf):
     return _reached(spark, sf)
 
 
-@query(
-    "G5",
-    f"""WITH RECURSIVE {_TRIAGE}, un AS (SELECT DISTINCT dst FROM tr WHERE category = 'unresolved'), inb AS (SELECT DISTINCT dst FROM tr WHERE category <> 'unresolved')
-SELECT p_partkey AS ref, CASE WHEN p_partkey IN (SELECT ref FROM re) THEN true WHEN p_partkey IN (SELECT dst FROM un) THEN NULL WHEN p_partkey IN (SELECT dst FROM inb) THEN NULL ELSE false END AS static_reachable FROM me""",
-)
+_STATIC = """un AS (SELECT DISTINCT dst FROM tr WHERE category = 'unresolved'), inb AS (SELECT DISTINCT dst FROM tr WHERE category <> 'unresolved'),
+sr AS (SELECT p_partkey AS ref, CASE WHEN p_partkey IN (SELECT ref FROM re) THEN true WHEN p_partkey IN (SELECT dst FROM un) THEN NULL WHEN p_partkey IN (SELECT dst FROM inb) THEN NULL ELSE false END AS static_reachable FROM me)"""
+
+
+@query("G5", f"WITH RECURSIVE {_TRIAGE}, {_STATIC} SELECT * FROM sr")
 def g5(spark, sf):
     triaged, tests = _triaged(spark, sf)
     found = _reached(spark, sf)
     return graph.static_reachable(d.methods(spark, sf).select(F.col("p_partkey").alias("ref")), triaged, found, tests).select("ref", "static_reachable")
 
 
+def _static(spark, sf):
+    """What the call graph says of each method, as facts take it."""
+    return g5(spark, sf).withColumnRenamed("ref", "p_partkey")
+
+
 # ---- H: phases
 
 
@@ -551,11 +556,6 @@ def k16(spark, sf):
     return ledger.feedback_stats(_feedback(spark, sf))
 
 
-@query("J4", f"""WITH {d.METHODS} SELECT artifact, cls, name, "desc", row_number() OVER (PARTITION BY artifact ORDER BY cls, name, "desc") <= 5 AS allowed FROM me WHERE NOT is_public_api""")
-def j4(spark, sf):
-    return ledger.cap_new(d.methods(spark, sf).where("not is_public_api"), 5).select("artifact", "cls", "name", "desc", "allowed")
-
-
 @query(
     "J2",
     f"""WITH {d.METHODS}, n AS (SELECT p_partkey FROM me WHERE NOT is_public_api), b AS (SELECT p_partkey FROM me WHERE p_partkey % 3 <> 0)
@@ -574,16 +574,6 @@ def j8(spark, sf):
 # ---- K: reports over the inventory
 
 
-@query("K1", f"""WITH {d.METHODS} SELECT cls, name, "desc", observable, short_circuitable FROM me WHERE cls = 'p.Brand#2.ECONOMY'""")
-def k1(spark, sf):
-    return d.methods(spark, sf).where("cls = 'p.Brand#2.ECONOMY'").select("cls", "name", "desc", "observable", "short_circuitable")
-
-
-@query("K2", f"""WITH {d.METHODS} SELECT cls, name, "desc" FROM me WHERE cls = 'p.Brand#2' OR starts_with(cls, 'p.Brand#2.')""")
-def k2(spark, sf):
-    return d.methods(spark, sf).where((F.col("cls") == "p.Brand#2") | F.col("cls").startswith("p.Brand#2.")).select("cls", "name", "desc")
-
-
 @query(
     "K19",
     f"""WITH {d.METHODS} SELECT coalesce(artifact, '') AS artifact, coalesce(cls, '') AS cls, count(*) AS methods, count(*) FILTER (observable) AS observable FROM me GROUP BY ROLLUP (artifact, cls)""",
@@ -660,7 +650,7 @@ def _facts(spark, sf):
     loaded = m.groupBy("cls").agg(F.bool_or(F.col("p_partkey") % 3 != 0).alias("class_loaded"))
     k = F.col("p_partkey")
     return (
-        inventory.match_rules(m, _RULES[:2]).join(observed, "p_partkey", "left").join(inbound, "p_partkey", "left").join(loaded, "cls")
+        inventory.match_rules(m, _RULES[:2]).join(_static(spark, sf), "p_partkey").join(observed, "p_partkey", "left").join(inbound, "p_partkey", "left").join(loaded, "cls")
         .withColumns(
             {
                 "suppressed": F.col("rule_no").isNotNull(),
@@ -668,8 +658,7 @@ def _facts(spark, sf):
                 "installed": F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, False).otherwise(True).cast("boolean"),
                 "observed": F.coalesce("observed", F.lit(False)),
                 "inbound_edges": F.coalesce("inbound_edges", F.lit(0)),
-                "static_reachable": F.when(k % 5 == 0, True).when(k % 5 < 4, False).cast("boolean"),
-                "edges_reported": F.lit(True),
+                                "edges_reported": F.lit(True),
                 "usable_windows": F.when(F.col("artifact") == "Brand#3", 0).otherwise(4),
                 "excluded_windows": k % 2,
                 "phases_missing": F.col("artifact").isin("Brand#4", "Brand#5"),
@@ -682,15 +671,15 @@ def _facts(spark, sf):
     )
 
 
-_FACTS = f"""{d.METHODS}, ob AS (SELECT DISTINCT l_partkey AS p_partkey, true AS seen FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'R'),
+_FACTS = f"""{_TRIAGE}, {_STATIC}, ob AS (SELECT DISTINCT l_partkey AS p_partkey, true AS seen FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'R'),
 ie AS (SELECT l_partkey AS p_partkey, count(DISTINCT l_suppkey) AS n_in FROM lineitem WHERE l_discount >= 0.1 AND l_quantity < 5 GROUP BY ALL),
 lo AS (SELECT cls, bool_or(p_partkey % 3 <> 0) AS class_loaded FROM me GROUP BY cls),
 fa AS (SELECT me.*, starts_with(cls, 'p.Brand#1') OR regexp_full_match(name, 'm1.') AS suppressed,
   CASE WHEN NOT observable THEN 'NOT_DYNAMICALLY_OBSERVABLE' WHEN p_partkey % 31 = 0 THEN 'DE_INSTRUMENTED' ELSE 'OBSERVABLE' END AS eligibility,
   CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey % 7 <> 1 END AS installed, coalesce(seen, false) AS observed, coalesce(n_in, 0) AS inbound_edges, class_loaded,
-  CASE WHEN p_partkey % 5 = 0 THEN true WHEN p_partkey % 5 < 4 THEN false END AS static_reachable
-  FROM me LEFT JOIN ob USING (p_partkey) LEFT JOIN ie USING (p_partkey) JOIN lo USING (cls)),
-bl AS (SELECT *, list_filter([CASE WHEN suppressed THEN 'suppressed' END, CASE WHEN is_public_api THEN 'public-api' END,
+  static_reachable
+  FROM me JOIN sr ON sr.ref = p_partkey LEFT JOIN ob USING (p_partkey) LEFT JOIN ie USING (p_partkey) JOIN lo USING (cls)),
+bl AS (SELECT *, list_filter([CASE WHEN suppressed THEN 'suppressed' END, CASE WHEN name = '<clinit>' THEN 'clinit' END, CASE WHEN is_public_api THEN 'public-api' END,
   CASE WHEN eligibility = 'NOT_DYNAMICALLY_OBSERVABLE' THEN 'not-dynamically-observable' END, CASE WHEN eligibility = 'DE_INSTRUMENTED' THEN 'de-instrumented' END,
   CASE WHEN eligibility = 'OBSERVABLE' AND installed IS NOT DISTINCT FROM false THEN 'no-probe-installed' END, CASE WHEN short_circuitable THEN 'short-circuitable' END,
   CASE WHEN NOT class_loaded THEN 'class-never-loaded' END, CASE WHEN static_reachable THEN 'static-reachable' END, CASE WHEN static_reachable IS NULL THEN 'static-unresolved' END,
@@ -702,24 +691,24 @@ ve AS (SELECT *, CASE WHEN observed OR inbound_edges > 0 THEN 'LIVE' WHEN suppre
 _EFFECTIVE = "CASE WHEN eligibility = 'OBSERVABLE' AND installed IS NOT DISTINCT FROM false THEN 'NO_PROBE_INSTALLED' ELSE eligibility END"
 
 
-@query("G7", f"WITH {_FACTS} SELECT p_partkey, {_EFFECTIVE} AS effective FROM fa")
+@query("G7", f"WITH RECURSIVE {_FACTS} SELECT p_partkey, {_EFFECTIVE} AS effective FROM fa")
 def g7(spark, sf):
     return _facts(spark, sf).select("p_partkey", verdict.effective_eligibility(F.col("eligibility"), F.col("installed")).alias("effective"))
 
 
-@query("G8", f"WITH {_FACTS} SELECT p_partkey, suppressed, eligibility, observed, inbound_edges, class_loaded FROM fa")
+@query("G8", f"WITH RECURSIVE {_FACTS} SELECT p_partkey, suppressed, eligibility, observed, inbound_edges, class_loaded FROM fa")
 def g8(spark, sf):
     return _facts(spark, sf).select("p_partkey", "suppressed", "eligibility", "observed", "inbound_edges", "class_loaded")
 
 
-@query("G9", f"WITH {_FACTS} SELECT p_partkey, status, array_to_string(blockers, ',') AS blockers FROM ve")
+@query("G9", f"WITH RECURSIVE {_FACTS} SELECT p_partkey, status, array_to_string(blockers, ',') AS blockers FROM ve")
 def g9(spark, sf):
     return verdict.evaluate(_facts(spark, sf)).select("p_partkey", "status", F.array_join("blockers", ",").alias("blockers"))
 
 
 @query(
     "G10",
-    f"""WITH {_FACTS} SELECT p_partkey, CASE WHEN suppressed THEN 'suppressed' WHEN is_public_api THEN 'public-api-surface' WHEN eligibility = 'NOT_DYNAMICALLY_OBSERVABLE' THEN 'not-dynamically-observable'
+    f"""WITH RECURSIVE {_FACTS} SELECT p_partkey, CASE WHEN suppressed THEN 'suppressed' WHEN name = '<clinit>' THEN 'clinit' WHEN is_public_api THEN 'public-api-surface' WHEN eligibility = 'NOT_DYNAMICALLY_OBSERVABLE' THEN 'not-dynamically-observable'
   WHEN eligibility = 'DE_INSTRUMENTED' THEN 'de-instrumented' WHEN installed IS NOT DISTINCT FROM false THEN 'no-probe-installed' WHEN short_circuitable THEN 'short-circuitable'
   WHEN observed THEN 'runtime-observed' ELSE replace(blockers[1], 'public-api', 'public-api-surface') END AS blocking FROM ve""",
 )
@@ -730,28 +719,28 @@ def g10(spark, sf):
 _ORDERED = 'row_number() OVER (PARTITION BY artifact ORDER BY cls, name, "desc") AS place'
 
 
-@query("K4", f"""WITH {_FACTS}, c AS (SELECT artifact, cls, name, "desc", {_ORDERED} FROM ve WHERE status = 'DEAD_CANDIDATE') SELECT * FROM c WHERE place <= 20""")
+@query("K4", f"""WITH RECURSIVE {_FACTS}, c AS (SELECT artifact, cls, name, "desc", {_ORDERED} FROM ve WHERE status = 'DEAD_CANDIDATE') SELECT * FROM c WHERE place <= 20""")
 def k4(spark, sf):
     place = F.row_number().over(W.partitionBy("artifact").orderBy("cls", "name", "desc"))
     c = verdict.evaluate(_facts(spark, sf)).where("status = 'DEAD_CANDIDATE'").select("artifact", "cls", "name", "desc", place.alias("place"))
     return c.where("place <= 20")
 
 
-@query("K5", f"WITH {_FACTS} SELECT artifact, status, count(*) AS methods FROM ve GROUP BY ALL")
+@query("K5", f"WITH RECURSIVE {_FACTS} SELECT artifact, status, count(*) AS methods FROM ve GROUP BY ALL")
 def k5(spark, sf):
     return verdict.summary(verdict.evaluate(_facts(spark, sf)))
 
 
 @query(
     "K6",
-    f"""WITH {_FACTS}, e AS (SELECT cls, {_EFFECTIVE} AS e FROM fa) SELECT cls, count(*) FILTER (e = 'NO_PROBE_INSTALLED') AS never_instrumented,
+    f"""WITH RECURSIVE {_FACTS}, e AS (SELECT cls, {_EFFECTIVE} AS e FROM fa) SELECT cls, count(*) FILTER (e = 'NO_PROBE_INSTALLED') AS never_instrumented,
   count(*) FILTER (e = 'NOT_DYNAMICALLY_OBSERVABLE') AS not_observable, count(*) FILTER (e = 'OBSERVABLE') AS observable FROM e GROUP BY ALL""",
 )
 def k6(spark, sf):
     return verdict.instrumentation_gaps(_facts(spark, sf))
 
 
-@query("J5", f"WITH {_FACTS} SELECT p_partkey, 'eligibility:' || {_EFFECTIVE} AS rule_key FROM fa UNION ALL SELECT p_partkey, 'entrypoint:none' FROM fa")
+@query("J5", f"WITH RECURSIVE {_FACTS} SELECT p_partkey, 'eligibility:' || {_EFFECTIVE} AS rule_key FROM fa UNION ALL SELECT p_partkey, 'entrypoint:none' FROM fa")
 def j5(spark, sf):
     e = verdict.effective_eligibility(F.col("eligibility"), F.col("installed"))
     return _facts(spark, sf).select("p_partkey", F.explode(F.array(F.concat(F.lit("eligibility:"), e), F.lit("entrypoint:none"))).alias("rule_key"))
@@ -771,18 +760,6 @@ def l11(spark, sf):
     return d.read(spark, sf, "part").select("p_partkey", denied_name(name).alias("denied"))
 
 
-@query("L7", f"WITH {_FRAMES} SELECT frame, count(*) AS invocations FROM fr GROUP BY ALL")
-def l7(spark, sf):
-    return _frames(spark, sf).groupBy("frame").agg(F.sum(F.lit(1)).alias("invocations"))
-
-
-@query("L17", f"WITH {_FRAMES}, p AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY ordinal) AS place FROM fr) SELECT trace, count(*) FILTER (place <= 3) AS kept, count(*) FILTER (place > 3) AS refused FROM p GROUP BY ALL")
-def l17(spark, sf):
-    place = F.row_number().over(W.partitionBy("trace").orderBy("ordinal"))
-    return _frames(spark, sf).withColumn("place", place).groupBy("trace").agg(F.count_if(F.col("place") <= 3).alias("kept"), F.count_if(F.col("place") > 3).alias("refused"))
-
-
-
 @query(
     "B10",
     """WITH w AS (SELECT o_custkey, list(CASE o_orderkey % 9 WHEN 0 THEN 'org.junit.Runner' ELSE 'com.acme.C' || (o_orderkey % 50) END ORDER BY o_orderkey) AS classes FROM orders GROUP BY o_custkey)
