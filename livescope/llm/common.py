@@ -81,6 +81,19 @@ def id_of(df: DataFrame, doc_id: str = "doc_id") -> Column:
     return F.coalesce(df[doc_id].cast("long"), F.lit(LAST_ID))
 
 
+def all_columns(df: DataFrame) -> Column:
+    """Every column of df, whatever it is called, as one struct named row: joins beside it can't clash."""
+    return F.struct(*[F.col(_quoted(c)).alias(c) for c in df.columns]).alias("row")
+
+
+def column_of_row(name: str) -> Column:
+    return F.col(f"row.{_quoted(name)}")
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: how the contracts hold rows out."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

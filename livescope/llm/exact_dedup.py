@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACES, documents, stored, text_of
+from .common import SPACES, all_columns, column_of_row, documents, stored, text_of
 
 #: A chunk ends after these three character classes, at least 96 characters on;
 #: without such a place within 1024 characters it ends there.
@@ -92,10 +92,10 @@ def exact_dedup(
 def first_copies(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs whose document is the first of its equals."""
     gone = stored(exact_dedup(docs).where("not kept").select("doc_id", "text_sha256").distinct(), "later-copies")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = docs.select(all_columns(docs))
     sha = F.sha2(normalised(F.coalesce(F.col("row.text"), F.lit(""))).cast("binary"), 256)
     left = own.join(gone, F.col("row.doc_id").eqNullSafe(gone["doc_id"]) & (sha == gone["text_sha256"]), "left_anti")
-    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return left.select(*[column_of_row(c).alias(c) for c in docs.columns])
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

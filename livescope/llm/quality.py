@@ -12,7 +12,8 @@ counted over all training labels. Scoring reads every whole text in one pass.
 
 Cases: null text is empty and is scored like any text; labels that are null, or of a
 document with both labels, are not learned from; with labels of one kind only every score
-is that label's share, smoothed. Rows that repeat a ``doc_id`` each get a row; other
+is that label's share, smoothed, and one half without any label. A table without rows gives none;
+texts are read whole at any length. Rows that repeat a ``doc_id`` each get a row; other
 columns are never read.
 """
 
@@ -85,6 +86,14 @@ def features(text: str) -> np.ndarray:
     )
 
 
+#: Numbers in features().
+WIDTH = 26
+
+
+def _matrix(rows: list) -> np.ndarray:
+    return np.array(rows, float).reshape(len(rows), WIDTH)
+
+
 def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
     """Logistic regression without intercept."""
     w = np.zeros(x.shape[1])
@@ -155,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
     texts = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(picked), "doc_id")
     got = texts.select("y", "text").mapInArrow(rows, "y int, x array<double>").toPandas()
     got = got.iloc[np.lexsort([[float(sum(x)) for x in got["x"]], got["y"]])] if len(got) else got
-    x = np.array(got["x"].tolist(), float).reshape(len(got), -1)
+    x = _matrix(got["x"].tolist())
     return Model(x, got["y"].to_numpy(int), shares, pairs)
 
 
@@ -165,7 +174,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t) for t in batch.column(1).to_pylist()]
-            s = model.scores(np.array(x).reshape(len(x), -1))
+            s = model.scores(_matrix(x))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     base = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
@@ -177,7 +186,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("double")
     def scores(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(np.array([features(t) for t in texts]).reshape(len(texts), -1)))
+        return pd.Series(model.scores(_matrix([features(t) for t in texts])))
 
     return docs.where(scores(text_of(docs)) >= 0.5)
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import mixed
-from .common import LAST_ID, documents, id_of, stored, text_of
+from .common import LAST_ID, all_columns, column_of_row, documents, id_of, stored, text_of
 from .components import components
 
 SEED = 42
@@ -231,9 +231,9 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def first_of_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows and columns of docs that reach no smaller doc_id."""
     gone = stored(similar_groups(docs, width=width, similarity=similarity).where("rid > root").select("rid").distinct(), "later-near-copies")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = docs.select(all_columns(docs))
     rid = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST_ID))
-    return own.join(gone, rid == gone["rid"], "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return own.join(gone, rid == gone["rid"], "left_anti").select(*[column_of_row(c).alias(c) for c in docs.columns])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
