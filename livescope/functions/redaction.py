@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EMAIL = r"[^@\s]+@[^@\s]+\.[^@\s]+"
+#: The first @ is not at the start, and a dot comes later.
+EMAIL = r"(?s)^[^@]+@.*\."
 LONG_DIGITS = r"[0-9]{12,}"
 PHONE = r"(^|[^0-9])[6-9][0-9]{9}([^0-9]|$)"
 CARD = r"(^|[^A-Za-z0-9])[A-Z]{5}[0-9]{4}[A-Z]([^A-Za-z0-9]|$)"

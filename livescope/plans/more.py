@@ -169,7 +169,7 @@ def k18(spark, sf):
 
 @query(
     "L14",
-    r"""SELECT doc_id, CASE WHEN text IS NULL THEN 'null' WHEN regexp_matches(text, '[^@\s]+@[^@\s]+\.[^@\s]+') OR regexp_matches(text, '[0-9]{12,}') OR regexp_matches(text, '(^|[^0-9])[6-9][0-9]{9}([^0-9]|$)')
+    r"""SELECT doc_id, CASE WHEN text IS NULL THEN 'null' WHEN regexp_matches(text, '(?s)^[^@]+@.*\.') OR regexp_matches(text, '[0-9]{12,}') OR regexp_matches(text, '(^|[^0-9])[6-9][0-9]{9}([^0-9]|$)')
   OR regexp_matches(text, '(^|[^A-Za-z0-9])[A-Z]{5}[0-9]{4}[A-Z]([^A-Za-z0-9]|$)') THEN 'redacted' ELSE 'len' END AS kind, length(text) AS n FROM documents""",
 )
 def l14(spark, sf):

@@ -627,7 +627,7 @@ def l10(spark, sf):
 
 @query(
     "L12",
-    r"""SELECT doc_id, regexp_matches(text, '[^@\s]+@[^@\s]+\.[^@\s]+') OR regexp_matches(text, '[0-9]{12,}') OR regexp_matches(text, '(^|[^0-9])[6-9][0-9]{9}([^0-9]|$)')
+    r"""SELECT doc_id, regexp_matches(text, '(?s)^[^@]+@.*\.') OR regexp_matches(text, '[0-9]{12,}') OR regexp_matches(text, '(^|[^0-9])[6-9][0-9]{9}([^0-9]|$)')
   OR regexp_matches(text, '(^|[^A-Za-z0-9])[A-Z]{5}[0-9]{4}[A-Z]([^A-Za-z0-9]|$)') AS denied FROM documents""",
 )
 def l12(spark, sf):

@@ -101,6 +101,21 @@ def test_reachability_stays_tri_state(spark):
     assert got == {1: True, 2: True, 3: False, 4: None, 5: None, 6: None, 7: None, 8: False}
 
 
+def test_reached_classes_run_their_initialisers(spark):
+    methods = spark.createDataFrame([(1, "A", "x"), (2, "A", "<clinit>"), (3, "B", "y"), (4, "C", "<clinit>")], "ref long, cls string, name string")
+    calls = spark.createDataFrame([(2, 3)], "src long, dst long")
+    found = graph.reachable(spark.createDataFrame([(1,)], "ref long"), calls.union(graph.initialisers(methods)))
+    assert {r.ref for r in found.collect()} == {1, 2, 3}
+
+
+def test_places_go_on_over_ranges(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("aaab"), rng.randrange(10**6)) for _ in range(3000)]
+    got = graph.placed(spark.createDataFrame(rows, "g string, n long").repartition(6), ["g"], ["n"]).collect()
+    for g in "ab":
+        assert [(r.n, r.place) for r in sorted(got, key=lambda r: r.place) if r.g == g] == [(n, i + 1) for i, n in enumerate(sorted(n for x, n in rows if x == g))]
+
+
 def test_descendants_with_a_cycle(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "parent long, ref long")
     assert sorted(map(tuple, graph.descendants(links).collect())) == sorted((a, b) for a in (1, 2, 3) for b in (1, 2, 3, 4) if a != b)
@@ -112,7 +127,20 @@ def test_intervals_join_when_they_touch(spark):
     merged = phases.merge_intervals(spark.createDataFrame(rows, "build string, start date, stop date"))
     assert sorted(tuple(r)[1:] for r in merged.select("build", "start", "stop").collect()) == [(day(1), day(5)), (day(9), day(10))]
     one = spark.createDataFrame([(dt.date(2026, 1, 5), dt.date(2026, 3, 1))], "start date, stop date")
-    assert (dt.date(2026, 1, 30), dt.date(2026, 2, 1)) in {tuple(r)[1:] for r in phases.month_ends(one, 2).collect()}
+    assert (dt.date(2026, 1, 30), dt.date(2026, 2, 1)) in {tuple(r)[1:] for r in phases.expand(one, [("m", "last-days-of-month", 2)]).collect()}
+    rules = [("q", "last-days-of-quarter", 0), ("y", "last-days-of-year", 3)]
+    year = spark.createDataFrame([(dt.date(2025, 11, 5), dt.date(2026, 4, 2))], "start date, stop date")
+    assert sorted(map(tuple, phases.expand(year, rules).collect())) == [("q", dt.date(2025, 12, 31), dt.date(2026, 1, 1)), ("q", dt.date(2026, 3, 31), dt.date(2026, 4, 1)), ("y", dt.date(2025, 12, 29), dt.date(2026, 1, 1))]
+    with pytest.raises(ValueError):
+        phases.expand(year, [("x", "last-days-of-week", 1)])
+
+
+def test_phases_never_seen_are_missing(spark):
+    calendar = spark.createDataFrame([("m", dt.date(2024, 1, 1), dt.date(2024, 1, 11))], "phase string, p_start date, p_stop date")
+    merged = spark.createDataFrame([("a", dt.date(2024, 1, 1), dt.date(2024, 1, 10)), ("b", dt.date(2024, 1, 1), dt.date(2024, 1, 9))], "build string, start date, stop date")
+    builds = spark.createDataFrame([("a",), ("b",), ("c",)], "build string")
+    got = {(r.build, r.phase): r.state for r in phases.phase_coverage(builds, merged, calendar, ["m", "audit"]).collect()}
+    assert got == {("a", "m"): "covered", ("b", "m"): "too little observed", ("c", "m"): "too little observed", **{(b, "audit"): "no occurrence" for b in "abc"}}
 
 
 def test_schema_hash_orders_by_the_pair(spark):
