@@ -5,8 +5,9 @@ of windows with one anchor, and anchors are dealt out instead of suffixes:
 
 1. Anchors that occur once hold nothing repeated and go no further, unless their piece has
    a window twice (a run of short period); such pieces are always compared.
-2. Equal pieces (128-bit digests; two of 1e12 distinct ones agree by chance with odds of one in
-   1e14) fold into one, at its earliest place; every other copy goes whole.
+2. Equal pieces fold into one, at its earliest place; every other copy goes whole. They are known
+   by their anchor and a 64-bit digest of their bytes. Among 1e12 distinct pieces, at most 4,096
+   to an anchor, two of one anchor agree by chance with odds of one in 10,000 in all.
 3. Distinct pieces that share an anchor may still share windows. Buckets of such pieces get
    a suffix array and its Burrows-Wheeler transform. Breadth-first backward extension
    derives the common prefixes by increasing length: an interval of suffixes that begin
@@ -80,7 +81,7 @@ def _anchors_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
 
 
 def _pieces_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    hashed = xxhash.xxh3_128_digest
+    hashed = xxhash.xxh3_64_intdigest
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
             found = []
@@ -89,7 +90,7 @@ def _pieces_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Re
                     digest = [hashed(raw[i:j]) for i, j in zip(first.tolist(), (first + runs + window - 1).tolist(), strict=True)]
                     found.append((anchor, digest, np.full(len(first), rid), np.full(len(first), th), first << 8 | runs, inner))
             if found:
-                digests = pa.array([d for x in found for d in x[1]], pa.binary())
+                digests = pa.array(np.array([d for x in found for d in x[1]], np.uint64).view(np.int64))
                 anchor, rid, th, pos, inner = (np.concatenate([x[i] for x in found]) for i in (0, 2, 3, 4, 5))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor.view(np.int64)), digests, pa.array(rid), pa.array(th), pa.array(pos), pa.array(inner)], names=["anchor", "digest", "rid", "th", "pos", "inner"]
@@ -201,7 +202,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     anchors = long.select("raw").mapInArrow(lambda it: _anchors_of(it, window), "anchor long")
     often = stored(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    found = long.select("rid", "th", "raw").mapInArrow(lambda it: _pieces_of(it, window), "anchor long, digest binary, rid long, th long, pos long, inner boolean")
+    found = long.select("rid", "th", "raw").mapInArrow(lambda it: _pieces_of(it, window), "anchor long, digest long, rid long, th long, pos long, inner boolean")
     suspects = stored(found.join(often, "anchor", "left_semi"), "suspects")
     firsts = stored(suspects.groupBy("anchor", "digest").agg(F.min(F.struct("rid", "th", "pos")).alias("own"), F.count("*").alias("copies"), F.max("inner").alias("inner")), "first-pieces")
     n = F.col("pos").bitwiseAND(255).alias("n")
