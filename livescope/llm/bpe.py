@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, stored, text_of
-from .tokens import Encoder, bytes_of_ids, encoder, vocabulary
+from .tokens import Encoder, bytes_of_ids, encoder, slices, vocabulary
 
 #: Characters that one task encodes in one go.
 LONGEST = 1 << 16
@@ -78,8 +78,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, "byte")
         for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                some = batch.slice(at, _SLICE)
+            for some in slices(batch, 1):
                 yield _rows(some.column(0).to_pylist(), enc.encode_many(some.column(1).to_pylist()))
 
     base = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))

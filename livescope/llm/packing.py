@@ -31,14 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, stored, text_of
-from .tokens import encoder, vocabulary
+from .tokens import encoder, slices, vocabulary
 
 WINDOW, END_ID = 4096, 2
 #: Lengths are rounded up to this many tokens; a combination has so many lengths at most.
 GRAIN, DEPTH = 64, 3
 #: Documents of a shard, about.
 SHARD = 2_000
-_SLICE = 500
 
 
 def tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -47,8 +46,7 @@ def tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path, "word"), np.array([end_id], np.uint32).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                some = batch.slice(at, _SLICE)
+            for some in slices(batch, 2):
                 ids = [x.tobytes() + end for x in enc.encode_many(some.column(2).to_pylist())]
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), n, pa.array(ids, pa.binary())], names=["row", "doc_id", "n", "ids"])

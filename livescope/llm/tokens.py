@@ -2,8 +2,10 @@
 
 Both pre-tokenizers cut a text at white space without looking further back, so the ids of
 a text are those of its units (a run of other characters with the space before it, or a
-white-space run) one after another. Words repeat, so each worker process keeps the ids of
-up to ``CACHE`` units from task to task. Texts that hold a special token go to the library whole.
+white-space run) one after another. Arrow tells the distinct units of some megabytes of text,
+only those are looked up, and their ids are put back in place by numpy. Words repeat, so each
+worker process keeps the ids of up to ``CACHE`` units from task to task; when half are new, the
+older half goes. Texts that hold a special token go to the library whole.
 
 Python workers read the vocabulary file from ``path``, which every node must have.
 """
@@ -12,15 +14,24 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE = 600_000
+CACHE = 1_400_000
+#: Bytes of text that are encoded at once, about; a longer text is taken alone.
+AT_ONCE = 8 << 20
 #: Unicode's White_Space, which is what the tokenizers' patterns mean by white space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Marks that never join a letter's run, the apostrophe left out.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words of lower-case Latin letters that no normaliser changes, and words of Latin letters after a space.
+_WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_SPACED = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _UNITS = {
     "byte": re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"),
     "word": re.compile(f"[^{WHITE}]+"),
@@ -45,37 +56,43 @@ def tokenizer(path: str):
     return found
 
 
+@lru_cache(maxsize=1)
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet's letters for bytes that don't stand for themselves."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 @lru_cache(maxsize=4)
 def bytes_of_ids(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in set(plain)]
-    as_byte = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
+    as_byte = {letter: b for b, letter in _byte_letters().items()}
     tok = tokenizer(path)
     special = {i: t.content for i, t in tok.get_added_tokens_decoder().items()}
     table = [b""] * tok.get_vocab_size()
     for token, i in tok.get_vocab().items():
-        table[i] = special[i].encode() if i in special else bytes(as_byte[c] for c in token)
+        table[i] = special[i].encode() if i in special else bytes(as_byte.get(c, ord(c)) for c in token)
     return table
 
 
-@lru_cache(maxsize=4)
-def _edges(path: str, kind: str) -> np.ndarray:
-    """Ids that end a word ("word") or begin with a space ("byte")."""
-    tok = tokenizer(path)
-    out = np.zeros(tok.get_vocab_size(), bool)
-    for token, i in tok.get_vocab().items():
-        out[i] = token.endswith("</w>") if kind == "word" else token.startswith("\u0120")
-    return out
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``AT_ONCE`` bytes in a column of texts, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + AT_ONCE, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 class Encoder:
-    """Ids of texts as little-endian int32 bytes. kind: "byte" or "word"."""
+    """Ids of texts as int32 arrays. kind: "byte" or "word"."""
 
     def __init__(self, path: str, kind: str):
         self.tok, self.path, self.units, self.known = tokenizer(path), path, _UNITS[kind], {}
+        self.older: dict[str, bytes] = {}
         self.lower = kind == "word"
-        self.edges = _edges(path, kind)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or r"(?!)")
 
     def whole(self, text: str) -> np.ndarray:
@@ -89,27 +106,39 @@ class Encoder:
             if base and len(base) < len(unit) and base[-1].isascii() and base[-1].isalpha():
                 ends[unit] = base
         known = self.known
-        plain = [*((new - ends.keys()) | ({*ends.values(), *(u[len(b) :] for u, b in ends.items())} - known.keys()))]
-        letters = [u for u in plain if (u if self.lower else u[1:]).isalpha() and (self.lower or u[0] == " ")]
-        if self._learn_words(letters):
-            plain = [u for u in plain if u not in known]
-        for unit, got in zip(plain, self.tok.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-            known[unit] = np.array(got.ids, np.int32).tobytes()
+        rest = []
+        word, model, letters = (_WORD if self.lower else _SPACED).fullmatch, self.tok.model.tokenize, _byte_letters()
+        for unit in (new - ends.keys()) | ({*ends.values(), *(u[len(b) :] for u, b in ends.items())} - known.keys()):
+            if word(unit):  # one word of letters: no cutting and no normalising before the model
+                spelt = unit if self.lower and unit.isascii() else unit.encode().decode("latin-1").translate(letters)
+                known[unit] = array("i", [t.id for t in model(spelt)]).tobytes()
+            else:
+                rest.append(unit)
+        for unit, got in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[unit] = array("i", got.ids).tobytes()
         for unit, base in ends.items():
             known[unit] = known[base] + known[unit[len(base) :]]
 
-    def _learn_words(self, words: list[str]) -> bool:
-        """Ids of many words in one call: words of letters never run together, and their ids show where one ends."""
-        if not words:
-            return False
-        ids = self.whole((" " if self.lower else "").join(words))
-        edge = self.edges[ids]
-        starts = np.append(np.flatnonzero(np.append(True, edge[:-1]) if self.lower else edge), len(ids)) * 4
-        if len(starts) != len(words) + 1:
-            return False
-        raw, at = ids.tobytes(), starts.tolist()
-        self.known.update((w, raw[a:b]) for w, a, b in zip(words, at, at[1:], strict=False))
-        return True
+    def _ids(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units, learned where they are new."""
+        got = list(map(self.known.get, units))
+        new = {u for u, ids in zip(units, got, strict=True) if ids is None}
+        if not new:
+            return got
+        if len(self.known) + len(new) > CACHE // 2:
+            self.older, self.known, new = self.known, {}, set(units)
+        again = new & self.older.keys()
+        self.known.update((u, self.older[u]) for u in again)
+        self._learn(new - again)
+        return list(map(self.known.__getitem__, units))
+
+    def _split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The units of all texts one after another, and where each text's begin."""
+        if self.lower:  # the library cuts units at other white space by itself
+            parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+            return parts.values, parts.offsets.to_numpy()
+        units = [self.units.findall(t) for t in texts]
+        return pa.array([u for own in units for u in own], pa.large_string()), np.cumsum([0, *map(len, units)])
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         if self.lower:  # the library lower-cases anyway, and so more units are alike
@@ -117,15 +146,16 @@ class Encoder:
         else:
             low = texts
         odd = [bool(self.special.search(t)) for t in low]
-        units = [[] if o else self.units.findall(t) for t, o in zip(low, odd, strict=True)]
-        new = set().union(*units) - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = set().union(*units)
-        if new:
-            self._learn(new)
-        of = self.known.__getitem__
-        return [self.whole(t) if o else np.frombuffer(b"".join(map(of, us)), np.int32) for t, o, us in zip(texts, odd, units, strict=True)]
+        units, begins = self._split(["" if o else t for t, o in zip(low, odd, strict=True)])
+        coded = units.dictionary_encode()
+        ids = self._ids(coded.dictionary.to_pylist())
+        index, width = coded.indices.to_numpy(), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first, flat = np.cumsum(width) - width, np.frombuffer(b"".join(ids), np.int32)
+        n = width[index]  # tokens of each unit
+        ends = np.append(0, np.cumsum(n))
+        out = flat[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])]
+        cut = ends[begins].tolist()
+        return [self.whole(t) if o else out[a:b] for t, o, a, b in zip(texts, odd, cut, cut[1:], strict=False)]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
