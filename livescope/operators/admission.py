@@ -15,6 +15,34 @@ def parse_environments(spec: str) -> list[str]:
     return [x for x in (part.strip().lower() for part in spec.split(",")) if x]
 
 
+def sane(start: Column, end: Column) -> Column:
+    """A window may not end before it starts; one without either end is not sane."""
+    return F.coalesce(end >= start, F.lit(False))
+
+
+#: Counters of the health object that must be whole numbers of zero or more where present.
+COUNTERS = (
+    "edgesSampleRate", "edgesSampledRoots", "edgesRecorded", "edgesDropped", "edgesTruncatedDepth", "edgesTruncatedRoot", "edgesTruncatedDistinct", "edgeTierFailures",
+    "edgeTracesReaped",
+)
+
+
+def check_health(doc: Column) -> tuple[Column, Column]:
+    """Of a document (variant): why its health object is refused, or null, and its count of missing strip masks, where a flag is 0 or 1."""
+    value = lambda key: F.try_variant_get(doc, f"$.agentHealth{key}", "variant")
+    kind = lambda key: F.coalesce(F.schema_of_variant(value(key)), F.lit("VOID"))
+    number = lambda key: F.try_variant_get(doc, f"$.agentHealth{key}", "bigint")
+    bad = ~(kind(".classesSkipped").startswith("OBJECT") | (kind(".classesSkipped") == "VOID"))
+    for key in COUNTERS:
+        k = kind(f".{key}")
+        bad = bad | ~((k == "VOID") | ((k == "BIGINT") & (number(f".{key}") >= 0)))
+    k, flag = kind(".stripMaskMissing"), F.try_variant_get(doc, "$.agentHealth.stripMaskMissing", "boolean")
+    bad = bad | ~(k.isin("VOID", "BOOLEAN") | ((k == "BIGINT") & (number(".stripMaskMissing") >= 0)))
+    reason = F.when(~kind("").startswith("OBJECT"), "missing_agent_health").when(bad, "bad_field")
+    missing = F.when(k == "BOOLEAN", flag.cast("bigint")).otherwise(F.coalesce(number(".stripMaskMissing"), F.lit(0).cast("bigint")))
+    return reason, F.when(reason.isNull(), missing)
+
+
 def classify_environment(labels: Sequence[Column], allowed: Sequence[str] = ALLOWED) -> tuple[Column, Column]:
     """The first label that is not blank, trimmed and in lower case, and whether it is allowed."""
     label = F.lower(F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in labels]))

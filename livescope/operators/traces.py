@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,3 +86,62 @@ def health(documents: DataFrame, limits: dict[str, int]) -> DataFrame:
     for c, most in limits.items():
         alert = alert | (F.col(c) > most)
     return latest.withColumn("alert", alert)
+
+
+def fold_siblings(frames: DataFrame) -> DataFrame:
+    """Identical siblings (all that they say, and the same subtree) as the first of them, with how many it stands for.
+
+    What hangs below a folded sibling goes with it. Each trace is walked from its last frame to its
+    first in one task; a trace has 20,000 frames at most, as ``capped`` sees to.
+    """
+    own = ["frame", "threw", "via", "truncated", "seen"]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ordinal")
+        said = pdf[own].astype(object).where(pdf[own].notna(), None).values.tolist()
+        ordinals, parents = pdf["ordinal"].tolist(), [None if pd.isna(p) else int(p) for p in pdf["parent"]]
+        children: dict[int, list[int]] = {}  # of each frame, the shapes of its children, last first
+        shapes: dict[tuple, int] = {}
+        shape = {}
+        for at, parent, says in zip(reversed(ordinals), reversed(parents), reversed(said), strict=True):
+            shape[at] = shapes.setdefault((*says, *children.pop(at, ())), len(shapes))
+            if parent is not None:
+                children.setdefault(parent, []).append(shape[at])
+        first: dict[tuple, int] = {}
+        times: dict[int, int] = {}
+        for at, parent, n in zip(ordinals, parents, pdf["repeated"].tolist(), strict=True):
+            if parent is not None and parent not in times:
+                continue  # below a frame that was folded away
+            kept = first.setdefault((parent, shape[at]), at)
+            times[kept] = times.get(kept, 0) + int(n)
+        out = pdf[pdf["ordinal"].isin(times.keys())][["trace", "ordinal", "parent", "frame"]].copy()
+        out["parent"] = out["parent"].astype("Int64")
+        out["repeated"] = out["ordinal"].map(times)
+        return out
+
+    schema = "trace string, ordinal long, parent long, frame string, repeated long"
+    return frames.where("ordinal is not null").select("trace", "ordinal", "parent", "repeated", *own).groupBy("trace").applyInPandas(fold, schema)
+
+
+#: Conditional jumps of one and of two operands.
+JUMPS_ONE = ("IFEQ", "IFNE", "IFLT", "IFGE", "IFGT", "IFLE", "IFNULL", "IFNONNULL")
+JUMPS_TWO = ("IF_ICMPEQ", "IF_ICMPNE", "IF_ICMPLT", "IF_ICMPGE", "IF_ICMPGT", "IF_ICMPLE", "IF_ACMPEQ", "IF_ACMPNE")
+
+
+def arm(op: Column, lhs: Column, rhs: Column) -> Column:
+    """then or else of a conditional jump, case of any other; one operand is compared with zero."""
+    other = F.when(op.isin(*JUMPS_TWO), rhs).otherwise(F.lit(0))
+    test = F.when(op == "IFNULL", "EQ").when(op == "IFNONNULL", "NE").otherwise(F.right(op, F.lit(2)))
+    holds = (
+        F.when(test == "EQ", lhs == other).when(test == "NE", lhs != other).when(test == "LT", lhs < other)
+        .when(test == "GE", lhs >= other).when(test == "GT", lhs > other).when(test == "LE", lhs <= other)
+    )
+    return F.when(~op.isin(*JUMPS_ONE, *JUMPS_TWO), "case").when(holds, "then").otherwise("else")
+
+
+def group_arms(taken: DataFrame) -> DataFrame:
+    """taken(trace, ordinal, seq, site, op, lhs, rhs): how often each arm of a site was taken in a frame, and its place by first sight."""
+    arms = taken.withColumn("arm", arm(F.col("op"), F.col("lhs"), F.col("rhs")))
+    counted = arms.groupBy("trace", "ordinal", "site", "arm").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    place = F.row_number().over(W.partitionBy("trace", "ordinal").orderBy("first_seq"))
+    return counted.select("trace", "ordinal", "site", "arm", "n", place.alias("place"))

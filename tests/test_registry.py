@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from livescope.plans import more, registry  # noqa: F401
 
 TABLES = "/root/testdata/sf0.001"
-SOME = ("A2", "B1", "B12", "B20", "C1", "C3", "C7", "C8", "C11", "C13", "D5", "D9", "D10", "E1", "E8", "F2", "F3", "G3", "G9", "G10", "H1", "H4", "I1", "I2", "J2", "J6", "K4", "K7", "K19", "L4", "L10", "L12", "A3", "A3_faults", "A8", "A10", "A11", "B5", "B14", "B15", "B17", "C14", "E12", "F8", "F14", "F16", "F20", "H3", "I3", "J1", "J3", "J4", "M2", "M3")
+SOME = ("A2", "B1", "B12", "B20", "C1", "C3", "C7", "C8", "C11", "C13", "D5", "D9", "D10", "E1", "E8", "F2", "F3", "G3", "G9", "G10", "H1", "H4", "I1", "I2", "J2", "J6", "K4", "K7", "K19", "L4", "L10", "L12", "A3", "A3_faults", "A8", "A10", "A11", "B5", "B14", "B15", "B17", "C14", "E12", "F8", "F14", "F16", "F20", "H3", "I3", "J1", "J3", "J4", "M2", "M3", "A7", "L1", "L5", "L6", "B3", "B4")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="needs the given tables")
 
