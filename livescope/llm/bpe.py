@@ -29,6 +29,8 @@ LONGEST = 1 << 16
 #: Tokens on which both sides must agree, and the first window's tokens on either side.
 AGREE, WINDOW = 8, 32
 _SLICE = 500
+#: A task encodes and decodes in two Python processes at once, so each keeps fewer units and takes less text at a time.
+_CACHE, _AT_ONCE = 600_000, 2 << 20
 
 
 def _whole_bytes(table: list[bytes], ids: np.ndarray) -> bytes:
@@ -76,14 +78,14 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     """doc_id, ids (array<int>): as the library encodes each whole text, special tokens not added."""
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, "byte")
+        enc = encoder(path, "byte", _CACHE)
         for batch in batches:
-            for some in slices(batch, 1):
+            for some in slices(batch, 1, _AT_ONCE):
                 yield _rows(some.column(0).to_pylist(), enc.encode_many(some.column(1).to_pylist()))
 
     base = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     special = F.lit(False)
-    for token in encoder(path, "byte").tok.get_added_tokens_decoder().values():
+    for token in encoder(path, "byte", _CACHE).tok.get_added_tokens_decoder().values():
         special = special | F.contains("text", F.lit(token.content))
     short = base.where((F.length("text") <= longest) | special).mapInArrow(direct, "doc_id long, ids array<int>")
 
@@ -99,7 +101,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 )
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, "byte")
+        enc = encoder(path, "byte", _CACHE)
         for batch in batches:
             for i in range(batch.num_rows):
                 doc, row, part, t = (batch.column(c)[i].as_py() for c in range(4))
@@ -109,7 +111,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 )
 
     def tree(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
-        enc = encoder(path, "byte")
+        enc = encoder(path, "byte", _CACHE)
         parts = parts.sort_by("part")
         ids = [np.array(x, np.int32) for x in parts.column("ids").to_pylist()]
         while len(ids) > 1:
@@ -127,7 +129,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     """tokens(doc_id, ids) with decoded, the text as the library's decode gives it, special tokens kept."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, "byte")
+        enc = encoder(path, "byte", _CACHE)
         for batch in batches:
             ids = batch.column(1)
             for at in range(0, batch.num_rows, _SLICE):

@@ -75,13 +75,13 @@ def bytes_of_ids(path: str) -> list[bytes]:
     return table
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``AT_ONCE`` bytes in a column of texts, one row at least."""
+def slices(batch: pa.RecordBatch, column: int, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes in a column of texts, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < batch.num_rows:
         before = int(ends[at - 1]) if at else 0
-        end = max(at + 1, int(np.searchsorted(ends, before + AT_ONCE, "right")))
+        end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(at, end - at)
         at = end
 
@@ -89,7 +89,8 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 class Encoder:
     """Ids of texts as int32 arrays. kind: "byte" or "word"."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, cache: int | None = None):
+        self.cache = cache or CACHE
         self.tok, self.path, self.units, self.known = tokenizer(path), path, _UNITS[kind], {}
         self.older: dict[str, bytes] = {}
         self.lower = kind == "word"
@@ -125,7 +126,7 @@ class Encoder:
         new = {u for u, ids in zip(units, got, strict=True) if ids is None}
         if not new:
             return got
-        if len(self.known) + len(new) > CACHE // 2:
+        if len(self.known) + len(new) > self.cache // 2:
             self.older, self.known, new = self.known, {}, set(units)
         again = new & self.older.keys()
         self.known.update((u, self.older[u]) for u in again)
@@ -170,6 +171,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, cache: int | None = None) -> Encoder:
     """The worker process's encoder: what it has learned in one task is known in the next."""
-    return Encoder(path, kind)
+    return Encoder(path, kind, cache)
