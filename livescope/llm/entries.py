@@ -9,6 +9,7 @@ from .iblt import op10_fingerprints
 from .lm_score import OP1_SQL, op1_lm_score
 from .packing import op8_packing
 from .quality import op5_quality
+from .sharding import OP11_SQL, op11_sharding
 from .simhash import op4_simhash
 from .substring_dedup import OP9_SQL, op9_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
@@ -25,8 +26,9 @@ _QUERIES = {
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_fingerprints": op10_fingerprints,
+    "op11_sharding": op11_sharding,
 }
-_SQL = {"op1_lm_score": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op9_substring_dedup": OP9_SQL}
+_SQL = {"op1_lm_score": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op9_substring_dedup": OP9_SQL, "op11_sharding": OP11_SQL}
 
 
 def _run(query):
