@@ -9,6 +9,7 @@ from .iblt import op10_fingerprints
 from .lm_score import OP1_SQL, op1_lm_score
 from .packing import op8_packing
 from .quality import op5_quality
+from .ranked_search import OP12_SQL, op12_ranked_search
 from .sharding import OP11_SQL, op11_sharding
 from .simhash import op4_simhash
 from .substring_dedup import OP9_SQL, op9_substring_dedup
@@ -27,8 +28,9 @@ _QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_fingerprints": op10_fingerprints,
     "op11_sharding": op11_sharding,
+    "op12_ranked_search": op12_ranked_search,
 }
-_SQL = {"op1_lm_score": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op9_substring_dedup": OP9_SQL, "op11_sharding": OP11_SQL}
+_SQL = {"op1_lm_score": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op9_substring_dedup": OP9_SQL, "op11_sharding": OP11_SQL, "op12_ranked_search": OP12_SQL}
 
 
 def _run(query):
