@@ -8,6 +8,7 @@ from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .iblt import op10_fingerprints
 from .lm_score import OP1_SQL, op1_lm_score
 from .packing import op8_packing
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .quality import op5_quality
 from .ranked_search import OP12_SQL, op12_ranked_search
 from .sharding import OP11_SQL, op11_sharding
@@ -29,8 +30,16 @@ _QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "op11_sharding": op11_sharding,
     "op12_ranked_search": op12_ranked_search,
+    "op13_prefix_trie": op13_prefix_trie,
+}
+_SQL = {
+    "op1_lm_score": OP1_SQL,
+    "op3_exact_dedup": OP3_SQL,
+    "op9_substring_dedup": OP9_SQL,
+    "op11_sharding": OP11_SQL,
+    "op12_ranked_search": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
-_SQL = {"op1_lm_score": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op9_substring_dedup": OP9_SQL, "op11_sharding": OP11_SQL, "op12_ranked_search": OP12_SQL}
 
 
 def _run(query):
