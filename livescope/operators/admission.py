@@ -79,4 +79,5 @@ def withheld(bits: DataFrame, windows: DataFrame) -> DataFrame:
 
 def evidence_only(rows: DataFrame, windows: DataFrame, of: str = "life") -> DataFrame:
     """The rows of windows that are evidence of ``life`` or ``death``; nothing else goes into a merge."""
-    return rows.join(usable(windows).where(of).select("build", "instance", "day"), ["build", "instance", "day"], "left_semi")
+    tainted = F.col("tainted") if "tainted" in windows.columns else None
+    return rows.join(usable(windows, tainted).where(of).select("build", "instance", "day"), ["build", "instance", "day"], "left_semi")

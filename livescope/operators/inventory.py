@@ -69,6 +69,7 @@ def match_rules(methods: DataFrame, rules: list[tuple[str, str, str]]) -> DataFr
 
 
 def roots(entry_points: DataFrame, methods: DataFrame) -> DataFrame:
-    """Entry points that are no tests."""
-    tests = methods.where("is_test").select(F.col("p_partkey").alias("ref"))
-    return entry_points.where("kind <> 'test'").join(tests, "ref", "left_anti").select("ref").distinct()
+    """(ref, kept): entry points; those of test kind or in test code are dropped, not kept."""
+    tests = methods.where("is_test").select(F.col("p_partkey").alias("ref"), F.lit(True).alias("in_test"))
+    each = entry_points.groupBy("ref").agg(F.bool_or(F.col("kind") != "test").alias("production"))
+    return each.join(tests, "ref", "left").select("ref", (F.col("production") & F.col("in_test").isNull()).alias("kept"))

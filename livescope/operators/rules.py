@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .inventory import parse_rule
+from .inventory import match_rules, parse_rule
 
 #: Order in which layers are asked.
 LAYERS = ("user", "derived", "default")
@@ -64,3 +64,27 @@ DEFAULT_RULES = (
 def default_rules() -> list[tuple[str, str, str]]:
     """Class, method and descriptor globs of the default list."""
     return [parse_rule(line)[:3] for line in DEFAULT_RULES]
+
+
+def suppress(methods: DataFrame, user: list[str], derived: DataFrame, defaults: bool = True) -> DataFrame:
+    """methods with suppression: pattern, origin and comment of the first rule that matches, or null.
+
+    The user's lines are asked first, then derived(cls, method_glob) of generated classes and members, then the default list.
+    """
+
+    def said(lines: list[str], origin: str):
+        parsed = [(line, parse_rule(line)) for line in lines]
+        kept = [(cls + "#" + name + ("" if desc == "*" else desc), (cls, name, desc), comment) for _, p in parsed if p for cls, name, desc, comment in [p]]
+        texts = F.array(*[F.lit(f"{pattern} ({origin})" + (f": {comment}" if comment else "")) for pattern, _, comment in kept]) if kept else F.array().cast("array<string>")
+        return [globs for _, globs, _ in kept], texts
+
+    user_globs, user_texts = said(user, "user")
+    default_globs, default_texts = said(list(DEFAULT_RULES) if defaults else [], "default")
+    whole = derived.where("method_glob = '*'").select("cls", F.lit(True).alias("whole_class")).distinct()
+    member = derived.where("method_glob <> '*'").select("cls", F.col("method_glob").alias("name"), F.lit(True).alias("one_member")).distinct()
+    asked = match_rules(methods, user_globs).withColumnRenamed("rule_no", "user_no")
+    asked = match_rules(asked, default_globs).withColumnRenamed("rule_no", "default_no")
+    asked = asked.join(whole, "cls", "left").join(member, ["cls", "name"], "left")
+    generated = F.when(F.col("whole_class"), F.concat("cls", F.lit("#* (derived)"))).when(F.col("one_member"), F.concat("cls", F.lit("#"), "name", F.lit(" (derived)")))
+    found = F.coalesce(F.get(user_texts, F.col("user_no")), generated, F.get(default_texts, F.col("default_no")))
+    return asked.withColumn("suppression", found).drop("user_no", "default_no", "whole_class", "one_member")

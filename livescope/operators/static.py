@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import _kept
+from .graph import kept
 
 # They must match what builds are scanned with.
 SHORT_CIRCUITING = (
@@ -229,10 +229,10 @@ def unmatched(patterns: list[str], methods: DataFrame) -> DataFrame:
 
 def _coloured(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(ref, colour): the smallest node that reaches each node over edges(src, dst)."""
-    colour = _kept(nodes.select("ref", F.col("ref").alias("colour")))
+    colour = kept(nodes.select("ref", F.col("ref").alias("colour")))
     while True:
         into = edges.join(colour, F.col("src") == F.col("ref")).groupBy(F.col("dst").alias("ref")).agg(F.min("colour").alias("from_in"))
-        new = _kept(colour.join(into, "ref", "left").select("ref", F.least("colour", F.coalesce("from_in", "colour")).alias("colour"), (F.col("from_in") < F.col("colour")).alias("moved")))
+        new = kept(colour.join(into, "ref", "left").select("ref", F.least("colour", F.coalesce("from_in", "colour")).alias("colour"), (F.col("from_in") < F.col("colour")).alias("moved")))
         colour = new.select("ref", "colour")
         if new.where("moved").isEmpty():
             return colour
@@ -244,27 +244,27 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Nodes without an edge in or out among those left are components of their own and go first. The rest take the smallest
     node that reaches them as colour; a colour's component is what reaches its first node back inside the colour.
     """
-    left, links = _kept(nodes.select("ref").distinct()), _kept(edges.select("src", "dst").where("src <> dst").distinct())
-    links = _kept(links.join(left, links["src"] == left["ref"], "left_semi").join(left, links["dst"] == left["ref"], "left_semi"))
+    left, links = kept(nodes.select("ref").distinct()), kept(edges.select("src", "dst").where("src <> dst").distinct())
+    links = kept(links.join(left, links["src"] == left["ref"], "left_semi").join(left, links["dst"] == left["ref"], "left_semi"))
     out = []
     while True:
-        both = _kept(links.select(F.col("src").alias("ref")).distinct().join(links.select(F.col("dst").alias("ref")).distinct(), "ref", "left_semi"))
-        out.append(_kept(left.join(both, "ref", "left_anti").select("ref", F.col("ref").alias("component"))))
+        both = kept(links.select(F.col("src").alias("ref")).distinct().join(links.select(F.col("dst").alias("ref")).distinct(), "ref", "left_semi"))
+        out.append(kept(left.join(both, "ref", "left_anti").select("ref", F.col("ref").alias("component"))))
         if both.isEmpty():
             break
-        trimmed = _kept(links.join(both, links["src"] == both["ref"], "left_semi").join(both, links["dst"] == both["ref"], "left_semi"))
+        trimmed = kept(links.join(both, links["src"] == both["ref"], "left_semi").join(both, links["dst"] == both["ref"], "left_semi"))
         if out[-1].isEmpty():
             colour = _coloured(both, trimmed)
             inside = trimmed.join(colour.select(F.col("ref").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("ref").alias("dst"), F.col("colour").alias("c2")), "dst")
-            back = _kept(inside.where("c1 = c2").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-            found = frontier = _kept(colour.where("ref = colour").select("ref"))
+            back = kept(inside.where("c1 = c2").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            found = frontier = kept(colour.where("ref = colour").select("ref"))
             while not frontier.isEmpty():
                 step = back.join(frontier, back["src"] == frontier["ref"], "left_semi").select(F.col("dst").alias("ref")).distinct()
-                frontier = _kept(step.join(found, "ref", "left_anti"))
-                found = _kept(found.union(frontier))
-            out.append(_kept(colour.join(found, "ref", "left_semi").select("ref", F.col("colour").alias("component"))))
-            both = _kept(both.join(found, "ref", "left_anti"))
-            trimmed = _kept(trimmed.join(both, trimmed["src"] == both["ref"], "left_semi").join(both, trimmed["dst"] == both["ref"], "left_semi"))
+                frontier = kept(step.join(found, "ref", "left_anti"))
+                found = kept(found.union(frontier))
+            out.append(kept(colour.join(found, "ref", "left_semi").select("ref", F.col("colour").alias("component"))))
+            both = kept(both.join(found, "ref", "left_anti"))
+            trimmed = kept(trimmed.join(both, trimmed["src"] == both["ref"], "left_semi").join(both, trimmed["dst"] == both["ref"], "left_semi"))
         left, links = both, trimmed
     result = out[0]
     for more in out[1:]:
@@ -278,9 +278,9 @@ def test_only(methods: DataFrame, edges: DataFrame, members: DataFrame) -> DataF
     Blocking edges(src, dst) only; members(ref, component). The first rule that fits decides: test code, entry point, no
     caller, a caller outside the component that is no test, callers in tests or in a component with tests, none of these.
     """
-    known = _kept(methods.join(members, "ref"))
+    known = kept(methods.join(members, "ref"))
     tested = known.groupBy("component").agg(F.bool_or("is_test").alias("has_test"))
-    known = _kept(known.join(tested, "component"))
+    known = kept(known.join(tested, "component"))
     side = lambda x: known.select(F.col("ref").alias(x), F.col("is_test").alias(f"{x}_test"), F.col("component").alias(f"{x}_in"))
     inbound = edges.select("src", "dst").distinct().join(side("src"), "src").join(side("dst"), "dst").groupBy(F.col("dst").alias("ref")).agg(
         F.bool_or("src_test").alias("from_test"), F.bool_or(~F.col("src_test") & (F.col("src_in") != F.col("dst_in"))).alias("from_outside")

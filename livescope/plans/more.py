@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import coverage, edges, graph, ledger, rules, verdict
+from ..operators import coverage, edges, rules
 from ..sources import derived as d
 from ..sources import windows
-from .registry import _AGG, _EFFECTIVE, _FACTS, _FRAMES, _LIFE, SQL, _decoded, _facts, _frames, _reached, _triaged, _TRIAGE, query
+from .registry import _FRAMES, _LIFE, SQL, _decoded, _frames, query
 
 
 @query(
@@ -46,29 +45,6 @@ def e10(spark, sf):
     return edges.loss(d.window_edges(spark, sf).withColumn("dropped", F.col("observations") % 7 == 0))
 
 
-@query(
-    "G4",
-    f"""WITH RECURSIVE {_TRIAGE} SELECT dst AS ref, bool_and(category = 'noop') AS only_noop, bool_and(category = 'from_test') AS only_test FROM tr
-WHERE category <> 'unresolved' AND dst NOT IN (SELECT ref FROM re) GROUP BY dst""",
-)
-def g4(spark, sf):
-    triaged, _tests = _triaged(spark, sf)
-    found = _reached(spark, sf)
-    rest = triaged.where("category <> 'unresolved'").select(F.col("dst").alias("ref"), "category").join(found, "ref", "left_anti")
-    return rest.groupBy("ref").agg(F.bool_and(F.col("category") == "noop").alias("only_noop"), F.bool_and(F.col("category") == "from_test").alias("only_test"))
-
-
-@query("G6", f"WITH {d.CALLS} SELECT cls, coalesce(arg_min(kind, ref), 'none') AS kind FROM me LEFT JOIN ep ON ref = p_partkey GROUP BY cls")
-def g6(spark, sf):
-    joined = d.methods(spark, sf).join(d.entry_points(spark, sf), F.col("ref") == F.col("p_partkey"), "left")
-    return joined.groupBy("cls").agg(F.coalesce(F.min_by("kind", "ref"), F.lit("none")).alias("kind"))
-
-
-@query("G11", f"""WITH RECURSIVE {_FACTS} SELECT artifact, cls, name, "desc", status, row_number() OVER (PARTITION BY artifact ORDER BY cls, name, "desc") AS place FROM ve""")
-def g11(spark, sf):
-    return graph.placed(verdict.evaluate(_facts(spark, sf)).select("artifact", "cls", "name", "desc", "status"), ["artifact"], ["cls", "name", "desc"])
-
-
 def _lines(spark, sf):
     k = F.col("p_partkey")
     line = (
@@ -119,35 +95,6 @@ def i6(spark, sf):
     return rules.counts_by_origin(_composed(spark, sf))
 
 
-@query("J1", f"SELECT * FROM ({SQL['J2']}) WHERE state <> 'revoked'")
-def j1(spark, sf):
-    m = d.methods(spark, sf)
-    return ledger.reconcile(m.where("not is_public_api"), m.where("p_partkey % 3 <> 0"), ["p_partkey"]).where("state <> 'revoked'")
-
-
-@query(
-    "J7",
-    f"""WITH RECURSIVE {_FACTS}, k AS (SELECT p_partkey, ['entrypoint:' || artifact, 'eligibility:' || {_EFFECTIVE}] AS keys FROM fa)
-SELECT p_partkey, [x FOR x IN keys IF x IN ('entrypoint:Brand#7', 'eligibility:DE_INSTRUMENTED')][1] AS disabled_key FROM k""",
-)
-def j7(spark, sf):
-    e = verdict.effective_eligibility(F.col("eligibility"), F.col("installed"))
-    keys = _facts(spark, sf).select("p_partkey", F.posexplode(F.array(F.concat(F.lit("entrypoint:"), "artifact"), F.concat(F.lit("eligibility:"), e))).alias("at", "rule_key"))
-    off = F.col("rule_key").isin("entrypoint:Brand#7", "eligibility:DE_INSTRUMENTED")
-    return keys.groupBy("p_partkey").agg(F.min_by(F.when(off, F.col("rule_key")), F.when(off, F.col("at"))).alias("disabled_key"))
-
-
-@query(
-    "K9",
-    f"""WITH RECURSIVE {_FACTS}, {_AGG} SELECT build, callee_idx, count(*) AS callers, coalesce(bool_or(status = 'LIVE'), false) AS any_live FROM ea LEFT JOIN ve ON p_partkey = caller_idx GROUP BY ALL""",
-)
-def k9(spark, sf):
-    status = verdict.evaluate(_facts(spark, sf)).select(F.col("p_partkey").alias("caller_idx"), "status")
-    return edges.edge_agg(d.window_edges(spark, sf)).join(status, "caller_idx", "left").groupBy("build", "callee_idx").agg(
-        F.count("*").alias("callers"), F.coalesce(F.bool_or(F.col("status") == "LIVE"), F.lit(False)).alias("any_live")
-    )
-
-
 @query("K17", f"WITH {d.METHODS} SELECT cls, name, count(*) AS overloads, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution FROM me GROUP BY ALL")
 def k17(spark, sf):
     found = d.methods(spark, sf).groupBy("cls", "name").agg(F.count("*").alias("overloads"))

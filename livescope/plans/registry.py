@@ -412,126 +412,6 @@ def k14(spark, sf):
     return inventory.match_rules(d.methods(spark, sf), _RULES).groupBy(F.coalesce("rule_no", F.lit(-1)).alias("rule_no")).agg(F.count("*").alias("methods"))
 
 
-# ---- G: reachability
-
-_TRIAGE = f"""{d.CALLS}, te AS (SELECT p_partkey AS ref FROM me WHERE is_test), tr AS (
-  SELECT cg.*, CASE WHEN resolution = 'unresolved' THEN 'unresolved' WHEN src IN (SELECT ref FROM te) THEN 'from_test' WHEN semantics IN ('noop', 'no-op') THEN 'noop' ELSE 'forward' END AS category FROM cg),
-ro AS (SELECT DISTINCT ref FROM ep WHERE kind <> 'test' AND ref NOT IN (SELECT ref FROM te)),
-fw AS (SELECT src, dst FROM tr WHERE category = 'forward' UNION SELECT a.p_partkey, b.p_partkey FROM me a JOIN me b ON a.cls = b.cls AND b.name = '<clinit>' AND a.p_partkey <> b.p_partkey),
-re AS (SELECT ref FROM ro UNION SELECT dst FROM fw JOIN re ON src = re.ref)"""
-
-
-def _triaged(spark, sf):
-    tests = d.methods(spark, sf).where("is_test").select(F.col("p_partkey").alias("ref"))
-    return graph.triage(d.call_edges(spark, sf), tests), tests
-
-
-def _roots(spark, sf):
-    return inventory.roots(d.entry_points(spark, sf), d.methods(spark, sf))
-
-
-def _reached(spark, sf):
-    """What production roots reach over forward calls, and the initialisers of reached classes."""
-    starts = graph.initialisers(d.methods(spark, sf).select(F.col("p_partkey").alias("ref"), "cls", "name"))
-    return graph.reachable(_roots(spark, sf), _triaged(spark, sf)[0].where("category = 'forward'").select("src", "dst").unionByName(starts))
-
-
-@query("G1", f"WITH RECURSIVE {_TRIAGE} SELECT ref FROM ro")
-def g1(spark, sf):
-    return _roots(spark, sf)
-
-
-@query("G2", f"WITH RECURSIVE {_TRIAGE} SELECT * FROM tr")
-def g2(spark, sf):
-    return _triaged(spark, sf)[0]
-
-
-@query("G3", f"WITH RECURSIVE {_TRIAGE} SELECT ref FROM re")
-def g3(spark, sf):
-    return _reached(spark, sf)
-
-
-_STATIC = """un AS (SELECT DISTINCT dst FROM tr WHERE category = 'unresolved'), inb AS (SELECT DISTINCT dst FROM tr WHERE category <> 'unresolved'),
-sr AS (SELECT p_partkey AS ref, CASE WHEN p_partkey IN (SELECT ref FROM re) THEN true WHEN p_partkey IN (SELECT dst FROM un) THEN NULL WHEN p_partkey IN (SELECT dst FROM inb) THEN NULL ELSE false END AS static_reachable FROM me)"""
-
-
-@query("G5", f"WITH RECURSIVE {_TRIAGE}, {_STATIC} SELECT * FROM sr")
-def g5(spark, sf):
-    triaged, tests = _triaged(spark, sf)
-    found = _reached(spark, sf)
-    return graph.static_reachable(d.methods(spark, sf).select(F.col("p_partkey").alias("ref")), triaged, found, tests).select("ref", "static_reachable")
-
-
-def _static(spark, sf):
-    """What the call graph says of each method, as facts take it."""
-    return g5(spark, sf).withColumnRenamed("ref", "p_partkey")
-
-
-# ---- H: phases
-
-
-@query(
-    "H1",
-    f"""WITH {d.INTERVALS}, dd AS (SELECT build, start, max(stop) AS stop FROM iv GROUP BY ALL),
-x AS (SELECT *, CASE WHEN max(stop) OVER (PARTITION BY build ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start THEN 0 ELSE 1 END AS new FROM dd),
-y AS (SELECT *, sum(new) OVER (PARTITION BY build ORDER BY start) AS island FROM x)
-SELECT build, min(start) AS start, max(stop) AS stop FROM y GROUP BY build, island""",
-)
-def h1(spark, sf):
-    return phases.merge_intervals(d.intervals(spark, sf))
-
-
-@query("H5", f"WITH {d.INTERVALS} SELECT build, min(start) AS start, max(stop) AS stop, date_diff('day', min(start), max(stop)) AS window_days FROM iv GROUP BY ALL")
-def h5(spark, sf):
-    return phases.span(d.intervals(spark, sf))
-
-
-_CALENDAR = [("month-end", "last-days-of-month", 2), ("quarter-end", "last-days-of-quarter", 5), ("year-end", "last-days-of-year", 9)]
-_MONTHS = f"""{d.INTERVALS}, sp AS (SELECT min(start) AS lo, max(stop) AS hi FROM iv),
-ru(phase, every, days) AS (VALUES ('month-end', 1, 2), ('quarter-end', 3, 5), ('year-end', 12, 9)),
-ca AS (SELECT * FROM (SELECT lo, hi, phase, days, CAST(last_day(m) - days + 1 AS DATE) AS p_start, CAST(last_day(m) + 1 AS DATE) AS p_stop
-  FROM ru, sp, unnest(generate_series(date_trunc('month', lo - INTERVAL 1 MONTH)::TIMESTAMP, date_trunc('month', hi + 40)::TIMESTAMP, INTERVAL 1 MONTH)) g(m) WHERE month(m) % every = 0) WHERE p_start < hi AND p_stop > lo)"""
-
-
-def _calendar(spark, sf):
-    return phases.expand(d.intervals(spark, sf).agg(F.min("start").alias("start"), F.max("stop").alias("stop")), _CALENDAR)
-
-
-@query("H3", f"WITH {_MONTHS} SELECT phase, p_start, p_stop FROM ca")
-def h3(spark, sf):
-    return _calendar(spark, sf)
-
-
-_COVERED = f"""{_MONTHS}, dy AS (SELECT DISTINCT build, start AS day FROM iv),
-co AS (SELECT build, phase, p_start, p_stop, days, count(*) AS covered FROM dy JOIN ca ON day >= p_start AND day < p_stop GROUP BY ALL)"""
-
-
-@query("H2", f"WITH {_COVERED} SELECT build, phase, p_start, p_stop, covered FROM co")
-def h2(spark, sf):
-    return phases.overlap_days(phases.merge_intervals(d.intervals(spark, sf)), _calendar(spark, sf))
-
-
-@query(
-    "H4",
-    f"""WITH {_COVERED}, b AS (SELECT build, phase, max(covered / days) AS best FROM co GROUP BY ALL), n AS (SELECT phase, count(*) AS n FROM ca GROUP BY phase),
-w AS (SELECT build, phase, coalesce(n, 0) AS occurrences, coalesce(best, 0) AS best FROM (SELECT DISTINCT build FROM iv) q CROSS JOIN (VALUES ('month-end'), ('quarter-end'), ('year-end'), ('audit')) p(phase) LEFT JOIN n USING (phase) LEFT JOIN b USING (build, phase))
-SELECT build, phase, round(best, 4) AS fraction, occurrences, best >= 0.9 AS is_covered, CASE WHEN occurrences = 0 THEN 'no occurrence' WHEN best >= 0.9 THEN 'covered' ELSE 'too little observed' END AS state FROM w""",
-)
-def h4(spark, sf):
-    windows_ = d.intervals(spark, sf)
-    return phases.phase_coverage(windows_.select("build").distinct(), phases.merge_intervals(windows_), _calendar(spark, sf), ["month-end", "quarter-end", "year-end", "audit"])
-
-
-@query("A6", "SELECT phase, rule, days FROM (VALUES ('month-end', 'last-days-of-month', 2), ('quarter-end', 'last-days-of-quarter', 5), ('year-end', 'last-days-of-year', 9)) v(phase, rule, days) WHERE EXISTS (SELECT 1 FROM orders)")
-def a6(spark, sf):
-    """The calendar as a file beside the windows' data: written for the table's builds, read, checked."""
-    folder = f"{graph.shared_folder(spark)}/calendar-{uuid.uuid4().hex}"
-    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(r).alias("rule"), F.lit(n).alias("days")) for p, r, n in _CALENDAR])).alias("x")
-    d.read(spark, sf, "orders").limit(1).select(rows).select("x.*").write.json(folder)
-    found = phases.read_calendar(spark, folder)
-    return spark.createDataFrame(found, "phase string, rule string, days int")
-
-
 # ---- J: ledger
 
 
@@ -639,113 +519,6 @@ def l13(spark, sf):
     return d.call_events(spark, sf).select("event_id", denied_number(F.col("nanos") * 40).alias("denied"))
 
 
-# ---- G7-G11, K4-K6: verdicts, with facts derived for every part
-
-
-def _facts(spark, sf):
-    m = d.methods(spark, sf)
-    li = d.read(spark, sf, "lineitem")
-    observed = li.where("l_quantity >= 49 and l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("observed", F.lit(True))
-    inbound = li.where("l_discount >= 0.1 and l_quantity < 5").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count_distinct("l_suppkey").alias("inbound_edges"))
-    loaded = m.groupBy("cls").agg(F.bool_or(F.col("p_partkey") % 3 != 0).alias("class_loaded"))
-    k = F.col("p_partkey")
-    return (
-        inventory.match_rules(m, _RULES[:2]).join(_static(spark, sf), "p_partkey").join(observed, "p_partkey", "left").join(inbound, "p_partkey", "left").join(loaded, "cls")
-        .withColumns(
-            {
-                "suppressed": F.col("rule_no").isNotNull(),
-                "eligibility": F.when(~F.col("observable"), verdict.NOT_OBSERVABLE).when(k % 31 == 0, verdict.DE_INSTRUMENTED).otherwise(verdict.OBSERVABLE),
-                "installed": F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, False).otherwise(True).cast("boolean"),
-                "observed": F.coalesce("observed", F.lit(False)),
-                "inbound_edges": F.coalesce("inbound_edges", F.lit(0)),
-                                "edges_reported": F.lit(True),
-                "usable_windows": F.when(F.col("artifact") == "Brand#3", 0).otherwise(4),
-                "excluded_windows": k % 2,
-                "phases_missing": F.col("artifact").isin("Brand#4", "Brand#5"),
-                "window_days": F.lit(4),
-                "min_window_days": F.when(F.col("artifact") == "Brand#6", 5).otherwise(0),
-                "rule_class_disabled": F.col("artifact") == "Brand#7",
-                "rate_limited": k % 41 == 0,
-            }
-        )
-    )
-
-
-_FACTS = f"""{_TRIAGE}, {_STATIC}, ob AS (SELECT DISTINCT l_partkey AS p_partkey, true AS seen FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'R'),
-ie AS (SELECT l_partkey AS p_partkey, count(DISTINCT l_suppkey) AS n_in FROM lineitem WHERE l_discount >= 0.1 AND l_quantity < 5 GROUP BY ALL),
-lo AS (SELECT cls, bool_or(p_partkey % 3 <> 0) AS class_loaded FROM me GROUP BY cls),
-fa AS (SELECT me.*, starts_with(cls, 'p.Brand#1') OR regexp_full_match(name, 'm1.') AS suppressed,
-  CASE WHEN NOT observable THEN 'NOT_DYNAMICALLY_OBSERVABLE' WHEN p_partkey % 31 = 0 THEN 'DE_INSTRUMENTED' ELSE 'OBSERVABLE' END AS eligibility,
-  CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey % 7 <> 1 END AS installed, coalesce(seen, false) AS observed, coalesce(n_in, 0) AS inbound_edges, class_loaded,
-  static_reachable
-  FROM me JOIN sr ON sr.ref = p_partkey LEFT JOIN ob USING (p_partkey) LEFT JOIN ie USING (p_partkey) JOIN lo USING (cls)),
-bl AS (SELECT *, list_filter([CASE WHEN suppressed THEN 'suppressed' END, CASE WHEN name = '<clinit>' THEN 'clinit' END, CASE WHEN is_public_api THEN 'public-api' END,
-  CASE WHEN eligibility = 'NOT_DYNAMICALLY_OBSERVABLE' THEN 'not-dynamically-observable' END, CASE WHEN eligibility = 'DE_INSTRUMENTED' THEN 'de-instrumented' END,
-  CASE WHEN eligibility = 'OBSERVABLE' AND installed IS NOT DISTINCT FROM false THEN 'no-probe-installed' END, CASE WHEN short_circuitable THEN 'short-circuitable' END,
-  CASE WHEN NOT class_loaded THEN 'class-never-loaded' END, CASE WHEN static_reachable THEN 'static-reachable' END, CASE WHEN static_reachable IS NULL THEN 'static-unresolved' END,
-  CASE WHEN inbound_edges > 0 THEN 'runtime-edge-observed' END, CASE WHEN artifact = 'Brand#3' THEN 'no-usable-window' END,
-  CASE WHEN artifact IN ('Brand#4', 'Brand#5') THEN 'phases-missing' END, CASE WHEN artifact = 'Brand#6' THEN 'window-too-short' END,
-  CASE WHEN artifact = 'Brand#7' THEN 'rule-class-disabled' END, CASE WHEN p_partkey % 41 = 0 THEN 'rate-limited' END], lambda x: x IS NOT NULL) AS blockers FROM fa),
-ve AS (SELECT *, CASE WHEN observed OR inbound_edges > 0 THEN 'LIVE' WHEN suppressed THEN 'UNKNOWN' WHEN eligibility = 'NOT_DYNAMICALLY_OBSERVABLE' THEN eligibility
-  WHEN len(blockers) > 0 THEN 'UNKNOWN' ELSE 'DEAD_CANDIDATE' END AS status FROM bl)"""
-_EFFECTIVE = "CASE WHEN eligibility = 'OBSERVABLE' AND installed IS NOT DISTINCT FROM false THEN 'NO_PROBE_INSTALLED' ELSE eligibility END"
-
-
-@query("G7", f"WITH RECURSIVE {_FACTS} SELECT p_partkey, {_EFFECTIVE} AS effective FROM fa")
-def g7(spark, sf):
-    return _facts(spark, sf).select("p_partkey", verdict.effective_eligibility(F.col("eligibility"), F.col("installed")).alias("effective"))
-
-
-@query("G8", f"WITH RECURSIVE {_FACTS} SELECT p_partkey, suppressed, eligibility, observed, inbound_edges, class_loaded FROM fa")
-def g8(spark, sf):
-    return _facts(spark, sf).select("p_partkey", "suppressed", "eligibility", "observed", "inbound_edges", "class_loaded")
-
-
-@query("G9", f"WITH RECURSIVE {_FACTS} SELECT p_partkey, status, array_to_string(blockers, ',') AS blockers FROM ve")
-def g9(spark, sf):
-    return verdict.evaluate(_facts(spark, sf)).select("p_partkey", "status", F.array_join("blockers", ",").alias("blockers"))
-
-
-@query(
-    "G10",
-    f"""WITH RECURSIVE {_FACTS} SELECT p_partkey, CASE WHEN suppressed THEN 'suppressed' WHEN name = '<clinit>' THEN 'clinit' WHEN is_public_api THEN 'public-api-surface' WHEN eligibility = 'NOT_DYNAMICALLY_OBSERVABLE' THEN 'not-dynamically-observable'
-  WHEN eligibility = 'DE_INSTRUMENTED' THEN 'de-instrumented' WHEN installed IS NOT DISTINCT FROM false THEN 'no-probe-installed' WHEN short_circuitable THEN 'short-circuitable'
-  WHEN observed THEN 'runtime-observed' ELSE replace(blockers[1], 'public-api', 'public-api-surface') END AS blocking FROM ve""",
-)
-def g10(spark, sf):
-    return verdict.evaluate(_facts(spark, sf)).select("p_partkey", verdict.first_blocking(F.col("reasons")).alias("blocking"))
-
-
-_ORDERED = 'row_number() OVER (PARTITION BY artifact ORDER BY cls, name, "desc") AS place'
-
-
-@query("K4", f"""WITH RECURSIVE {_FACTS}, c AS (SELECT artifact, cls, name, "desc", {_ORDERED} FROM ve WHERE status = 'DEAD_CANDIDATE') SELECT * FROM c WHERE place <= 20""")
-def k4(spark, sf):
-    place = F.row_number().over(W.partitionBy("artifact").orderBy("cls", "name", "desc"))
-    c = verdict.evaluate(_facts(spark, sf)).where("status = 'DEAD_CANDIDATE'").select("artifact", "cls", "name", "desc", place.alias("place"))
-    return c.where("place <= 20")
-
-
-@query("K5", f"WITH RECURSIVE {_FACTS} SELECT artifact, status, count(*) AS methods FROM ve GROUP BY ALL")
-def k5(spark, sf):
-    return verdict.summary(verdict.evaluate(_facts(spark, sf)))
-
-
-@query(
-    "K6",
-    f"""WITH RECURSIVE {_FACTS}, e AS (SELECT cls, {_EFFECTIVE} AS e FROM fa) SELECT cls, count(*) FILTER (e = 'NO_PROBE_INSTALLED') AS never_instrumented,
-  count(*) FILTER (e = 'NOT_DYNAMICALLY_OBSERVABLE') AS not_observable, count(*) FILTER (e = 'OBSERVABLE') AS observable FROM e GROUP BY ALL""",
-)
-def k6(spark, sf):
-    return verdict.instrumentation_gaps(_facts(spark, sf))
-
-
-@query("J5", f"WITH RECURSIVE {_FACTS} SELECT p_partkey, 'eligibility:' || {_EFFECTIVE} AS rule_key FROM fa UNION ALL SELECT p_partkey, 'entrypoint:none' FROM fa")
-def j5(spark, sf):
-    e = verdict.effective_eligibility(F.col("eligibility"), F.col("installed"))
-    return _facts(spark, sf).select("p_partkey", F.explode(F.array(F.concat(F.lit("eligibility:"), e), F.lit("entrypoint:none"))).alias("rule_key"))
-
-
 # ---- B10, B24, L11, L7, L9, L17, H5, C5 and others over the given tables
 
 

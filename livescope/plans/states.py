@@ -6,10 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import conformance, edges, graph, inventory, ledger, rules, traces, verdict
+from ..operators import conformance, edges, graph, inventory, ledger, rules, traces
 from ..sources import derived as d
 from ..sources import facts
-from .registry import _FACTS, _facts, _FRAMES, _frames, query
+from .registry import _FRAMES, _frames, query
 
 _NOW = dt.date(2024, 6, 1)
 _LEDGER = f"""{d.METHODS}, ca AS (SELECT p_partkey AS k FROM me WHERE NOT is_public_api),
@@ -92,23 +92,6 @@ def e13(spark, sf):
     return w.select("o_orderkey", edges.starved(F.col("armed"), F.col("sampled"), F.col("calls")).alias("starved"))
 
 
-_V = f"WITH RECURSIVE {_FACTS}"
-
-
-@query("K1", f"{_V} SELECT p_partkey, status FROM ve WHERE cls = 'p.Brand#2.ECONOMY'")
-def k1(spark, sf):
-    return verdict.by_class(verdict.evaluate(_facts(spark, sf)), "p.Brand#2.ECONOMY").select("p_partkey", "status")
-
-
-@query("K2", f"{_V} SELECT p_partkey, status FROM ve WHERE starts_with(cls, 'p.Brand#2.')")
-def k2(spark, sf):
-    return verdict.by_package(verdict.evaluate(_facts(spark, sf)), "p.Brand#2").select("p_partkey", "status")
-
-
-@query("K3", f"{_V} SELECT p_partkey, status FROM ve WHERE split_part(cls, '.', 3) = 'ECONOMY'")
-def k3(spark, sf):
-    classes = d.methods(spark, sf).select("cls", F.concat(F.lit("src/"), "artifact", F.lit("/"), F.split_part("cls", F.lit("."), F.lit(3)), F.lit(".java")).alias("source_file")).distinct()
-    return verdict.by_file(verdict.evaluate(_facts(spark, sf)), classes, "ECONOMY.java").select("p_partkey", "status")
 
 
 @query("L7", f"WITH {_FRAMES} SELECT frame, CAST(sum(CASE WHEN ordinal % 4 = 1 THEN 1 ELSE ordinal % 4 + 1 END) AS BIGINT) AS invocations FROM fr GROUP BY ALL")

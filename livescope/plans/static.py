@@ -165,7 +165,7 @@ def _links(spark, sf):
 @query("F19", f"{_WR}, {_COMPONENTS} SELECT ref, component, dense_rank() OVER (ORDER BY component) AS scc_id FROM co")
 def f19(spark, sf):
     nodes, links = _links(spark, sf)
-    found = graph._kept(static.components(nodes, links))
+    found = graph.kept(static.components(nodes, links))
     # Ids are the ranks of the smallest members.
     ranked = graph.placed(found.where("ref = component").select("component", F.lit(0).alias("all")), ["all"], ["component"])
     return found.join(ranked.select("component", F.col("place").alias("scc_id")), "component").select("ref", "component", "scc_id")

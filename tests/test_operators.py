@@ -97,8 +97,8 @@ def test_reachability_stays_tri_state(spark):
     triaged = graph.triage(calls, tests)
     found = graph.reachable(spark.createDataFrame([(1,)], "ref long"), triaged.where("category = 'forward'"))
     refs = spark.range(1, 9).select(F.col("id").alias("ref"))
-    got = {r.ref: r.static_reachable for r in graph.static_reachable(refs, triaged, found, tests).collect()}
-    assert got == {1: True, 2: True, 3: False, 4: None, 5: None, 6: None, 7: None, 8: False}
+    got = {r.ref: r.static_reachable for r in graph.static_reachable(refs.withColumn("name", F.lit("x")), triaged, found).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: None, 5: None, 6: None, 7: None, 8: None}  # 8 is not in the graph
 
 
 def test_reached_classes_run_their_initialisers(spark):
@@ -108,6 +108,24 @@ def test_reached_classes_run_their_initialisers(spark):
     assert {r.ref for r in found.collect()} == {1, 2, 3}
 
 
+def test_components_of_library_and_test_code_do_not_keep_themselves_alive(spark):
+    calls = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, 5), (5, 4), (6, 7)], "src long, dst long").withColumns({"resolution": F.lit("exact"), "semantics": F.lit("blocking")})
+    own = spark.createDataFrame([("c", 2), ("c", 3), ("d", 4), ("d", 5), ("e", 6), ("f", 7)], "component string, ref long")
+    triaged = graph.triage(calls, spark.createDataFrame([], "ref long"), own)
+    assert {(r.src, r.dst) for r in triaged.where("category = 'intra_component'").collect()} == {(2, 3), (3, 2), (4, 5), (5, 4)}
+    found = graph.reachable(spark.createDataFrame([(1,)], "ref long"), triaged.where("category = 'forward'"))
+    assert {r.ref for r in found.collect()} == {1, 2}
+    assert {(r.ref, r.only_test, r.only_noop) for r in graph.inbound_kinds(triaged, found).collect()} == {(3, True, False), (4, True, False), (5, True, False), (7, False, False)}
+    refs = spark.createDataFrame([(n, "<clinit>" if n == 8 else "x") for n in range(1, 10)], "ref long, name string")
+    got = {r.ref: r.static_reachable for r in graph.static_reachable(refs, triaged, found).collect()}
+    assert got == {1: True, 2: True, 3: None, 4: None, 5: None, 6: False, 7: None, 8: True, 9: None}
+
+
+def test_closures_of_long_chains(spark):
+    chain = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.reachable(spark.createDataFrame([(7,)], "ref long"), chain).count() == 34
+
+
 def test_places_go_on_over_ranges(spark):
     rng = random.Random(4)
     rows = [(rng.choice("aaab"), rng.randrange(10**6)) for _ in range(3000)]
@@ -126,21 +144,63 @@ def test_intervals_join_when_they_touch(spark):
     rows = [("b", day(1), day(3)), ("b", day(2), day(4)), ("b", day(4), day(5)), ("b", day(7), day(7)), ("b", day(9), day(10))]
     merged = phases.merge_intervals(spark.createDataFrame(rows, "build string, start date, stop date"))
     assert sorted(tuple(r)[1:] for r in merged.select("build", "start", "stop").collect()) == [(day(1), day(5)), (day(9), day(10))]
+
+
+def _when(text):
+    return dt.datetime.fromisoformat(text)
+
+
+def test_calendars_expand_within_a_span(spark):
     one = spark.createDataFrame([(dt.date(2026, 1, 5), dt.date(2026, 3, 1))], "start date, stop date")
-    assert (dt.date(2026, 1, 30), dt.date(2026, 2, 1)) in {tuple(r)[1:] for r in phases.expand(one, [("m", "last-days-of-month", 2)]).collect()}
-    rules = [("q", "last-days-of-quarter", 0), ("y", "last-days-of-year", 3)]
-    year = spark.createDataFrame([(dt.date(2025, 11, 5), dt.date(2026, 4, 2))], "start date, stop date")
-    assert sorted(map(tuple, phases.expand(year, rules).collect())) == [("q", dt.date(2025, 12, 31), dt.date(2026, 1, 1)), ("q", dt.date(2026, 3, 31), dt.date(2026, 4, 1)), ("y", dt.date(2025, 12, 29), dt.date(2026, 1, 1))]
+    found = {(r.p_start, r.p_stop) for r in phases.expand(one, phases.Calendar((), (("m", "last-days-of-month", 2),))).collect()}
+    assert (_when("2026-01-30"), _when("2026-02-01")) in found and len(found) == 2
+    year = spark.createDataFrame([("b", dt.date(2025, 11, 5), dt.date(2026, 4, 2))], "build string, start date, stop date")
+    rules = phases.Calendar((), (("q", "last-days-of-quarter", 0), ("y", "last-days-of-year", 3)), (("d", "2026-04-01T23:00:00", "2026-04-09", "x"), ("d", "2026-04-02", "2026-04-03", "later")))
+    got = sorted((r.build, r.phase, str(r.p_start), str(r.p_stop)) for r in phases.expand(year, rules).collect())
+    assert got == [
+        ("b", "d", "2026-04-01 23:00:00", "2026-04-09 00:00:00"), ("b", "q", "2025-12-31 00:00:00", "2026-01-01 00:00:00"),
+        ("b", "q", "2026-03-31 00:00:00", "2026-04-01 00:00:00"), ("b", "y", "2025-12-29 00:00:00", "2026-01-01 00:00:00"),
+    ]
     with pytest.raises(ValueError):
-        phases.expand(year, [("x", "last-days-of-week", 1)])
+        phases.expand(year, phases.Calendar((), (("x", "last-days-of-week", 1),)))
+    assert phases.expand(year, phases.Calendar(())).count() == 0
 
 
-def test_phases_never_seen_are_missing(spark):
-    calendar = spark.createDataFrame([("m", dt.date(2024, 1, 1), dt.date(2024, 1, 11))], "phase string, p_start date, p_stop date")
-    merged = spark.createDataFrame([("a", dt.date(2024, 1, 1), dt.date(2024, 1, 10)), ("b", dt.date(2024, 1, 1), dt.date(2024, 1, 9))], "build string, start date, stop date")
+def test_overlap_counts_seconds_over_months(spark):
+    merged = spark.createDataFrame(
+        [("a", _when("2024-01-01T01:00"), _when("2024-01-01T03:30")), ("a", _when("2024-01-31T22:00"), _when("2024-02-01T05:00")), ("b", _when("2023-11-01"), _when("2024-06-01"))],
+        "build string, start timestamp_ntz, stop timestamp_ntz",
+    )
+    asked = spark.createDataFrame(
+        [(b, p, _when(x), _when(y)) for b in "abc" for p, x, y in (("early", "2024-01-01T02:00", "2024-01-01T04:00"), ("turn", "2024-01-31T23:00", "2024-02-01T23:00"), ("long", "2023-12-15", "2024-03-15"))],
+        "build string, phase string, p_start timestamp_ntz, p_stop timestamp_ntz",
+    )
+    got = {(r.build, r.phase): r.covered for r in phases.overlap_seconds(merged, asked).collect()}
+    assert got == {("a", "early"): 5400, ("a", "turn"): 6 * 3600, ("a", "long"): 9.5 * 3600, ("b", "early"): 7200, ("b", "turn"): 86400, ("b", "long"): 91 * 86400}
+
+
+def test_phases_half_seen_or_never(spark):
+    days = phases.Calendar(("m", "audit"), (), (("m", "2024-01-01", "2024-01-11", "ten days"), ("m", "2024-01-20", "2024-01-21", "other")))
+    merged = spark.createDataFrame([("a", _when("2024-01-01"), _when("2024-01-10T00:00:00")), ("b", _when("2024-01-01"), _when("2024-01-09T23:59:59"))], "build string, start timestamp_ntz, stop timestamp_ntz")
     builds = spark.createDataFrame([("a",), ("b",), ("c",)], "build string")
-    got = {(r.build, r.phase): r.state for r in phases.phase_coverage(builds, merged, calendar, ["m", "audit"]).collect()}
-    assert got == {("a", "m"): "covered", ("b", "m"): "too little observed", ("c", "m"): "too little observed", **{(b, "audit"): "no occurrence" for b in "abc"}}
+    got = {(r.build, r.phase): (r.state, r.fraction, r.label) for r in phases.phase_coverage(builds, merged, days).collect()}
+    assert got == {
+        ("a", "m"): ("covered", 0.9, "ten days"), ("b", "m"): ("too little observed", 0.9, "ten days"), ("c", "m"): ("no occurrence", 0.0, None), **{(b, "audit"): ("no occurrence", 0.0, None) for b in "abc"}
+    }
+    lists = {r.build: (r.phases_covered, r.phases_missing) for r in phases.phase_lists(phases.phase_coverage(builds, merged, days)).collect()}
+    assert lists["a"] == (["m"], ["audit"]) and lists["c"] == ([], ["m", "audit"])
+
+
+def test_a_missing_calendar_is_the_default(spark, tmp_path):
+    found = phases.read_calendar(spark, str(tmp_path / "none.json"))
+    assert found.required == ("month-end", "quarter-end", "year-end-close", "peak-season", "dr-drill")
+    assert [(r, n) for _, r, n in found.recurring] == [("last-days-of-month", 2), ("last-days-of-quarter", 3), ("last-days-of-year", 5)]
+    (tmp_path / "c.json").write_text('{"minCoverageFraction": 0.5,\n "recurring": [{"phase": "x", "rule": "last-days-of-year"}], "occurrences": [{"phase": "y", "start": "2024-01-01T00:00:00", "end": "2024-01-02"}]}')
+    own = phases.read_calendar(spark, str(tmp_path / "c.json"))
+    assert own.least == 0.5 and own.recurring == (("x", "last-days-of-year", 1),) and own.occurrences[0][0] == "y" and own.required == phases.REQUIRED
+    (tmp_path / "bad.json").write_text('{"recurring": [{"phase": "x", "rule": "weekly"}]}')
+    with pytest.raises(ValueError):
+        phases.read_calendar(spark, str(tmp_path / "bad.json"))
 
 
 def test_schema_hash_orders_by_the_pair(spark):
