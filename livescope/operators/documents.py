@@ -16,6 +16,8 @@ OBSERVABLE, DE_INSTRUMENTED, NOT_OBSERVABLE = "OBSERVABLE", "DE_INSTRUMENTED", "
 # What call edges may say.
 RESOLUTIONS, SEMANTICS = ("exact", "cha", "unresolved"), ("blocking", "noop", "no-op")
 HISTOGRAM = "loglinear-16-v1"
+# Keys that a record may not carry, as its sender would have worked them out.
+PERCENTILES, RATES = ("p50", "p90", "p99", "percentiles"), ("rate", "ratio", "percentage", "callsPerSecond")
 _METHOD = "struct<idx: int, name: string, desc: string, line: int, access: string, synthetic: boolean, tier2: boolean, tier2Reason: string, observability: string, dynamicallyObservable: boolean, shortCircuitable: boolean, isTest: boolean, annotations: array<string>>"
 _CLASS = f"struct<name: string, sourceFile: string, probeCount: int, schemaHash: string, isPublicApi: boolean, isTest: boolean, methods: array<{_METHOD}>, annotations: array<string>>"
 INVENTORY = f"buildSha string, artifact string, classes array<{_CLASS}>, entryPoints array<struct<class: string, method: string, desc: string, kind: string>>, callEdges array<struct<`from`: string, `to`: string, resolution: string, semantics: string>>"
@@ -99,23 +101,6 @@ def evolve(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), v) if c in df.columns else v for c, v in defaults.items()})
 
 
-def edge_rate_fault(rate: Column, n_edges: Column) -> Column:
-    """A sample rate is a power of two, and edges need one."""
-    return F.when(rate.isNotNull() & ((rate <= 0) | (F.bit_count(rate) != 1)), "bad_field").when((n_edges > 0) & rate.isNull(), "missing_field")
-
-
-def histogram_fault(scheme: Column, keys: Column) -> Column:
-    """Only the one bucket scheme, and never a percentile that somebody else worked out."""
-    return F.when(~scheme.eqNullSafe(F.lit(HISTOGRAM)), "bad_histogram_scheme").when(F.exists(keys, lambda k: k.rlike(r"^p[0-9]")), "percentiles_on_wire")
-
-
-def error_table_fault(table: Column) -> Column:
-    """A map of ids to names: ids are numbers from 1 to 255, names are not blank."""
-    ids = F.map_keys(table)
-    numeric = F.forall(ids, lambda k: F.trim(k).rlike("^[0-9]+$") & F.coalesce(F.try_to_number(F.trim(k), F.lit("99999")).between(1, 255), F.lit(False)))
-    return F.when(~numeric, "bad_error_class_id").when(F.exists(F.map_values(table), lambda v: v.isNull() | (F.trim(v) == "")), "bad_field")
-
-
 def resolve_errors(by_id: Column, table: Column, legacy: Column) -> Column:
     """struct<named map, unresolved, source>: ids become the names of the same window's table; an id without one is counted, never named."""
     entries = F.transform(F.map_entries(by_id), lambda e: F.struct(F.trim(F.try_element_at(table, e.key)).alias("name"), e.value.alias("n")))
@@ -136,14 +121,6 @@ def attribution(errors: Column, named: Column) -> Column:
     return F.struct(attributed.alias("attributed"), F.greatest(F.lit(0).cast("long"), errors - attributed).alias("unattributed"))
 
 
-def edge_fault(edge: Column, keys: Column) -> Column:
-    """Names, places and counts of an edge record; rates are never taken from the wire."""
-    missing = edge.caller.isNull() | (edge.caller == "") | edge.callee.isNull() | (edge.callee == "")
-    negative = (edge.caller_idx < 0) | (edge.callee_idx < 0) | (edge.n < 0)
-    absent = edge.caller_idx.isNull() | edge.callee_idx.isNull() | edge.n.isNull()
-    return F.when(F.exists(keys, lambda k: k.isin("rate", "callsPerSecond", "estimatedCalls")), "derived_rate_on_wire").when(missing | absent, "missing_field").when(negative, "bad_field")
-
-
 def test_record(cls: Column, frames: Column, prefixes: Sequence[str] = TEST_RUNNERS) -> Column:
     """Whether a record's class or one of its frames belongs to a test runner; such a record is dropped and counted."""
     hit = lambda c: F.exists(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(c, p))

@@ -107,73 +107,7 @@ def a12(spark, sf):
     return documents.to_wire(v, {"cls": "class", "name": "method", "status": "status", "reachable": "staticReachable"}, "k")
 
 
-_RATES = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey % 70 - 3 END AS rate, o_orderkey % 4 AS n_edges FROM orders"
 
 
-@query("B5", f"WITH r AS ({_RATES}) SELECT o_orderkey, CASE WHEN rate IS NOT NULL AND rate NOT IN (1, 2, 4, 8, 16, 32, 64) THEN 'bad_field' WHEN n_edges > 0 AND rate IS NULL THEN 'missing_field' END AS fault FROM r")
-def b5(spark, sf):
-    o = d.read(spark, sf, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey % 70 - 3 END AS rate", "o_orderkey % 4 AS n_edges")
-    return o.select("o_orderkey", documents.edge_rate_fault(F.col("rate"), F.col("n_edges")).alias("fault"))
 
 
-@query("B11", """WITH r AS (SELECT event_id, user_id, CASE WHEN event_id % 9 = 0 THEN 'org.junit.X' ELSE 'app.' || event_type END AS cls, event_id % 11 = 0 AS framed FROM events)
-SELECT user_id, count(*) FILTER (event_id % 9 = 0 OR framed) AS dropped, count(*) FILTER (event_id % 9 <> 0 AND NOT framed) AS kept FROM r GROUP BY user_id""")
-def b11(spark, sf):
-    e = d.read(spark, sf, "events")
-    cls = F.when(F.col("event_id") % 9 == 0, "org.junit.X").otherwise(F.concat(F.lit("app."), "event_type"))
-    frames = F.when(F.col("event_id") % 11 == 0, F.array(F.lit("app.a"), F.lit("io.kotest.Y"))).when(F.col("event_id") % 2 == 0, F.array(F.lit("app.b")))
-    return e.withColumn("hit", documents.test_record(cls, frames)).groupBy("user_id").agg(F.count_if("hit").alias("dropped"), F.count_if(~F.col("hit")).alias("kept"))
-
-
-@query("B13", """SELECT event_id, CASE WHEN event_id % 6 = 0 OR event_id % 7 = 0 THEN 'bad_histogram_scheme' WHEN event_id % 5 = 0 THEN 'percentiles_on_wire' END AS fault FROM events""")
-def b13(spark, sf):
-    k = F.col("event_id")
-    scheme = F.when(k % 6 == 0, "linear-1").when(k % 7 != 0, documents.HISTOGRAM)
-    keys = F.when(k % 5 == 0, F.array(F.lit("buckets"), F.lit("p99"))).otherwise(F.array(F.lit("buckets"), F.lit("peak")))
-    return d.read(spark, sf, "events").select("event_id", documents.histogram_fault(scheme, keys).alias("fault"))
-
-
-def _tables(spark, sf):
-    """Windows with an error table, errors by id and an older map of names, by customer."""
-    o = d.read(spark, sf, "orders").selectExpr(
-        "o_orderkey AS w", "o_custkey AS n",
-        """CASE o_orderkey % 7 WHEN 0 THEN map('1', 'java.io.E', 'x2', 'E') WHEN 1 THEN map('1', 'A', '256', 'B') WHEN 2 THEN map('1', ' ', '2', 'B') WHEN 3 THEN map()
-          ELSE map('1', ' java.io.E ', '2', 'app.F', '255', 'java.io.E') END AS table""",
-        "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN map() ELSE map('1', o_custkey, '2', 5L, '9', 2L, '255', 1L) END AS by_id", "CASE WHEN o_orderkey % 2 = 0 THEN map('old.E', 4L) END AS legacy",
-    )
-    return o
-
-
-@query("B14", "SELECT o_orderkey AS w, CASE o_orderkey % 7 WHEN 0 THEN 'bad_error_class_id' WHEN 1 THEN 'bad_error_class_id' WHEN 2 THEN 'bad_field' END AS fault FROM orders")
-def b14(spark, sf):
-    return _tables(spark, sf).select("w", documents.error_table_fault(F.col("table")).alias("fault"))
-
-
-_RESOLVED = """rs AS (SELECT o_orderkey AS w, o_custkey AS n, CASE WHEN o_orderkey % 5 > 1 THEN 'errors_by_class' WHEN o_orderkey % 5 = 0 AND o_orderkey % 2 = 0 THEN 'legacy_names' ELSE 'unavailable' END AS source,
-  CASE WHEN o_orderkey % 5 <= 1 THEN 0 WHEN o_orderkey % 7 = 3 THEN o_custkey + 8 ELSE 2 END AS unresolved,
-  CASE WHEN o_orderkey % 5 > 1 AND o_orderkey % 7 > 3 THEN o_custkey + 6 WHEN o_orderkey % 5 = 0 AND o_orderkey % 2 = 0 THEN 4 ELSE 0 END AS named FROM orders WHERE o_orderkey % 7 > 2)"""
-
-
-def _resolved(spark, sf):
-    good = _tables(spark, sf).where(documents.error_table_fault(F.col("table")).isNull())
-    return good.withColumn("r", documents.resolve_errors(F.col("by_id"), F.col("table"), F.col("legacy")))
-
-
-@query("B15", f"WITH {_RESOLVED} SELECT w, source, unresolved, CASE WHEN source <> 'errors_by_class' OR named = 0 THEN 0 ELSE n + 1 END AS io_errors FROM rs")
-def b15(spark, sf):
-    return _resolved(spark, sf).select("w", "r.source", "r.unresolved", F.coalesce(F.try_element_at("r.named", F.lit("java.io.E")), F.lit(0).cast("long")).alias("io_errors"))
-
-
-@query("B16", f"WITH {_RESOLVED} SELECT w, CAST(named AS BIGINT) AS attributed, CAST(greatest(0, 100 - named) AS BIGINT) AS unattributed FROM rs")
-def b16(spark, sf):
-    return _resolved(spark, sf).select("w", documents.attribution(F.lit(100).cast("long"), F.col("r.named")).alias("a")).select("w", "a.*")
-
-
-@query("B17", """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 13 = 0 THEN 'derived_rate_on_wire' WHEN l_orderkey % 11 = 0 OR l_suppkey % 9 = 0 THEN 'missing_field' WHEN l_partkey % 8 = 0 THEN 'bad_field' END AS fault FROM lineitem""")
-def b17(spark, sf):
-    edge = F.struct(
-        F.when(F.col("l_orderkey") % 11 != 0, F.lit("a")).otherwise("").alias("caller"), F.lit("b").alias("callee"), F.when(F.col("l_suppkey") % 9 != 0, F.col("l_suppkey")).alias("caller_idx"),
-        F.when(F.col("l_partkey") % 8 == 0, -1).otherwise(F.col("l_partkey")).alias("callee_idx"), F.col("l_quantity").alias("n"),
-    )
-    keys = F.when(F.col("l_orderkey") % 13 == 0, F.array(F.lit("n"), F.lit("callsPerSecond"))).otherwise(F.array(F.lit("n")))
-    return d.read(spark, sf, "lineitem").withColumn("edge", edge).select("l_orderkey", "l_linenumber", documents.edge_fault(F.col("edge"), keys).alias("fault"))

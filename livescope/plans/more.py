@@ -29,13 +29,6 @@ def b2(spark, sf):
     return _decoded(spark, sf).groupBy("build").agg(F.count_if(F.coalesce(version, F.lit(False))).alias("understood"))
 
 
-@query("B8", f"WITH {d.WINDOWS} SELECT build, count(*) FILTER (NOT {_LIFE}) AS refused FROM wi GROUP BY ALL")
-def b8(spark, sf):
-    from ..operators.admission import usable
-
-    return usable(d.windows(spark, sf)).groupBy("build").agg(F.count_if(~F.col("production")).alias("refused"))
-
-
 @query(
     "E10",
     f"""WITH {d.EDGES}, l AS (SELECT build, day, CAST(sum(observations) AS BIGINT) AS observed, count(*) FILTER (observations % 7 = 0) AS dropped FROM we GROUP BY ALL)

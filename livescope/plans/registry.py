@@ -533,17 +533,6 @@ def l11(spark, sf):
     return d.read(spark, sf, "part").select("p_partkey", denied_name(name).alias("denied"))
 
 
-@query(
-    "B10",
-    """WITH w AS (SELECT o_custkey, list(CASE o_orderkey % 9 WHEN 0 THEN 'org.junit.Runner' ELSE 'com.acme.C' || (o_orderkey % 50) END ORDER BY o_orderkey) AS classes FROM orders GROUP BY o_custkey)
-SELECT o_custkey, len([c FOR c IN classes IF starts_with(c, 'org.junit.')][1:8]) AS markers FROM w""",
-)
-def b10(spark, sf):
-    name = F.when(F.col("o_orderkey") % 9 == 0, "org.junit.Runner").otherwise(F.concat(F.lit("com.acme.C"), F.col("o_orderkey") % 50))
-    w = d.read(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(name).alias("classes"))
-    return w.select("o_custkey", F.size(test_markers(F.col("classes"))).alias("markers"))
-
-
 @query("C5", f"WITH {d.COVERAGE}, k AS (SELECT DISTINCT build, cls, i AS idx FROM cb, range(12) r(i)), b AS (SELECT DISTINCT build, cls, idx, true AS hit FROM cb) SELECT k.build, k.cls, CAST(k.idx AS INTEGER) AS idx, coalesce(hit, false) AS is_set FROM k LEFT JOIN b USING (build, cls, idx)")
 def c5(spark, sf):
     bits = d.coverage_bits(spark, sf).select("build", "cls", "idx").distinct()
@@ -580,14 +569,6 @@ def k21(spark, sf):
     return agg.groupBy("build").agg(F.count("*").alias("edges"), F.count_if(F.col("known").isNull()).alias("outside"))
 
 
-@query("B18", f"WITH {d.EDGES} SELECT build, day, count(*) FILTER (callee_idx NOT IN (SELECT p_partkey FROM part WHERE p_size % 2 = 0)) > 0 AS dangling FROM we GROUP BY ALL")
-def b18(spark, sf):
-    known = d.read(spark, sf, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("callee_idx"))
-    e = d.window_edges(spark, sf)
-    bad = e.join(known, "callee_idx", "left_anti").select("build", "day").distinct().withColumn("bad", F.lit(True))
-    return e.select("build", "day").distinct().join(bad, ["build", "day"], "left").select("build", "day", F.col("bad").isNotNull().alias("dangling"))
-
-
 @query("F1", f"WITH {d.METHODS} SELECT p_partkey FROM me WHERE NOT (p_partkey % 23 = 0 OR name = 'm7')")
 def f1(spark, sf):
     return d.methods(spark, sf).where(~((F.col("p_partkey") % 23 == 0) | (F.col("name") == "m7"))).select("p_partkey")
@@ -627,16 +608,6 @@ def b1(spark, sf):
     return _decoded(spark, sf).select("build", "instance", "day", "reject_reason")
 
 
-@query("B21", f"WITH {d.DOCUMENTS} SELECT reject_reason, count(*) AS documents FROM dr WHERE reject_reason IS NOT NULL GROUP BY ALL")
-def b21(spark, sf):
-    return windows.rejects(_decoded(spark, sf))
-
-
-@query("B22", f"WITH {d.DOCUMENTS} SELECT build, count(*) AS received, count(*) FILTER (reject_reason IS NULL) AS accepted FROM dr GROUP BY ALL")
-def b22(spark, sf):
-    return _decoded(spark, sf).groupBy("build").agg(F.count("*").alias("received"), F.count_if(F.col("reject_reason").isNull()).alias("accepted"))
-
-
 _BITS = f"WITH {d.DOCUMENTS} SELECT cb.build, cb.instance, cb.cls, cb.idx, count(*) AS windows FROM cb JOIN dr USING (build, instance, day) WHERE reject_reason IS NULL GROUP BY ALL"
 
 
@@ -653,21 +624,6 @@ def _folder(spark, name):
     return f"{graph.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("A1", _BITS)
-def a1(spark, sf):
-    path = _folder(spark, "documents")
-    d.window_documents(spark, sf).select("body").write.option("compression", "gzip").text(path)
-    return _bits(windows.accepted_coverage(windows.decode_windows(windows.read_windows(spark, path))))
-
-
-@query("A2", _BITS)
-def a2(spark, sf):
-    path = _folder(spark, "stream")
-    d.window_documents(spark, sf).select("body").write.text(f"{path}/in")
-    ingest.append_coverage(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint")
-    return _bits(spark.read.parquet(f"{path}/out"))
-
-
 @query("A9", f"WITH {d.COVERAGE} SELECT build, count(*) AS bits FROM cb GROUP BY ALL")
 def a9(spark, sf):
     path = _folder(spark, "tables")

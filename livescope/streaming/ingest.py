@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.windows import accepted_coverage, decode_windows, stream_windows
+from ..sources import windows
+
+
+def _sinks(decoded: DataFrame) -> dict[str, DataFrame]:
+    return {
+        "windows": windows.windows(decoded), "coverage": windows.coverage_records(decoded), "loads": windows.loaded_classes(decoded), "edges": windows.edges(decoded), "profiles": windows.profiles(decoded),
+    }
+
+
+def write_tables(decoded: DataFrame, sink: str, part: str, mode: str = "overwrite") -> dict:
+    """Decoded documents written once, counted in that pass, and then as the tables that accepted ones bring. Gives the counts.
+
+    Every table has its own folder below ``sink`` and in it one for ``part`` (such as ``epoch=7``); writing a part again replaces it.
+    """
+    spark, seen = decoded.sparkSession, Observation()
+    decoded.observe(seen, *windows.counters()).write.mode(mode).parquet(f"{sink}/documents/{part}")
+    stored = spark.read.parquet(f"{sink}/documents/{part}")
+    for name, table in _sinks(stored).items():
+        table.write.mode(mode).parquet(f"{sink}/{name}/{part}")
+    return seen.get
 
 
-def append_coverage(spark: SparkSession, source: str, sink: str, checkpoint: str) -> None:
-    """Decode all documents that are waiting and append their coverage records, each batch under its own number.
+def append_windows(spark: SparkSession, source: str, sink: str, checkpoint: str, allowed: Sequence[str] = (), strict: bool = False, files: int | None = None) -> list[dict]:
+    """Decode all documents that are waiting, each batch as a part of its own; the counts of the batches that ran.
 
-    A batch that runs again overwrites what it wrote, so a retry adds nothing twice.
+    A batch that runs again overwrites what it wrote, so a retry adds nothing twice. ``files`` bounds a batch.
     """
+    counts: list[dict] = []
 
     def write(batch: DataFrame, number: int) -> None:
-        accepted_coverage(decode_windows(batch)).write.mode("overwrite").parquet(f"{sink}/epoch={number}")
+        counts.append(write_tables(windows.decode_windows(batch, allowed, strict), sink, f"epoch={number}"))
 
-    query = stream_windows(spark, source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    stream = windows.stream_windows(spark, source, files=files)
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return counts
 
 
 def roll_up_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
