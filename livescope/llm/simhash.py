@@ -32,13 +32,15 @@ from .components import components
 
 SEED = 42
 #: Independent fingerprints of the wide form.
-LANES = 6
-#: Keys that similar texts meet on: of distinct shingles, of shingles counted with repeats; minima in each.
-SET_KEYS, BAG_KEYS, MINIMA = 24, 8, 6
+LANES = 8
+#: Keys that similar texts meet on, and smallest shingles in each.
+KEYS, MINIMA = 32, 6
 #: Documents of a key compared in one place, about; more are dealt out by pairs of parts.
 CROWD = 4_096
+#: By how much more partners a round proposes than the one before.
+WIDER = 4
 _BLOCK = 1 << 15
-_ODD = np.random.default_rng(SEED).integers(1, 1 << 63, (SET_KEYS + BAG_KEYS) * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(SEED).integers(1, 1 << 63, KEYS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -122,36 +124,30 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_simhash(hashes: np.ndarray) -> list[int]:
-    """LANES independent fingerprints of the same shingles, as signed 64-bit integers."""
+def wide_simhash(distinct: np.ndarray) -> list[int]:
+    """LANES independent fingerprints of the same distinct shingles, as signed 64-bit integers."""
     out = []
     for lane in range(LANES):
         ones = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), _BLOCK):
-            block = mixed(hashes[at : at + _BLOCK] + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))
+        for at in range(0, len(distinct), _BLOCK):
+            block = mixed(distinct[at : at + _BLOCK] + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))
             ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0]))
+        out.append(int(np.packbits(2 * ones > len(distinct), bitorder="little").view(np.int64)[0]))
     return out
 
 
-def meeting_keys(hashes: np.ndarray) -> list[int]:
+def meeting_keys(distinct: np.ndarray) -> list[int]:
     """64-bit keys, each of MINIMA smallest permuted shingles: texts agree on one with the MINIMA-th power of their Jaccard similarity."""
-    if not len(hashes):
+    if not len(distinct):
         return []
-    distinct, times = np.unique(hashes, return_counts=True)
-    nth = np.arange(len(hashes)) - np.repeat(np.cumsum(times) - times, times)
-    bag = np.repeat(distinct, times)
-    bag[nth > 0] = mixed(bag[nth > 0] + nth[nth > 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    n, least = SET_KEYS * MINIMA, []
-    for items, odd in ((distinct, _ODD[:n]), (bag, _ODD[n:])):
-        least.append(np.min([np.multiply.outer(odd, items[at : at + 2048]).min(axis=1) for at in range(0, len(items), 2048)], axis=0))
-    rows, key = np.concatenate(least).reshape(-1, MINIMA), np.arange(SET_KEYS + BAG_KEYS, dtype=np.uint64)
+    least = np.min([np.multiply.outer(_ODD, distinct[at : at + 2048]).min(axis=1) for at in range(0, len(distinct), 2048)], axis=0)
+    rows, key = least.reshape(-1, MINIMA), np.arange(KEYS, dtype=np.uint64)
     for i in range(MINIMA):
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
     return key.view(np.int64).tolist()
 
 
-def linkage(wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def spanning(wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Of unsigned fingerprints: places (a, b) of pairs within ``most`` bits that connect all that any such pairs connect."""
     left, todo, a, b = np.arange(len(wide)), [], [], []
     while len(left):
@@ -166,66 +162,131 @@ def linkage(wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
 
 
-def _met(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """From (key, rep, wide) sorted by key: verified links (a, b) among the documents of each key."""
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64)]
+def nearest(wide: np.ndarray, group: np.ndarray, most: int, partners: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of each fingerprint the places of its nearest ones of other groups within ``most`` bits, and whether any has more than ``partners``."""
+    a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
+    if (group == group[0]).all():
+        return a[0], b[0], False
+    for at in range(len(wide)):
+        apart = np.bitwise_count(wide ^ wide[at]).sum(axis=1)
+        found = np.flatnonzero((apart <= most) & (group != group[at]))
+        if len(found) > partners:
+            found, more = found[np.argsort(apart[found], kind="stable")[:partners]], True
+        a.append(np.full(len(found), at))
+        b.append(found)
+    return np.concatenate(a), np.concatenate(b), more
+
+
+_NAMES = ["key", "a", "b", "more"]
+_PAIRS = "key long, a long, b long, more boolean"
+
+
+def _met(batches: Iterator[pa.RecordBatch], most: int, partners: int) -> Iterator[pa.RecordBatch]:
+    """From (key, rep, group, wide) sorted by key: pairs (a, b) of each key to be verified; without partners those that span what is near."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64)]
     for batch in chain(batches, [None]):
         if batch is not None:
             if not batch.num_rows:
                 continue
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, LANES)]
+            new = [*(batch.column(i).to_numpy() for i in range(3)), batch.column(3).flatten().to_numpy().view(np.uint64).reshape(-1, LANES)]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
         # The last key may go on in the next batch.
         ready = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
-        (key, rep, wide), held = [x[:ready] for x in held], [x[ready:] for x in held]
+        (key, rep, group, wide), held = [x[:ready] for x in held], [x[ready:] for x in held]
         first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
         sizes = np.diff(np.append(first, len(key)))
         two = first[sizes == 2]
-        two = two[np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1) <= most]
-        a, b = [two], [two + 1]
+        two = two[(np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1) <= most) & (group[two] != group[two + 1])]
+        a, b, more = [two], [two + 1], []
         for at, size in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            x, y = linkage(wide[at : at + size], most)
+            own = slice(at, at + size)
+            x, y, cut = (*spanning(wide[own], most), False) if not partners else nearest(wide[own], group[own], most, partners)
             a.append(x + at)
             b.append(y + at)
-        links = np.sort(np.column_stack([rep[np.concatenate(a)], rep[np.concatenate(b)]]), axis=1)
-        links = np.unique(links, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], names=["a", "b"])
+            more += [key[at]] if cut else []
+        a, b = np.concatenate(a), np.concatenate(b)
+        low, high = np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
+        rows = np.unique(np.column_stack([key[a], low, high]), axis=0)
+        nothing = [None] * len(more)
+        columns = [[*rows[:, 0].tolist(), *more], [*rows[:, 1].tolist(), *nothing], [*rows[:, 2].tolist(), *nothing], [False] * len(rows) + [True] * len(more)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n == "more" else pa.int64()) for c, n in zip(columns, _NAMES)], names=_NAMES)
 
 
 def farthest(similarity: float) -> int:
-    """Differing bits of all lanes at that Jaccard similarity: cosine 2j / (1 + j) for texts of one length, and a little room."""
-    return int(64 * LANES * (np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.02))
+    """Differing bits of all lanes at that Jaccard similarity, or above it in one pair of some 200.
+
+    Sets of one size with similarity j have cosine 2j / (1 + j), others a greater one; 2.6 standard deviations are added.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(64 * LANES * p + 2.6 * np.sqrt(64 * LANES * p * (1 - p))))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
+    """pairs(a, b) with similar: whether their sets of shingles have that Jaccard similarity. Only documents in pairs are cut again."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts], dtype=object)
+
+    asked = stored(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct(), "asked")
+    own = docs.select(id_of(docs, doc_id).alias("rid"), text_of(docs, text).alias("text")).join(asked, "rid", "left_semi").distinct()
+    sets = stored(own.select("rid", shingles("text").alias("set")), "shingle-sets")
+    both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("rid").alias("b"), F.col("set").alias("set_b")), "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    enough = shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared)
+    # An id may stand for several texts: one similar pair of them is enough.
+    return stored(both.select("a", "b", enough.alias("similar")).groupBy("a", "b").agg(F.bool_or("similar").alias("similar")), "verified-pairs")
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """rid, root: the smallest id that each document reaches over pairs of about that similarity or more.
+    """rid, root: the smallest id that each document reaches over pairs of texts whose sets of shingles have that Jaccard similarity or more.
 
     A pair at similarity 0.8 differs in some 15 bits of 100, too many for balls of a key that
     stays selective. So documents meet on 64-bit keys made of their smallest shingles, and
-    bring all bits of all lanes with them. Every document is compared with every other one of
-    its key, unless the two are connected already; a crowded key has its documents dealt into
-    parts, and each two parts are compared in a place of their own.
+    bring all bits of all lanes with them. Fingerprints only sort out pairs that are too far apart;
+    what is left is verified exactly. First a key proposes pairs that span all that is near in it: if
+    they hold, the rest of the key's pairs adds nothing. Keys where one did not hold propose for each
+    document its nearest ones of other groups, more of them each round, until all are decided.
+    In a crowded key documents are dealt into parts, and each two parts are compared in a place of their own.
+    Texts with equal sets of shingles are one from the start.
     """
 
-    @F.pandas_udf("wide array<long>, keys array<long>")
+    @F.pandas_udf("wide array<long>, keys array<long>, same long")
     def marks(texts: pd.Series) -> pd.DataFrame:
-        hashes = [shingle_hashes(t, width) for t in texts]
-        return pd.DataFrame({"wide": [wide_simhash(h) for h in hashes], "keys": [meeting_keys(h) for h in hashes]})
+        sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+        return pd.DataFrame({"wide": [wide_simhash(s) for s in sets], "keys": [meeting_keys(s) for s in sets], "same": [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]})
 
     marked = docs.select(id_of(docs, doc_id).alias("rid"), marks(text_of(docs, text)).alias("marks"))
-    marked = stored(marked.select("rid", "marks.wide", "marks.keys"), "wide-simhash")
-    reps = stored(marked.groupBy("wide").agg(F.min("rid").alias("rep"), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys")), "wide-distinct")
+    marked = stored(marked.select("rid", "marks.wide", "marks.keys", "marks.same"), "wide-simhash")
+    reps = stored(marked.groupBy("wide", "same").agg(F.min("rid").alias("rep"), F.first("keys").alias("keys")), "wide-distinct")
     dealt = reps.select(F.explode("keys").alias("key"), "rep", "wide")
     crowds = stored(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key", F.ceil(F.col("n") / CROWD).alias("parts")), "crowded-keys")
     part, other = F.pmod(F.xxhash64("rep"), F.col("parts")), F.col("other")
     spread = dealt.join(crowds, "key", "left").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
     place = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least(part, other), F.greatest(part, other)))
-    met = spread.select(place.alias("key"), "rep", "wide").repartition("key").sortWithinPartitions("key")
-    most = farthest(similarity)
-    near = stored(met.mapInArrow(lambda it: _met(it, most), "a long, b long").distinct(), "wide-links")
-    roots = components(near)
-    named = stored(reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("wide", F.coalesce("root", "rep").alias("root")), "wide-roots")
-    return marked.select("rid", "wide").join(named, "wide").select("rid", "root")
+    placed = spread.select(place.alias("key"), "rep", "wide")
+
+    def proposed(rows: DataFrame, partners: int) -> DataFrame:
+        most = farthest(similarity)
+        met = rows.select("key", "rep", "group", "wide").repartition("key").sortWithinPartitions("key")
+        return stored(met.mapInArrow(lambda it: _met(it, most, partners), _PAIRS), "met")
+
+    met = proposed(placed.withColumn("group", F.col("rep")), 0)
+    pairs = _verified(met.where("not more").select("a", "b").distinct(), docs, doc_id, text, width, similarity)
+    roots = components(pairs.where("similar"))
+    again = stored(met.join(pairs.where("not similar"), ["a", "b"], "left_semi").select("key").distinct(), "open-keys")
+    partners = WIDER
+    while not again.isEmpty():
+        group = F.coalesce("root", "rep").alias("group")
+        rows = placed.join(again, "key", "left_semi").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", group, "wide")
+        met = proposed(rows, partners)
+        new = stored(met.where("not more").select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "new-pairs")
+        pairs = stored(pairs.unionByName(_verified(new, docs, doc_id, text, width, similarity)), "pairs")
+        roots = components(pairs.where("similar"))
+        again = stored(met.where("more").select("key").distinct(), "open-keys")
+        partners *= WIDER
+    named = stored(reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("wide", "same", F.coalesce("root", "rep").alias("root")), "wide-roots")
+    return marked.select("rid", "wide", "same").join(named, ["wide", "same"]).select("rid", "root")
 
 
 def first_of_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

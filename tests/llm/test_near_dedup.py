@@ -49,7 +49,51 @@ def test_crowded_keys_lose_nothing_and_texts_of_one_template_stay_apart(spark, m
     assert [i for i in texts if root[i] != later.get(i, i)] == []
 
 
-def test_linkage_connects_over_a_dissimilar_head():
+def test_spanning_pairs_connect_over_a_dissimilar_head():
     h, x, y = np.full(6, -1), np.zeros(6, np.int64), np.array([-1, 0, 0, 0, 0, 0])
-    a, b = simhash.linkage(np.array([h, x, y]).view(np.uint64), 65)
+    a, b = simhash.spanning(np.array([h, x, y]).view(np.uint64), 65)
     assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(1, 2)]
+
+
+def test_nearest_partners_of_other_groups():
+    wide = np.array([[0], [1], [3], [7], [2**64 - 1]], np.uint64)
+    a, b, more = simhash.nearest(wide, np.array([1, 1, 2, 3, 4]), 3, 1)
+    assert more and set(zip(a.tolist(), b.tolist())) == {(0, 2), (1, 2), (2, 1), (3, 2)}
+    a, b, more = simhash.nearest(wide, np.array([1, 1, 2, 3, 4]), 3, 9)
+    assert not more and set(zip(a.tolist(), b.tolist())) == {(0, 2), (0, 3), (1, 2), (1, 3), (2, 0), (2, 1), (2, 3), (3, 0), (3, 1), (3, 2)}
+
+
+def test_exactly_pairs_at_the_threshold_are_linked(spark):
+    """Pairs of 300 words with a run replaced, in steps around 0.8: linked if and only if their exact similarity says so."""
+    rng = random.Random(8)
+    texts, pairs = {}, []
+    for n in range(240):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        changed, k = list(words), 10 + n % 60
+        changed[100 : 100 + k] = [f"o{rng.randrange(10**9)}" for _ in range(k)]
+        texts[n], texts[1000 + n] = " ".join(words), " ".join(changed)
+        pairs.append((n, 1000 + n))
+    ship_package(spark)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    root = {r.rid: r.root for r in simhash.similar_groups(docs).collect()}
+    at = {p: _jaccard(texts[p[0]], texts[p[1]]) for p in pairs}
+    assert sum(0.78 < j < 0.8 for j in at.values()) > 5 and sum(0.8 <= j < 0.82 for j in at.values()) > 5
+    assert [p for p, j in at.items() if (root[p[0]] == root[p[1]]) != (j >= 0.8)] == []
+
+
+def test_a_crowd_just_below_the_threshold_stays_apart_and_hides_nothing(spark):
+    """All texts of a template have similarity 0.7 to 0.75; some have a partner at 0.85."""
+    texts, pairs = _crowd(340, 60, 120, 25, seed=5, changes=3)
+    apart = [_jaccard(texts[0], texts[i]) for i in range(1, 30)]
+    assert 0.65 < min(apart) and max(apart) < 0.8
+    root = _roots(spark, texts, pairs)
+    later = dict((b, a) for a, b in pairs)
+    assert [i for i in texts if root[i] != later.get(i, i)] == []
+
+
+def test_ids_that_repeat_and_texts_without_words(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (2, "x " + long), (2, "other words only here now"), (3, ""), (4, None), (5, " "), (6, "one two"), (7, "ONE  two"), (None, long + " y")]
+    ship_package(spark)
+    found = {r.rid: r.root for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[2] == 1 and found[4] == found[5] == 3 and found[7] == 6 and found[(1 << 63) - 1] == 1
