@@ -6,8 +6,9 @@ of windows with one anchor, and anchors are dealt out instead of suffixes:
 1. Anchors that occur once hold nothing repeated and go no further, unless their piece has
    a window twice (a run of short period); such pieces are always compared.
 2. Equal pieces fold into one, at its earliest place; every other copy goes whole. They are known
-   by their anchor and a 64-bit digest of their bytes. Among 1e12 distinct pieces, at most 4,096
-   to an anchor, two of one anchor agree by chance with odds of one in 10,000 in all.
+   by their anchor and a 64-bit digest of their bytes. Two distinct pieces of one anchor agree by
+   chance with odds of 2 ** -64: 1e12 pieces with 4,096 to an anchor have 1e-4 such pairs expected,
+   an anchor that 1e9 distinct pieces share has 0.03.
 3. Distinct pieces that share an anchor may still share windows. Buckets of such pieces get
    a suffix array and its Burrows-Wheeler transform. Breadth-first backward extension
    derives the common prefixes by increasing length: an interval of suffixes that begin
@@ -45,7 +46,7 @@ WINDOW, GRAM = 100, 32
 #: Windows of a piece at most, and bytes handled at once.
 RUN, BLOCK = 255, 1 << 17
 #: Distinct pieces of an anchor up to which suffix arrays compare them; pieces of a bucket, about.
-HOT, BUCKET = 4_096, 4_096
+HOT, BUCKET = 4_096, 2_048
 _BYTE_HASH = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -107,21 +108,35 @@ def _contents_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
             )
 
 
+def order_of(key: np.ndarray, bits: int) -> np.ndarray:
+    """Places of keys (below 2 ** bits) in ascending order, equal ones by place. Key and place are sorted as one number where they fit."""
+    room = len(key).bit_length()
+    if bits + room > 64:
+        return np.argsort(key, kind="stable")
+    both = key.astype(np.uint64) << np.uint64(room) | np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << room) - 1)).astype(np.int64)
+
+
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of symbols (below 512) in the order of their first ``depth`` symbols or more."""
     n, known = len(symbols), 4
+    bits = 9 * known
     key = np.zeros(n, np.uint64)
     for i in range(known):
         key[: n - i] |= symbols[i:].astype(np.uint64) << np.uint64(9 * (known - 1 - i))
     while True:
-        order = np.argsort(key, kind="stable")
+        order = order_of(key, bits)
+        ranked = key[order]
         rank = np.zeros(n, np.uint64)
-        rank[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
-        if known >= depth or int(rank[order[-1]]) == n - 1:
+        rank[order[1:]] = np.cumsum(ranked[1:] != ranked[:-1])
+        last = int(rank[order[-1]])
+        if known >= depth or last == n - 1:
             return order
-        key = (rank + np.uint64(1)) << np.uint64(32)
+        half = (last + 1).bit_length()
+        key = (rank + np.uint64(1)) << np.uint64(half)
         key[: max(0, n - known)] |= rank[known:] + np.uint64(1)
-        known *= 2
+        bits, known = 2 * half, known * 2
 
 
 def long_common_prefixes(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
@@ -132,7 +147,7 @@ def long_common_prefixes(symbols: np.ndarray, order: np.ndarray, least: int) ->
     n = len(symbols)
     bwt = symbols[order - 1]  # of the first suffix: the last symbol
     back = np.empty(n, np.int64)
-    back[np.argsort(bwt, kind="stable")] = np.arange(n)  # where the suffix one symbol longer is
+    back[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n)  # where the suffix one symbol longer is
     open_ = np.ones(n + 1, bool)
     open_[[0, n]] = False
     low, high = np.array([0]), np.array([n])
@@ -142,7 +157,7 @@ def long_common_prefixes(symbols: np.ndarray, order: np.ndarray, least: int) ->
         owner = np.repeat(np.arange(len(low)), sizes)
         at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
         pair = owner * 512 + bwt[at]
-        by = np.argsort(pair, kind="stable")
+        by = order_of(pair, 9 + len(low).bit_length())
         change = np.flatnonzero(np.diff(pair[by], prepend=-1))
         first, last = at[by[change]], at[by[np.append(change[1:], len(by)) - 1]]
         low, high = back[first], back[last] + 1
