@@ -20,7 +20,7 @@ HISTOGRAM = "loglinear-16-v1"
 PERCENTILES, RATES = ("p50", "p90", "p99", "percentiles"), ("rate", "ratio", "percentage", "callsPerSecond")
 _METHOD = "struct<idx: int, name: string, desc: string, line: int, access: string, synthetic: boolean, tier2: boolean, tier2Reason: string, observability: string, dynamicallyObservable: boolean, shortCircuitable: boolean, isTest: boolean, annotations: array<string>>"
 _CLASS = f"struct<name: string, sourceFile: string, probeCount: int, schemaHash: string, isPublicApi: boolean, isTest: boolean, methods: array<{_METHOD}>, annotations: array<string>>"
-INVENTORY = f"buildSha string, artifact string, classes array<{_CLASS}>, entryPoints array<struct<class: string, method: string, desc: string, kind: string>>, callEdges array<struct<`from`: string, `to`: string, resolution: string, semantics: string>>"
+INVENTORY = f"buildSha string, artifact string, classes array<{_CLASS}>, entryPoints array<struct<class: string, method: string, desc: string, kind: string>>, callEdges array<struct<`from`: string, `to`: string, resolution: string, semantics: string>>, libraryTestSccs array<struct<kind: string, members: array<string>>>"
 
 
 def eligibility(observability: Column, flag: Column) -> Column:
@@ -65,6 +65,25 @@ def inventory_edges(parsed: DataFrame) -> DataFrame:
     )
 
 
+def inventory_classes(parsed: DataFrame) -> DataFrame:
+    c = parsed.where("fault is null").select(F.col("inv.buildSha").alias("build"), F.explode("inv.classes").alias("c"))
+    return c.select(
+        "build", F.col("c.name").alias("cls"), F.col("c.sourceFile").alias("source_file"), F.coalesce("c.probeCount", F.lit(0)).alias("probe_count"), F.col("c.schemaHash").alias("schema_hash"),
+        F.coalesce("c.isPublicApi", F.lit(False)).alias("is_public_api"), F.coalesce("c.isTest", F.lit(False)).alias("is_test"),
+    )
+
+
+def inventory_entry_points(parsed: DataFrame) -> DataFrame:
+    e = parsed.where("fault is null").select(F.col("inv.buildSha").alias("build"), F.explode("inv.entryPoints").alias("e"))
+    return e.select("build", F.col("e.class").alias("cls"), F.col("e.method").alias("name"), F.col("e.desc").alias("desc"), F.coalesce("e.kind", F.lit("unknown")).alias("kind"))
+
+
+def inventory_components(parsed: DataFrame) -> DataFrame:
+    """(build, component, kind, ref): members of library and test components, which are numbered within their document."""
+    c = parsed.where("fault is null").select(F.col("inv.buildSha").alias("build"), F.posexplode("inv.libraryTestSccs").alias("component", "c"))
+    return c.select("build", "component", F.col("c.kind").alias("kind"), F.explode("c.members").alias("ref"))
+
+
 def write_inventory(methods: DataFrame) -> DataFrame:
     """methods(build, artifact, cls, idx, name, desc, line, tier2Reason, ...) as one document a build; what is null is left out.
 

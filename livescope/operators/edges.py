@@ -54,17 +54,16 @@ def evidence(agg: DataFrame, side: tuple[str, str] = CALLEE) -> DataFrame:
     )
 
 
-def cap_distinct(window_edges: DataFrame, cap: int) -> DataFrame:
+def cap_distinct(window_edges: DataFrame, cap: int, window: tuple[str, ...] = ("build", "instance", "day")) -> DataFrame:
     """For each window, how many distinct edges came in time for the cap, and what was refused.
 
     Only the first ``cap`` edges of a window are ranked; what was refused is the window's total less what was kept.
     """
-    keys = ("build", "day")
-    distinct = window_edges.groupBy(*EDGE, "day").agg(F.sum("observations").alias("observations"))
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(*CALLER, *CALLEE))
-    kept = distinct.withColumn("place", place).where(F.col("place") <= cap).groupBy(*keys).agg(F.count("*").alias("kept_edges"), F.sum("observations").alias("kept"))
-    total = window_edges.groupBy(*keys).agg(F.sum("observations").alias("total"))
-    return total.join(kept, list(keys)).select(*keys, "kept_edges", (F.col("total") - F.col("kept")).alias("refused"))
+    distinct = window_edges.groupBy(*window, *CALLER, *CALLEE).agg(F.sum("observations").alias("observations"))
+    place = F.row_number().over(W.partitionBy(*window).orderBy(*CALLER, *CALLEE))
+    kept = distinct.withColumn("place", place).where(F.col("place") <= cap).groupBy(*window).agg(F.count("*").alias("kept_edges"), F.sum("observations").alias("kept"))
+    total = window_edges.groupBy(*window).agg(F.sum("observations").alias("total"))
+    return total.join(kept, list(window)).select(*window, "kept_edges", (F.col("total") - F.col("kept")).alias("refused"))
 
 
 def class_edges(agg: DataFrame) -> DataFrame:

@@ -359,12 +359,13 @@ def e9(spark, sf):
 
 @query(
     "E12",
-    f"""WITH {d.EDGES}, f AS (SELECT build, day, caller_cls, caller_idx, callee_cls, callee_idx, sum(observations) AS observations FROM we GROUP BY ALL),
-p AS (SELECT *, row_number() OVER (PARTITION BY build, day ORDER BY caller_cls, caller_idx, callee_cls, callee_idx) AS place FROM f)
-SELECT build, day, count(*) FILTER (place <= 64) AS kept_edges, CAST(coalesce(sum(observations) FILTER (place > 64), 0) AS BIGINT) AS refused FROM p GROUP BY ALL""",
+    """WITH f AS (SELECT l_linestatus AS build, 'pod-' || (l_linenumber % 3) AS instance, CAST(date_trunc('month', l_shipdate) AS DATE) AS day, 's' || (l_suppkey % 20) AS caller_cls, l_suppkey AS caller_idx, 'p' || (l_partkey % 50) AS callee_cls,
+  l_partkey AS callee_idx, CAST(sum(l_quantity) AS BIGINT) AS observations FROM lineitem GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY build, instance, day ORDER BY caller_cls, caller_idx, callee_cls, callee_idx) AS place FROM f)
+SELECT build, instance, day, count(*) FILTER (place <= 24) AS kept_edges, CAST(coalesce(sum(observations) FILTER (place > 24), 0) AS BIGINT) AS refused FROM p GROUP BY ALL""",
 )
 def e12(spark, sf):
-    return edges.cap_distinct(d.window_edges(spark, sf), 64)
+    return edges.cap_distinct(d.instance_edges(spark, sf), 24)
 
 
 @query("K10", f"WITH {_AGG} SELECT build, caller_cls, caller_idx, callee_cls, callee_idx, observations, place, {_UNIFORM} AS uniform_rate FROM (SELECT *, {_HOT} FROM ea) WHERE place <= 25")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import graph, static
+from ..operators import assembly, documents, graph, static
 from ..sources import facts
-from .registry import query
+from .registry import SQL, query
 
 _W = f"WITH {facts.FACTS}"
 _WR = f"WITH RECURSIVE {facts.FACTS}"
@@ -136,6 +138,63 @@ def f16(spark, sf):
     return _timed(spark, sf).select("k", "reason")
 
 
+_SERVICES = "SELECT cls FROM cf WHERE c % 3 = 0"
+
+
+def assembled(spark, sf, most=1 << 40):
+    services = facts.class_facts(spark, sf).where("c % 3 = 0").select("cls")
+    return assembly.assemble(
+        facts.class_facts(spark, sf), facts.method_facts(spark, sf), facts.call_sites(spark, sf), facts.type_links(spark, sf), services, _specs(spark, sf), assembly.Timing([_GLOBS[0]], ["com.*.web.**"], most)
+    )
+
+
+def _sub(name):
+    """An earlier oracle as a table of its own."""
+    return f"({SQL[name]})"
+
+
+@query(
+    "F21",
+    f"""{_W}, p AS (SELECT cls, count(*) AS probes, sha256(string_agg(name || "desc" || chr(10), '' ORDER BY name, "desc")) AS schema_hash FROM {_sub('F1')} GROUP BY cls),
+o AS (SELECT a.cls, count(*) FILTER (observable) AS observable, count(*) FILTER (short_circuitable) AS short_circuitable FROM {_sub('F1')} a JOIN {_sub('F4')} USING (k) JOIN {_sub('F5')} USING (k) GROUP BY a.cls),
+e AS (SELECT cls, count(*) AS entry_points FROM (SELECT cls, name, "desc", kind FROM {_sub('F8')} UNION SELECT cls, name, "desc", kind FROM {_sub('F9')} UNION SELECT cls, '<init>', '()V', 'ServiceLoader' FROM ({_SERVICES}) UNION SELECT cls, name, "desc", kind FROM {_sub('F11')}) GROUP BY cls),
+g AS (SELECT cls, count(*) AS calls, count(*) FILTER (resolution = 'unresolved') AS unresolved FROM {_sub('F14')} JOIN mf ON src = k GROUP BY cls)
+SELECT cf.cls, coalesce(probes, 0) AS probes, schema_hash, is_public_api, is_test, coalesce(observable, 0) AS observable, coalesce(short_circuitable, 0) AS short_circuitable, coalesce(entry_points, 0) AS entry_points, coalesce(calls, 0) AS calls, coalesce(unresolved, 0) AS unresolved
+FROM cf JOIN {_sub('F6')} USING (cls) JOIN {_sub('F7')} USING (cls) LEFT JOIN p USING (cls) LEFT JOIN o USING (cls) LEFT JOIN e USING (cls) LEFT JOIN g USING (cls)""",
+)
+def f21(spark, sf):
+    """The whole inventory by class."""
+    x = assembled(spark, sf)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    methods = x.methods.groupBy("cls").agg(F.count_if("observable").alias("observable"), F.count_if("short_circuitable").alias("short_circuitable"))
+    points = x.entry_points.groupBy("cls").agg(F.count("*").alias("entry_points"))
+    calls = x.edges.groupBy(F.col("src_cls").alias("cls")).agg(F.count("*").alias("calls"), F.count_if(F.col("resolution") == "unresolved").alias("unresolved"))
+    joined = x.classes.join(methods, "cls", "left").join(points, "cls", "left").join(calls, "cls", "left")
+    return joined.select("cls", F.col("probe_count").alias("probes"), "schema_hash", "is_public_api", "is_test", *[zero(c) for c in ("observable", "short_circuitable", "entry_points", "calls", "unresolved")])
+
+
+@query(
+    "A11_tables",
+    f"""{_W}, e AS (SELECT cls, name, "desc", kind FROM {_sub('F8')} UNION SELECT cls, name, "desc", kind FROM {_sub('F9')} UNION SELECT cls, '<init>', '()V', 'ServiceLoader' FROM ({_SERVICES}) UNION SELECT cls, name, "desc", kind FROM {_sub('F11')})
+SELECT 'classes' AS name, count(*) AS n, count(DISTINCT cls) AS classes FROM cf UNION ALL SELECT 'methods', count(*), count(DISTINCT cls) FROM {_sub('F1')} UNION ALL SELECT 'entry_points', count(*), count(DISTINCT cls) FROM e
+UNION ALL SELECT 'edges', count(*), count(DISTINCT cls) FROM {_sub('F14')} JOIN mf ON src = k""",
+)
+def a11_tables(spark, sf):
+    """The assembled inventory written as a document and read again, by table."""
+    folder = f"{graph.shared_folder(spark)}/inventory-{uuid.uuid4().hex}"
+    assembly.documents(assembled(spark, sf), "b", "shop").write.parquet(folder)
+    read = documents.parse_inventories(spark.read.parquet(folder))
+    tables = {
+        "classes": documents.inventory_classes(read), "methods": documents.inventory_methods(read), "entry_points": documents.inventory_entry_points(read),
+        "edges": documents.inventory_edges(read).withColumn("cls", F.substring_index("src", "#", 1)),
+    }
+    out = None
+    for name, table in tables.items():
+        one = table.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count_distinct("cls").alias("classes"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("F17", f"{_W}, {_TIMED}, r AS (SELECT reason, count(*) AS methods, sum(count(*)) OVER () <= 250 AS within FROM ti WHERE reason IS NOT NULL GROUP BY reason) SELECT * FROM r ORDER BY methods DESC, reason LIMIT 5")
 def f17(spark, sf):
     within, reasons = static.budget(_timed(spark, sf))
@@ -162,13 +221,13 @@ def _links(spark, sf):
     return nodes, part.join(nodes, part["dst"] == nodes["ref"], "left_semi").where("src <> dst")
 
 
-@query("F19", f"{_WR}, {_COMPONENTS} SELECT ref, component, dense_rank() OVER (ORDER BY component) AS scc_id FROM co")
+@query("F19", f"{_WR}, {_COMPONENTS} SELECT ref, component, dense_rank() OVER (ORDER BY component) - 1 AS scc_id FROM co")
 def f19(spark, sf):
     nodes, links = _links(spark, sf)
     found = graph.kept(static.components(nodes, links))
-    # Ids are the ranks of the smallest members.
+    # Ids are the ranks of the smallest members, from 0.
     ranked = graph.placed(found.where("ref = component").select("component", F.lit(0).alias("all")), ["all"], ["component"])
-    return found.join(ranked.select("component", F.col("place").alias("scc_id")), "component").select("ref", "component", "scc_id")
+    return found.join(ranked.select("component", (F.col("place") - 1).alias("scc_id")), "component").select("ref", "component", "scc_id")
 
 
 @query("F20", f"""{_WR}, {_TESTS}, {_COMPONENTS}, kn AS (SELECT mf.k AS ref, is_test, mf.k % 6 = 0 AS is_entry, component, bool_or(is_test) OVER (PARTITION BY component) AS has_test

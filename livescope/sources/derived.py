@@ -90,6 +90,15 @@ EDGES = """we AS (
   FROM lineitem GROUP BY ALL)"""
 
 
+def instance_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """window_edges with the instance that saw them."""
+    li = read(spark, sf_dir, "lineitem")
+    return li.groupBy(
+        F.col("l_linestatus").alias("build"), F.concat(F.lit("pod-"), F.col("l_linenumber") % 3).alias("instance"), F.trunc(F.to_date("l_shipdate"), "month").alias("day"),
+        F.concat(F.lit("s"), F.col("l_suppkey") % 20).alias("caller_cls"), F.col("l_suppkey").alias("caller_idx"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("callee_cls"), F.col("l_partkey").alias("callee_idx"),
+    ).agg(F.sum("l_quantity").cast("long").alias("observations"))
+
+
 def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
     return p.select(
@@ -110,24 +119,6 @@ METHODS = """me AS (
     p_brand = 'Brand#1' AS is_test, p_size % 5 <> 0 AS observable, p_size % 13 = 0 AS short_circuitable, p_brand AS artifact FROM part)"""
 
 
-def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, resolution, semantics) over part keys; cyclic by construction."""
-    p = read(spark, sf_dir, "part")
-    n = F.lit(p.count())
-    to = F.explode(F.array((F.col("p_partkey") * 7 + 3) % n, (F.col("p_partkey") * 13 + 1) % n))
-    resolution = F.when(F.col("p_size") % 10 == 0, "unresolved").when(F.col("p_size") % 10 <= 4, "exact").otherwise("cha")
-    semantics = F.when(F.col("p_size") % 7 == 0, "noop").otherwise("blocking")
-    return p.select(F.col("p_partkey").alias("src"), to.alias("dst"), resolution.alias("resolution"), semantics.alias("semantics"))
-
-
-CALLS = f"""{METHODS}, cg AS (
-  SELECT p_partkey AS src, unnest([(p_partkey * 7 + 3) % n, (p_partkey * 13 + 1) % n]) AS dst,
-    CASE WHEN p_size % 10 = 0 THEN 'unresolved' WHEN p_size % 10 <= 4 THEN 'exact' ELSE 'cha' END AS resolution,
-    CASE WHEN p_size % 7 = 0 THEN 'noop' ELSE 'blocking' END AS semantics
-  FROM part, (SELECT count(*) AS n FROM part)),
-ep AS (SELECT p_partkey AS ref, CASE WHEN p_partkey % 194 = 0 THEN 'test' ELSE p_type END AS kind FROM part WHERE p_partkey % 97 = 0)"""
-
-
 def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part").where("p_partkey % 97 = 0")
     return p.select(F.col("p_partkey").alias("ref"), F.when(F.col("p_partkey") % 194 == 0, "test").otherwise(F.col("p_type")).alias("kind"))
