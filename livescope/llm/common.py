@@ -45,7 +45,8 @@ def _made(folder: str, application: str) -> str:
     return path
 
 
-def _run_dir(spark: SparkSession) -> str:
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables."""
     return _made(shared_dir(spark), spark.sparkContext.applicationId)
 
 
@@ -56,7 +57,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     whose size is known, so that Spark broadcasts it only when it is small.
     """
     spark = df.sparkSession
-    path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
