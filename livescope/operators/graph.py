@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,9 +22,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@lru_cache(maxsize=8)
+def _made(folder: str, application: str) -> str:
+    path = f"{folder}/tables-{application}-{uuid.uuid4().hex}"
+    spark = SparkSession.active()
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, below the shared one; the file system deletes it when the driver ends."""
+    return _made(shared_folder(spark), spark.sparkContext.applicationId)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read again, so that a loop's lineage stays short and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/graph/{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -77,7 +94,7 @@ def reachable(roots: DataFrame, forward: DataFrame) -> DataFrame:
     A round takes ``HOPS`` hops from the frontier alone and writes what is new beside the rounds before it, so what is
     reached is written once. The last round is the one that finds nothing.
     """
-    spark, folder = roots.sparkSession, f"{shared_folder(roots.sparkSession)}/graph/{uuid.uuid4().hex}"
+    spark, folder = roots.sparkSession, f"{scratch(roots.sparkSession)}/{uuid.uuid4().hex}"
     edges = kept(forward.select("src", "dst").where("src <> dst").distinct())
     new, rounds = roots.select("ref").distinct(), []
     while True:
@@ -123,7 +140,7 @@ def static_reachable(methods: DataFrame, triaged: DataFrame, reached: DataFrame)
 
 def descendants(links: DataFrame) -> DataFrame:
     """(ancestor, ref): the closure of links(parent, ref), oneself left out, cycles allowed. Rounds are written beside one another."""
-    spark, folder = links.sparkSession, f"{shared_folder(links.sparkSession)}/graph/{uuid.uuid4().hex}"
+    spark, folder = links.sparkSession, f"{scratch(links.sparkSession)}/{uuid.uuid4().hex}"
     links = kept(links.select("parent", "ref").where("parent <> ref").distinct())
     new, rounds = links.select(F.col("parent").alias("ancestor"), "ref"), []
     while True:

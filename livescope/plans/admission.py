@@ -138,7 +138,7 @@ def _files(spark, sf, folder):
 @query("A1", _BITS)
 def a1(spark, sf):
     """One document a file, plain and packed."""
-    path = f"{graph.shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    path = f"{graph.scratch(spark)}/documents-{uuid.uuid4().hex}"
     _files(spark, sf, path)
     return _bits(windows.accepted_coverage(windows.decode_windows(windows.read_windows(spark, path))))
 
@@ -146,7 +146,7 @@ def a1(spark, sf):
 @query("A2", _BITS)
 def a2(spark, sf):
     """The same files as a stream, in batches."""
-    path = f"{graph.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{graph.scratch(spark)}/stream-{uuid.uuid4().hex}"
     _files(spark, sf, f"{path}/in")
     ingest.append_windows(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint")
     return _bits(spark.read.parquet(f"{path}/out/coverage"))

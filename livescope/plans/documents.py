@@ -64,7 +64,7 @@ def a4(spark, sf):
 
 @query("A5", f"""{_W} SELECT c % 16 AS part, row_number() OVER (PARTITION BY c % 16 ORDER BY c) AS line_no, cls || '#*' AS line FROM cf""")
 def a5(spark, sf):
-    folder = f"{graph.shared_folder(spark)}/rules-{uuid.uuid4().hex}"
+    folder = f"{graph.scratch(spark)}/rules-{uuid.uuid4().hex}"
     part = (F.col("c") % 16).alias("part")
     lines = facts.class_facts(spark, sf).groupBy(part).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "cls"))), lambda x: F.concat(x.cls, F.lit("#*"))), "\n").alias("text"))
     lines.repartition("part").write.partitionBy("part").text(folder)
@@ -74,7 +74,7 @@ def a5(spark, sf):
 
 @query("A8", f"""{_W} SELECT cls, name, "desc", k % 3 > 0 AS covered FROM mf WHERE k % 7 <> 0""")
 def a8(spark, sf):
-    folder = f"{graph.shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    folder = f"{graph.scratch(spark)}/report-{uuid.uuid4().hex}"
     escaped = lambda c: F.replace(F.replace(c, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     counter = F.when(F.col("k") % 7 != 0, F.format_string('<counter type="INSTRUCTION" missed="1" covered="%d"/>', F.col("k") % 3)).otherwise("")
     method = F.concat(F.lit('<method name="'), escaped(F.col("name")), F.lit('" desc="'), F.col("desc"), F.lit('"><counter type="LINE" missed="0" covered="9"/>'), counter, F.lit("</method>"))
@@ -87,7 +87,7 @@ def a8(spark, sf):
 
 @query("A10", f"""{_W} SELECT k, CASE WHEN k % 2 = 0 THEN 'production' ELSE 'env' || (k % 3) END AS environment, k % 2 = 0 OR k % 3 <> 0 AS liveness FROM mf""")
 def a10(spark, sf):
-    folder = f"{graph.shared_folder(spark)}/evolving-{uuid.uuid4().hex}"
+    folder = f"{graph.scratch(spark)}/evolving-{uuid.uuid4().hex}"
     m = facts.method_facts(spark, sf).select("k")
     m.where("k % 2 = 0").write.parquet(f"{folder}/version=1")
     m.where("k % 2 = 1").select("k", F.concat(F.lit("env"), F.col("k") % 3).alias("environment")).write.parquet(f"{folder}/version=2")

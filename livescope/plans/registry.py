@@ -622,7 +622,7 @@ def b12(spark, sf):
 
 
 def _folder(spark, name):
-    return f"{graph.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{graph.scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("A9", f"WITH {d.COVERAGE} SELECT build, count(*) AS bits FROM cb GROUP BY ALL")

@@ -181,7 +181,7 @@ UNION ALL SELECT 'edges', count(*), count(DISTINCT cls) FROM {_sub('F14')} JOIN
 )
 def a11_tables(spark, sf):
     """The assembled inventory written as a document and read again, by table."""
-    folder = f"{graph.shared_folder(spark)}/inventory-{uuid.uuid4().hex}"
+    folder = f"{graph.scratch(spark)}/inventory-{uuid.uuid4().hex}"
     assembly.documents(assembled(spark, sf), "b", "shop").write.parquet(folder)
     read = documents.parse_inventories(spark.read.parquet(folder))
     tables = {

@@ -175,7 +175,7 @@ UNION ALL SELECT * FROM (VALUES ('month-end', 'default', 'last-days-of-month', '
 )
 def a6(spark, sf):
     """A calendar document made of the tables, written, read and checked; and what stands in for a file that isn't there."""
-    folder = f"{graph.shared_folder(spark)}/calendar-{uuid.uuid4().hex}"
+    folder = f"{graph.scratch(spark)}/calendar-{uuid.uuid4().hex}"
     years = d.read(spark, sf, "orders").groupBy("o_orderpriority", F.year("o_orderdate").alias("y")).agg(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi"))
     one = years.select(F.struct(
         F.concat(F.lit("peak "), "o_orderpriority").alias("phase"), F.date_format("lo", "yyyy-MM-dd").alias("start"), F.date_format("hi", "yyyy-MM-dd").alias("end"), F.col("y").cast("string").alias("label"),
