@@ -159,3 +159,18 @@ def c10_documents(spark, sf):
     return r.groupBy("build", "cls").agg(
         F.count_if(F.octet_length("installed") > 0).alias("full_masks"), F.count_if(F.octet_length("installed") == 0).alias("empty_masks"), F.count_if(F.col("installed").isNull()).alias("without")
     )
+
+
+@query(
+    "C7_stream",
+    f"""{_D}, r AS (SELECT rr.build, rr.instance, rr.day, rr.cls, idx FROM rr JOIN cb USING (build, instance, day, cls) WHERE NOT of_test AND rr.production UNION ALL
+  SELECT cb.build, cb.instance, cb.day, cb.cls, idx FROM cb JOIN sd USING (build, instance, day) WHERE reason = 'unknown_edge_endpoint' AND production),
+x AS (SELECT *, row_number() OVER (PARTITION BY build, cls, idx ORDER BY day, instance) = 1 AS new FROM r) SELECT build, cls, instance, day, count(*) FILTER (new) AS new_bits FROM x GROUP BY ALL""",
+)
+def c7_stream(spark, sf):
+    """New bits of each record, from a stream of documents with state."""
+    path = f"{graph.scratch(spark)}/guarded-{uuid.uuid4().hex}"
+    _files(spark, sf, f"{path}/in")
+    ingest.append_guarded(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint")
+    day = F.date_from_unix_date((F.col("start_ms") / 86_400_000).cast("int"))
+    return spark.read.parquet(f"{path}/out").where("accepted").select("build", "cls", "instance", day.alias("day"), F.col("new_bits").cast("long").alias("new_bits"))

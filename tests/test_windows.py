@@ -116,3 +116,24 @@ def test_errors_by_the_windows_own_table(spark, by_id, named, unresolved, source
     tier2 = [{"class": "app.A", "idx": 0, "errors": 5, **({"errorsByClass": by_id} if by_id is not None else {}), "errorTypes": {"old": 4}}]
     got = windows.profiles(windows.decode_windows(spark.createDataFrame([(json.dumps(_document(tier2=tier2)),)], "body string"))).first()
     assert (got.named, got.unresolved, got.source, got.unattributed) == (named, unresolved, source, 5 - sum(named.values()))
+
+
+def test_first_hash_and_seen_bits_over_batches(spark, tmp_path):
+    """Three batches and a replay give what one batch gives."""
+    def write(folder, n, schema_hash, probes, end):
+        doc = _document(instanceId=f"i{n}", windowStartMs=n * 60_000, windowEndMs=end, coverage=[RECORD | {"schemaHash": schema_hash, "probes": probes}, RECORD | {"class": "app.B", "probes": "gA=="}])
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / f"w{n}.json").write_text(json.dumps(doc))
+
+    windows_ = [("h", "AQ=="), ("h", "Aw=="), ("other", "/w=="), ("h", "AAE="), ("h", "gwE=")]
+    see = lambda sink: sorted((r.cls, r.start_ms, r.accepted, r.new_bits) for r in spark.read.parquet(str(sink)).collect())
+    for n, (h, bits) in enumerate(windows_):
+        write("all", n, h, bits, n * 60_000 + 1)
+    ingest.append_guarded(spark, str(tmp_path / "all"), str(tmp_path / "one"), str(tmp_path / "check-one"))
+    for batch in ((0, 1), (2,), (3, 4), ()):
+        for n in batch:
+            write("slowly", n, *windows_[n], n * 60_000 + 1)
+        ingest.append_guarded(spark, str(tmp_path / "slowly"), str(tmp_path / "three"), str(tmp_path / "check-three"))
+    assert see(tmp_path / "one") == see(tmp_path / "three")
+    assert [(ok, n) for c, _, ok, n in see(tmp_path / "one") if c == "app.A"] == [(True, 1), (True, 1), (False, 0), (True, 1), (True, 1)]
+    assert [n for c, _, _, n in see(tmp_path / "one") if c == "app.B"] == [1, 0, 0, 0, 0]
