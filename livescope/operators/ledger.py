@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 from .graph import placed
 
 
-def feedback_stats(feedback: DataFrame) -> DataFrame:
-    """feedback(rule_key, kind): rates over judged reports; few judgements keep a rule active."""
+def feedback_stats(feedback: DataFrame, forced: DataFrame | None = None) -> DataFrame:
+    """feedback(rule_key, kind): rates over judged reports; few judgements keep a rule active. A state in forced(rule_key, state) holds whatever the rates say."""
     s = feedback.groupBy("rule_key").agg(
         F.count_if(F.col("kind") == "report").alias("reports"), F.count_if(F.col("kind") == "actioned").alias("actioned"), F.count_if(F.col("kind") == "not_useful").alias("not_useful")
     )
     judged = F.col("actioned") + F.col("not_useful")
     rate = F.col("not_useful") / judged
     status = F.when(judged < 10, "ACTIVE").when(rate >= 0.25, "DISABLED").when(rate >= 0.10, "PROBATION").otherwise("ACTIVE")
-    return s.withColumns({"rate": F.round(F.when(judged > 0, rate), 4), "status": status})
+    found = s.withColumns({"rate": F.round(F.when(judged > 0, rate), 4), "status": status})
+    if forced is None:
+        return found
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("reports", "actioned", "not_useful")}
+    return found.join(forced, "rule_key", "full_outer").withColumns({**zero, "status": F.coalesce("state", "status", F.lit("ACTIVE"))}).drop("state")
 
 
 def cap_new(candidates: DataFrame, opened: DataFrame, cap: int) -> DataFrame:

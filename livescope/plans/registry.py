@@ -14,7 +14,7 @@ from ..functions.names import denied_name, test_markers
 from ..functions.redaction import denied_number, denied_text, mask_path
 from ..operators import admission, coverage, edges, graph, inventory, ledger, phases, profile, traces, verdict
 from ..sources import derived as d
-from ..sources import windows
+from ..sources import sinks, windows
 from ..streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -432,9 +432,15 @@ def j6(spark, sf):
     return ledger.feedback_stats(_feedback(spark, sf))
 
 
-@query("K16", SQL["J6"])
+@query(
+    "K16",
+    f"""WITH j AS ({SQL['J6']}), f(rule_key, state) AS (VALUES ('entrypoint:1-URGENT', 'ACTIVE'), ('entrypoint:3-MEDIUM', NULL), ('entrypoint:retired', 'DISABLED'))
+SELECT rule_key, coalesce(reports, 0) AS reports, coalesce(actioned, 0) AS actioned, coalesce(not_useful, 0) AS not_useful, rate, coalesce(state, status, 'ACTIVE') AS status FROM j FULL JOIN f USING (rule_key)""",
+)
 def k16(spark, sf):
-    return ledger.feedback_stats(_feedback(spark, sf))
+    """With states that a person has forced: one that rates would disable, one taken back, one of a rule without reports."""
+    rows = [("entrypoint:1-URGENT", "ACTIVE"), ("entrypoint:3-MEDIUM", None), ("entrypoint:retired", "DISABLED")]
+    return ledger.feedback_stats(_feedback(spark, sf), spark.createDataFrame(rows, "rule_key string, state string"))
 
 
 @query(
@@ -625,8 +631,20 @@ def _folder(spark, name):
     return f"{graph.scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("A9", f"WITH {d.COVERAGE} SELECT build, count(*) AS bits FROM cb GROUP BY ALL")
+@query("A9", f"WITH {_AGG} SELECT build, callee_cls, callee_idx, count(*) AS callers, CAST(sum(observations) AS BIGINT) AS observations FROM ea GROUP BY ALL")
 def a9(spark, sf):
+    """Callers of every method from edges that are stored by callee; the read needs no shuffle."""
+    return sinks.callers(sinks.write_edges(d.window_edges(spark, sf), "edges")[1], spark)
+
+
+@query("A9_out", f"WITH {_AGG} SELECT build, caller_cls, caller_idx, count(*) AS callees, CAST(sum(observations) AS BIGINT) AS observations FROM ea WHERE caller_cls = 's3' GROUP BY ALL")
+def a9_out(spark, sf):
+    return sinks.callees(sinks.write_edges(d.window_edges(spark, sf), "edges", 8)[0], spark, "s3")
+
+
+@query("A9_bits", f"WITH {d.COVERAGE} SELECT build, count(*) AS bits FROM cb GROUP BY ALL")
+def a9_bits(spark, sf):
+    """Coverage by build, each build's classes dealt to several files."""
     path = _folder(spark, "tables")
-    d.coverage_bits(spark, sf).repartition("build").sortWithinPartitions("cls", "idx").write.partitionBy("build").parquet(path)
+    d.coverage_bits(spark, sf).repartition("build", "cls").sortWithinPartitions("build", "cls", "idx").write.partitionBy("build").parquet(path)
     return spark.read.parquet(path).groupBy("build").agg(F.count("*").alias("bits"))
