@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .edges import estimate, hot_edges
 from .graph import kept
 
 OBSERVABLE, NOT_OBSERVABLE, DE_INSTRUMENTED, NO_PROBE = "OBSERVABLE", "NOT_DYNAMICALLY_OBSERVABLE", "DE_INSTRUMENTED", "NO_PROBE_INSTALLED"
@@ -207,3 +208,25 @@ def by_file(verdicts: DataFrame, classes: DataFrame, path: str) -> DataFrame:
     """Of classes(cls, source_file) in a file, named in full or by the end of its path."""
     found = classes.where((F.col("source_file") == path) | F.col("source_file").endswith(f"/{path}")).select("cls").distinct()
     return verdicts.join(found, "cls", "left_semi")
+
+
+def windows_listed(windows: DataFrame, by_build: DataFrame) -> DataFrame:
+    """Every stored window with its days, whether it proves death, why not, and what its build's windows cover together."""
+    environment = F.coalesce("environment", F.lit("unclassified"))
+    why = (
+        F.when(~F.coalesce(F.col("environment").isin("production", "prod"), F.lit(False)), F.concat(F.lit("not of production: "), environment))
+        .when(F.col("tainted"), "test code was running").when(F.col("degraded"), "degraded: shows life only")
+    )
+    listed = windows.select("build", "instance", F.col("day").alias("start"), F.col("end_day").alias("stop"), F.date_diff("end_day", "day").alias("days"), why.isNull().alias("usable"), F.coalesce(why, F.lit("")).alias("why"))
+    of_build = by_build.select("build", F.coalesce("window_days", F.lit(0)).alias("window_days"), F.array_join("phases_covered", ", ").alias("phases_covered"), F.array_join("phases_missing", ", ").alias("phases_missing"))
+    return listed.join(of_build, "build")
+
+
+def hot_paths(agg: DataFrame, inventory: DataFrame, limit: int) -> DataFrame:
+    """The most observed edges of each build with both methods' names, their rate if there is one, and the calls that it stands for."""
+    named = inventory.select("build", "cls", "idx", F.concat("name", "desc").alias("method"))
+    first = hot_edges(estimate(agg), limit)
+    for side in ("caller", "callee"):
+        own = named.select("build", F.col("cls").alias(f"{side}_cls"), F.col("idx").alias(f"{side}_idx"), F.col("method").alias(side))
+        first = first.join(own, ["build", f"{side}_cls", f"{side}_idx"], "left")
+    return first.select("build", "place", "caller_cls", "caller", "callee_cls", "callee", "observations", "windows", "uniform_rate", "estimated_calls")

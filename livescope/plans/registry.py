@@ -368,12 +368,6 @@ def e12(spark, sf):
     return edges.cap_distinct(d.instance_edges(spark, sf), 24)
 
 
-@query("K10", f"WITH {_AGG} SELECT build, caller_cls, caller_idx, callee_cls, callee_idx, observations, place, {_UNIFORM} AS uniform_rate FROM (SELECT *, {_HOT} FROM ea) WHERE place <= 25")
-def k10(spark, sf):
-    hot = edges.estimate(edges.hot_edges(edges.edge_agg(d.window_edges(spark, sf)), 25))
-    return hot.select(*edges.EDGE, "observations", "place", "uniform_rate")
-
-
 @query(
     "K20",
     f"""WITH {_AGG} SELECT build, caller_cls, callee_cls, CAST(sum(observations) AS BIGINT) AS observations, count(*) AS edges, min(min_rate) <> max(max_rate) AS mixed,
@@ -470,11 +464,6 @@ def k19(spark, sf):
     return r.select(F.coalesce("artifact", F.lit("")).alias("artifact"), F.coalesce("cls", F.lit("")).alias("cls"), "methods", "observable")
 
 
-@query("K13", f"WITH {d.WINDOWS} SELECT build, instance, day AS start, end_day AS stop, {_LIFE} AND NOT degraded AS usable FROM wi")
-def k13(spark, sf):
-    return admission.usable(d.windows(spark, sf)).select("build", "instance", F.col("day").alias("start"), F.col("end_day").alias("stop"), F.col("death").alias("usable"))
-
-
 # ---- L: traces
 
 _FRAMES = """fr AS (SELECT conv_id AS trace, turn AS ordinal, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, role AS frame, length(text) AS size_in,

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import edges, facts, graph, inventory, ledger, phases, rules, verdict
+from ..operators import admission, facts, graph, inventory, ledger, phases, rules, verdict
 from ..sources import derived as d
 from ..sources import store
 from .registry import query
@@ -387,3 +387,25 @@ SELECT g.*, callers > 2 AS cut, target.status, CASE WHEN any_live THEN 'live cal
 )
 def k9(spark, sf):
     return verdict.blast_radius(_verdicts(spark, sf), facts.edges_of_evidence(store.edges(spark, sf), store.windows(spark, sf)), 2)
+
+
+@query(
+    "K13",
+    f"""{_V}, w AS (SELECT build, instance, day AS start, end_day AS stop, CAST(end_day - day AS INTEGER) AS days, CASE WHEN environment IS DISTINCT FROM 'production' THEN 'not of production: ' || coalesce(environment, 'unclassified') WHEN tainted THEN 'test code was running'
+  WHEN degraded THEN 'degraded: shows life only' ELSE '' END AS why FROM sw)
+SELECT w.*, why = '' AS usable, coalesce(window_days, 0) AS window_days, coalesce(covered, '') AS phases_covered, coalesce(missing, '') AS phases_missing FROM w LEFT JOIN sn USING (build) LEFT JOIN pp USING (build)""",
+)
+def k13(spark, sf):
+    w = store.windows(spark, sf)
+    return verdict.windows_listed(w, facts.by_build(w, admission.evidence_only(store.edges(spark, sf), w), CALENDAR))
+
+
+@query(
+    "K10",
+    f"""{_V}, x AS (SELECT build, caller_cls, caller_idx, callee_cls, callee_idx, sum(observations)::BIGINT AS observations, count(*) AS windows, min(rate) AS lo, max(rate) AS hi FROM ev GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY build ORDER BY observations DESC, caller_cls, caller_idx, callee_cls, callee_idx) AS place, CASE WHEN lo = hi THEN lo END AS uniform_rate FROM x)
+SELECT r.build, place, caller_cls, a.name || a."desc" AS caller, callee_cls, b.name || b."desc" AS callee, observations, windows, uniform_rate, observations * uniform_rate AS estimated_calls FROM r
+LEFT JOIN im a ON a.build = r.build AND a.cls = caller_cls AND a.idx = caller_idx LEFT JOIN im b ON b.build = r.build AND b.cls = callee_cls AND b.idx = callee_idx WHERE place <= 10""",
+)
+def k10(spark, sf):
+    return verdict.hot_paths(facts.edges_of_evidence(store.edges(spark, sf), store.windows(spark, sf)), store.inventory(spark, sf), 10)
