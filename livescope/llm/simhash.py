@@ -281,8 +281,10 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rows = placed.join(again, "key", "left_semi").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", group, "wide")
         met = proposed(rows, partners)
         new = stored(met.where("not more").select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "new-pairs")
-        pairs = stored(pairs.unionByName(_verified(new, docs, doc_id, text, width, similarity)), "pairs")
-        roots = components(pairs.where("similar"))
+        decided = _verified(new, docs, doc_id, text, width, similarity)
+        pairs = stored(pairs.unionByName(decided), "pairs")
+        if not decided.where("similar").isEmpty():
+            roots = components(pairs.where("similar"))
         again = stored(met.where("more").select("key").distinct(), "open-keys")
         partners *= WIDER
     named = stored(reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("wide", "same", F.coalesce("root", "rep").alias("root")), "wide-roots")
