@@ -163,13 +163,18 @@ def spanning(wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nearest(wide: np.ndarray, group: np.ndarray, most: int, partners: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Of each fingerprint the places of its nearest ones of other groups within ``most`` bits, and whether any has more than ``partners``."""
+    """Of each fingerprint the places of its nearest ones of larger groups within ``most`` bits, and whether any has more than ``partners``.
+
+    Groups of one size go by their number, so of two groups one asks: members of a large group don't all ask for the same outsider.
+    """
     a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
     if (group == group[0]).all():
         return a[0], b[0], False
-    for at in range(len(wide)):
+    _, which, times = np.unique(group, return_inverse=True, return_counts=True)
+    rank = np.argsort(np.lexsort((np.arange(len(times)), times)))[which]
+    for at in np.flatnonzero(rank < rank.max()).tolist():
         apart = np.bitwise_count(wide ^ wide[at]).sum(axis=1)
-        found = np.flatnonzero((apart <= most) & (group != group[at]))
+        found = np.flatnonzero((apart <= most) & (rank > rank[at]))
         if len(found) > partners:
             found, more = found[np.argsort(apart[found], kind="stable")[:partners]], True
         a.append(np.full(len(found), at))
@@ -246,7 +251,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bring all bits of all lanes with them. Fingerprints only sort out pairs that are too far apart;
     what is left is verified exactly. First a key proposes pairs that span all that is near in it: if
     they hold, the rest of the key's pairs adds nothing. Keys where one did not hold propose for each
-    document its nearest ones of other groups, more of them each round, until all are decided.
+    document its nearest ones of larger groups, more of them each round, until all are decided.
     In a crowded key documents are dealt into parts, and each two parts are compared in a place of their own.
     Texts with equal sets of shingles are one from the start.
     """

@@ -55,12 +55,12 @@ def test_spanning_pairs_connect_over_a_dissimilar_head():
     assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(1, 2)]
 
 
-def test_nearest_partners_of_other_groups():
+def test_nearest_partners_of_larger_groups():
     wide = np.array([[0], [1], [3], [7], [2**64 - 1]], np.uint64)
     a, b, more = simhash.nearest(wide, np.array([1, 1, 2, 3, 4]), 3, 1)
-    assert more and set(zip(a.tolist(), b.tolist())) == {(0, 2), (1, 2), (2, 1), (3, 2)}
+    assert more and set(zip(a.tolist(), b.tolist())) == {(2, 1), (3, 1)}
     a, b, more = simhash.nearest(wide, np.array([1, 1, 2, 3, 4]), 3, 9)
-    assert not more and set(zip(a.tolist(), b.tolist())) == {(0, 2), (0, 3), (1, 2), (1, 3), (2, 0), (2, 1), (2, 3), (3, 0), (3, 1), (3, 2)}
+    assert not more and set(zip(a.tolist(), b.tolist())) == {(2, 0), (2, 1), (2, 3), (3, 0), (3, 1)}
 
 
 def test_exactly_pairs_at_the_threshold_are_linked(spark):
