@@ -108,6 +108,15 @@ def test_reached_classes_run_their_initialisers(spark):
     assert {r.ref for r in found.collect()} == {1, 2, 3}
 
 
+def test_calls_of_initialisers_grow_with_methods_only(spark):
+    methods = spark.range(400).selectExpr("id AS ref", "if(id < 390, 'A', 'B') AS cls", "if(id % 4 = 1, '<clinit>', 'm') AS name")
+    calls = graph.initialisers(methods)
+    assert calls.count() <= 2 * 400  # one for each pair were 38,000
+    for root in (0, 5, 1):
+        found = graph.reachable(spark.createDataFrame([(root,)], "ref long"), calls)
+        assert {r.ref for r in found.collect()} == {root} | set(range(1, 390, 4))
+
+
 def test_components_of_library_and_test_code_do_not_keep_themselves_alive(spark):
     calls = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, 5), (5, 4), (6, 7)], "src long, dst long").withColumns({"resolution": F.lit("exact"), "semantics": F.lit("blocking")})
     own = spark.createDataFrame([("c", 2), ("c", 3), ("d", 4), ("d", 5), ("e", 6), ("f", 7)], "component string, ref long")
