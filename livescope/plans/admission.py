@@ -35,7 +35,7 @@ def _faults_sql(*faults):
 
 
 for _name, _faults in {
-    "B3_documents": (7, 42), "B4_documents": (8, 9, 10, 12, 36, 38, 42), "B5": (11, 31, 42), "B10_documents": (13, 15, 42), "B12_documents": (18, 19, 33, 42), "B13": (23, 24, 25, 42), "B14": (20, 21, 22, 26, 27, 41),
+    "B3_documents": (7, 42), "B4_documents": (8, 9, 10, 12, 36, 38, 42), "B5_documents": (11, 31, 42), "B10_documents": (13, 15, 42), "B12_documents": (18, 19, 33, 42), "B13": (23, 24, 25, 42), "B14": (20, 21, 22, 26, 27, 41),
     "B17": (28, 29, 30, 42), "B18": (32, 43), "B1_documents": (0, 1, 2, 3, 4, 5, 6, 14, 16, 17, 37),
 }.items():
     query(_name, _faults_sql(*_faults))(_of_faults(*_faults))
