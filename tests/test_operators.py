@@ -135,6 +135,20 @@ def test_closures_of_long_chains(spark):
     assert graph.reachable(spark.createDataFrame([(7,)], "ref long"), chain).count() == 34
 
 
+def test_caps_rank_the_first_classes_only(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [("b", "i", w, f"c{rng.randrange(30):02}", rng.randrange(9), f"d{rng.randrange(3)}", rng.randrange(5), rng.randrange(9)) for w in range(3) for _ in range(900)]
+    rows += [("b", "i", 9, "c0", 1, "d", n, 1) for n in range(5)]
+    columns = ("build", "instance", "day", *edges.CALLER, *edges.CALLEE)
+    got = edges.cap_distinct(spark.createDataFrame(rows, "build string, instance string, day int, caller_cls string, caller_idx int, callee_cls string, callee_idx int, observations long"), 24)
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString() and len(columns) == 7
+    want = set()
+    for w in (0, 1, 2, 9):
+        own = sorted({r[:7] for r in rows if r[2] == w})
+        want.add(("b", "i", w, min(24, len(own)), sum(r[7] for r in rows if r[2] == w and r[:7] not in own[:24])))
+    assert set(map(tuple, got.collect())) == want
+
+
 def test_places_go_on_over_ranges(spark):
     rng = random.Random(4)
     rows = [(rng.choice("aaab"), rng.randrange(10**6)) for _ in range(3000)]
