@@ -9,26 +9,28 @@ from pyspark.sql import functions as F
 
 from ..operators import edges, graph
 
-#: Bytes of a bucket, about.
-BUCKET = 128 << 20
+#: Sums of a bucket, and of a task that writes, about.
+ROWS = 1_000_000
 
 
 def write_edges(window_edges: DataFrame, name: str, buckets: int | None = None) -> tuple[str, str]:
     """Edge sums stored twice, dealt and sorted by caller and by callee; gives the names of both tables.
 
     Whatever groups or joins by one end (callers, callees, blast radius, class edges) reads the table of that end without
-    a shuffle, and one class reads one bucket. The number of buckets follows the size of the sums.
+    a shuffle, and one class reads one bucket. The number of buckets follows the number of sums. A class with more than ``ROWS`` of
+    them is dealt to several tasks, each of which sorts its own part into a file of the class's bucket.
     """
     spark = window_edges.sparkSession
     agg = graph.kept(edges.edge_agg(window_edges))
-    if buckets is None:
-        size = int(agg._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        buckets = max(1, -(-size // BUCKET))
+    total = agg.count()
+    buckets = buckets or max(1, -(-total // ROWS))
     names = []
     for side, key in (("by_caller", "caller_cls"), ("by_callee", "callee_cls")):
         names.append(f"{name}_{side}_{uuid.uuid4().hex}")
         rest = [c for c in edges.EDGE if c != key]
-        dealt = agg.repartition(buckets, key)  # a file a bucket
+        largest = agg.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+        parts = max(1, -(-largest // ROWS))
+        dealt = agg.repartition(max(buckets, -(-total // ROWS)), key, F.pmod(F.xxhash64(*rest), F.lit(parts)))
         dealt.write.bucketBy(buckets, key).sortBy(key, *rest).option("path", f"{graph.scratch(spark)}/{names[-1]}").saveAsTable(names[-1])
     return names[0], names[1]
 
