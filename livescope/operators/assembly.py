@@ -1,4 +1,4 @@
-"""A build's whole inventory from class, method and call-site facts, and its document with all five tables.
+"""A build's whole inventory from class, method and call-site facts, and its documents with all five tables.
 
 Stages always run in this order: probeable methods and their numbers, schema hashes, what can be observed, test code, entry points,
 subtypes, call edges, components of library and test code, timing. A build without any class is an error, and so is
@@ -69,17 +69,31 @@ def _ref(side: str = "") -> Column:
     return F.concat(f"{side}cls", F.lit("#"), f"{side}name", f"{side}desc")
 
 
-def documents(found: Inventory, build: str, artifact: str) -> DataFrame:
-    """(build, body): the inventory as one document. Each table is nested by its own class or component first."""
-    listed = lambda df, name: df.agg(F.array_sort(F.collect_list("x")).alias(name))
+#: Rows of a document, about: classes, entry points, edges and components.
+ROWS = 20_000
+
+
+def documents(found: Inventory, build: str, artifact: str, rows: int = ROWS) -> DataFrame:
+    """(build, body): the inventory as documents of some ``rows`` rows each, so that no document grows with its build.
+
+    Each is whole by itself and holds all of its classes; the tables of a build are those of all its documents. Classes nest their methods first.
+    """
     method = F.struct("idx", "name", "desc", F.col("observable").alias("dynamicallyObservable"), F.col("short_circuitable").alias("shortCircuitable"), F.col("is_test").alias("isTest"), F.col("timed").alias("tier2"))
     of_class = found.methods.groupBy("cls").agg(F.array_sort(F.collect_list(method)).alias("methods"))
-    classes = found.classes.join(of_class, "cls", "left").select(F.struct(
+    classes = found.classes.join(of_class, "cls", "left").select(F.xxhash64("cls").alias("key"), F.struct(
         F.col("cls").alias("name"), F.col("probe_count").alias("probeCount"), F.col("schema_hash").alias("schemaHash"), F.col("is_public_api").alias("isPublicApi"), F.col("is_test").alias("isTest"),
         F.coalesce("methods", F.array().cast(of_class.schema["methods"].dataType)).alias("methods"),
-    ).alias("x"))
-    points = found.entry_points.select(F.struct(F.col("cls").alias("class"), F.col("name").alias("method"), "desc", "kind").alias("x"))
-    edges = found.edges.select(F.struct(_ref("src_").alias("from"), _ref("dst_").alias("to"), "resolution", "semantics").alias("x"))
-    groups = found.components.groupBy("component").agg(F.array_sort(F.collect_list(_ref())).alias("members")).select(F.struct(F.lit("library-test").alias("kind"), "members").alias("x"))
-    whole = listed(classes, "classes").join(listed(points, "entryPoints")).join(listed(edges, "callEdges")).join(listed(groups, "libraryTestSccs"))  # one row each
-    return whole.select(F.lit(build).alias("build"), F.to_json(F.struct(F.lit(build).alias("buildSha"), F.lit(artifact).alias("artifact"), "classes", "entryPoints", "callEdges", "libraryTestSccs")).alias("body"))
+    ).alias("classes"))
+    points = found.entry_points.select(F.xxhash64("cls", "name").alias("key"), F.struct(F.col("cls").alias("class"), F.col("name").alias("method"), "desc", "kind").alias("entryPoints"))
+    edges = found.edges.select(F.xxhash64("src_cls", "src_name").alias("key"), F.struct(_ref("src_").alias("from"), _ref("dst_").alias("to"), "resolution", "semantics").alias("callEdges"))
+    groups = found.components.groupBy("component").agg(F.array_sort(F.collect_list(_ref())).alias("members"))
+    groups = groups.select(F.xxhash64("component").alias("key"), F.struct(F.lit("library-test").alias("kind"), "members").alias("libraryTestSccs"))
+    items = classes
+    for table in (points, edges, groups):
+        items = items.unionByName(table, allowMissingColumns=True)
+    items = graph.kept(items)
+    pieces = 1 + items.count() // rows
+    dealt = items.withColumn("piece", F.pmod("key", F.lit(pieces)).cast("int")).repartition(pieces, "piece")
+    tables = ("classes", "entryPoints", "callEdges", "libraryTestSccs")
+    whole = dealt.groupBy("piece").agg(*[F.array_sort(F.collect_list(c)).alias(c) for c in tables])  # what a row is not is null and left out
+    return whole.select(F.lit(build).alias("build"), F.to_json(F.struct(F.lit(build).alias("buildSha"), F.lit(artifact).alias("artifact"), "piece", *tables)).alias("body"))

@@ -50,6 +50,15 @@ def test_assembled_written_and_read_again(spark):
     assert _rows(documents.inventory_components(read), "component", "kind", "ref") == [(0, "library-test", "a/Lib#back()V"), (0, "library-test", "a/LibTest#t()V")]
 
 
+def test_documents_of_a_build_do_not_grow_with_it(spark):
+    found = assembly.assemble(**_facts(spark), timing=assembly.Timing(["a.Lib#*"], []))
+    one, many = (documents.parse_inventories(assembly.documents(found, "b", "app", rows)) for rows in (1000, 2))
+    assert one.count() == 1 and many.count() > 2 and many.where("fault is not null").count() == 0
+    for table in (documents.inventory_classes, documents.inventory_methods, documents.inventory_entry_points, documents.inventory_edges):
+        assert _rows(table(many), *table(one).columns) == _rows(table(one), *table(one).columns)
+    assert _rows(documents.inventory_components(many), "kind", "ref") == _rows(documents.inventory_components(one), "kind", "ref")
+
+
 def test_no_class_and_too_many_timed_methods_are_errors(spark):
     parts = _facts(spark)
     with pytest.raises(ValueError, match="no class"):
