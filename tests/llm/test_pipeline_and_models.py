@@ -111,3 +111,35 @@ def test_pipeline_stages_keep_the_columns_and_the_clean(spark, labelled, tmp_pat
     kept = {r.doc_id for r in spark.read.parquet(f"{tmp_path}/2").collect()}
     assert len(good - kept) <= 4 and not {d for d in kept if 600 <= d < 620}
     assert sizes[1] < sizes[0] and spark.read.parquet(f"{tmp_path}/4").select("doc_id").distinct().count() == sizes[3]
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """3,400 rows of one label, so many that none of them may be left out for being many."""
+    docs = spark.range(3700).selectExpr("id AS doc_id", "if(id < 3400, repeat(concat('word', id, ' '), cast(id % 7 + 1 as int)), concat('#!', id, ' #!')) AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id < 3400 as int) AS quality")
+    model = quality.train(docs, labels, F.lit(True))
+    x = np.array([quality.features(r.text) for r in docs.collect()])
+    assert np.allclose(model.mean, x.mean(axis=0), rtol=1e-9) and np.allclose(model.scale, x.std(axis=0) + 1e-6, rtol=1e-6)
+    s = np.sort(model.scaled(x) @ model.w)
+    assert abs(model.threshold - (s[299] + s[300]) / 2) < 1e-9
+
+
+def test_every_labelled_row_is_compared_however_rare_the_other_label(spark):
+    marked = spark.range(1000).selectExpr("id AS doc_id", "cast(id >= 3 as int) AS y", "array(cast(id as double)) AS x")
+    groups = [[(r.y, r.x[0]) for r in g.rows] for g in quality.grouped(marked, {0: 3, 1: 997}, 50).collect()]
+    assert all({y for y, _ in g} == {0, 1} for g in groups) and {x for g in groups for _, x in g} == set(range(1000)) and max(map(len, groups)) < 120
+
+
+def test_compared_sums_are_those_of_all_pairs():
+    rng = np.random.default_rng(4)
+    y, z, w = np.array([0, 1, 1, 0, 1]), rng.normal(size=(5, quality.WIDTH)), rng.normal(size=quality.WIDTH)
+    d = np.array([a - b for a in z[y == 1] for b in z[y == 0]])
+    p = 1 / (1 + np.exp(-d @ w))
+    got = quality._compared(y, z, w)
+    assert got[0] == 6 and np.allclose(got[1:27], (p - 1) @ d) and np.allclose(got[27:].reshape(26, 26), (d.T * (p * (1 - p))) @ d)
+
+
+def test_the_place_of_a_value_is_exact(spark):
+    values = [0.5] * 5 + [1e-300, 3.0, 3.0000000001, 7e9, -2.0] + [float(i) / 7 for i in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "s double")
+    assert [quality.nth(df, k) for k in (0, 1, 6, 1500, 3009)] == [sorted(values)[k] for k in (0, 1, 6, 1500, 3009)]
