@@ -38,13 +38,15 @@ WINDOW, END_ID = 4096, 2
 GRAIN, DEPTH = 64, 3
 #: Documents of a shard, about.
 SHARD = 2_000
+#: Units whose ids a worker keeps: some 100 MB where texts have many distinct words, as several workers share an executor.
+CACHE = 400_000
 
 
 def tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """row, doc_id, n, ids (binary, little-endian unsigned 32-bit): whole texts with the end id."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path, "word"), np.array([end_id], np.uint32).tobytes()
+        enc, end = encoder(path, "word", CACHE), np.array([end_id], np.uint32).tobytes()
         for batch in batches:
             for some in slices(batch, 2):
                 ids = [x.tobytes() + end for x in enc.encode_many(some.column(2).to_pylist())]

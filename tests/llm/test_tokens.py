@@ -103,3 +103,15 @@ def test_shards_follow_the_table(spark):
     pieces = packing.plan(counts, shard=100)
     assert pieces.agg(F.sum("length")).first()[0] == counts.agg(F.sum("n")).first()[0]
     assert pieces.select((F.col("sequence_id") / (1 << 32)).cast("int").alias("s")).distinct().count() == 5
+
+
+def test_packing_keeps_a_bounded_number_of_units(spark):
+    """A worker's memory is cache entries times cores, and the pipeline shares its executor with all stages before."""
+    from livescope.llm import packing
+
+    assert getattr(packing, "CACHE", tokens.CACHE) <= 400_000
+    path = tokens.vocabulary("word_bpe_49k.json")
+    small, texts = tokens.Encoder(path, "word", 40), [" ".join(f"w{i}x{j}" for j in range(9)) for i in range(30)]
+    for t in texts * 2:
+        assert small.encode(t).tolist() == small.whole(t).tolist()
+        assert len(small.known) + len(small.older) <= 40
