@@ -17,13 +17,14 @@ table without rows gives none. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import chain, combinations, groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import mixed
@@ -37,8 +38,10 @@ LANES = 8
 KEYS, MINIMA = 32, 6
 #: Documents of a key compared in one place, about; more are dealt out by pairs of parts.
 CROWD = 4_096
-#: By how much more partners a round proposes than the one before.
-WIDER = 4
+#: Shingles of a part of a key whose documents are compared by their sets; each document counts as some more.
+PART, EACH = 1 << 20, 500
+#: Partners of a document that a task looks at first, and by how much more it looks at in each round.
+PARTNERS, WIDER = 64, 16
 _BLOCK = 1 << 15
 _ODD = np.random.default_rng(SEED).integers(1, 1 << 63, KEYS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -182,39 +185,70 @@ def nearest(wide: np.ndarray, group: np.ndarray, most: int, partners: int) -> tu
     return np.concatenate(a), np.concatenate(b), more
 
 
-_NAMES = ["key", "a", "b", "more"]
-_PAIRS = "key long, a long, b long, more boolean"
+_PAIRS = "key long, a long, b long"
 
 
-def _met(batches: Iterator[pa.RecordBatch], most: int, partners: int) -> Iterator[pa.RecordBatch]:
-    """From (key, rep, group, wide) sorted by key: pairs (a, b) of each key to be verified; without partners those that span what is near."""
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64)]
+def _met(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """From (key, rep, wide) sorted by key: pairs (a, b) of each key that span what is near in it, to be verified."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64)]
     for batch in chain(batches, [None]):
         if batch is not None:
             if not batch.num_rows:
                 continue
-            new = [*(batch.column(i).to_numpy() for i in range(3)), batch.column(3).flatten().to_numpy().view(np.uint64).reshape(-1, LANES)]
+            new = [*(batch.column(i).to_numpy() for i in range(2)), batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, LANES)]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
         # The last key may go on in the next batch.
         ready = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
-        (key, rep, group, wide), held = [x[:ready] for x in held], [x[ready:] for x in held]
+        (key, rep, wide), held = [x[:ready] for x in held], [x[ready:] for x in held]
         first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
         sizes = np.diff(np.append(first, len(key)))
         two = first[sizes == 2]
-        two = two[(np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1) <= most) & (group[two] != group[two + 1])]
-        a, b, more = [two], [two + 1], []
+        two = two[(np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1) <= most) & (rep[two] != rep[two + 1])]
+        a, b = [two], [two + 1]
         for at, size in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            own = slice(at, at + size)
-            x, y, cut = (*spanning(wide[own], most), False) if not partners else nearest(wide[own], group[own], most, partners)
+            x, y = spanning(wide[at : at + size], most)
             a.append(x + at)
             b.append(y + at)
-            more += [key[at]] if cut else []
         a, b = np.concatenate(a), np.concatenate(b)
-        low, high = np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
-        rows = np.unique(np.column_stack([key[a], low, high]), axis=0)
-        nothing = [None] * len(more)
-        columns = [[*rows[:, 0].tolist(), *more], [*rows[:, 1].tolist(), *nothing], [*rows[:, 2].tolist(), *nothing], [False] * len(rows) + [True] * len(more)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n == "more" else pa.int64()) for c, n in zip(columns, _NAMES)], names=_NAMES)
+        rows = np.unique(np.column_stack([key[a], np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], names=["key", "a", "b"])
+
+
+def joining(wide: np.ndarray, group: np.ndarray, sets: list[np.ndarray], most: int, similarity: float) -> list[tuple[int, int]]:
+    """Places (a, b) of texts of different groups, within ``most`` bits and of that Jaccard similarity, enough to join all groups that any such texts join."""
+    now, size = np.unique(group, return_inverse=True)[1], np.array([len(s) for s in sets])
+    shingles, at = np.unique(np.concatenate(sets), return_inverse=True)
+    own, has = np.split(at, np.cumsum(size)[:-1]), np.zeros(len(shingles), bool)
+    out, partners, more = [], PARTNERS, True
+    while more:
+        a, b, more = nearest(wide, now, most, partners)
+        for x, ys in zip(a[(new := np.flatnonzero(np.diff(a, prepend=-1)))].tolist(), np.split(b, new[1:]), strict=False):
+            ys = ys[now[ys] != now[x]]
+            has[own[x]] = True
+            shared = np.array([np.count_nonzero(has[own[y]]) for y in ys.tolist()], np.int64)
+            has[own[x]] = False
+            for y in ys[shared >= similarity * (size[x] + size[ys] - shared)].tolist():
+                if now[y] != now[x]:
+                    out.append((x, y))
+                    now[now == now[y]] = now[x]
+        partners *= WIDER
+    return out
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """The rows of batches of (key, rep, group, wide, set)."""
+    for batch in batches:
+        key, rep, group = (batch.column(i).to_pylist() for i in range(3))
+        yield from zip(key, rep, group, *(batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4)), strict=True)
+
+
+def _joined(batches: Iterator[pa.RecordBatch], most: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """From (key, rep, group, wide, set) sorted by key: similar pairs (a, b) that join the groups of each key."""
+    for _, own in groupby(_rows(batches), key=itemgetter(0)):
+        _, rep, group, wide, sets = zip(*own, strict=True)
+        found = joining(np.array(wide).view(np.uint64), np.array(group), list(sets), most, similarity) if len(set(group)) > 1 else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([rep[x] for x, _ in found], pa.int64()), pa.array([rep[y] for _, y in found], pa.int64())], names=["a", "b"])
 
 
 def farthest(similarity: float) -> int:
@@ -226,16 +260,31 @@ def farthest(similarity: float) -> int:
     return int(np.ceil(64 * LANES * p + 2.6 * np.sqrt(64 * LANES * p * (1 - p))))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
-    """pairs(a, b) with similar: whether their sets of shingles have that Jaccard similarity. Only documents in pairs are cut again."""
+def _sets(asked: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """rid, set: the distinct shingles of each text of the documents in asked(rid)."""
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts], dtype=object)
 
-    asked = stored(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct(), "asked")
     own = docs.select(id_of(docs, doc_id).alias("rid"), text_of(docs, text).alias("text")).join(asked, "rid", "left_semi").distinct()
-    sets = stored(own.select("rid", shingles("text").alias("set")), "shingle-sets")
+    return stored(own.select("rid", shingles("text").alias("set")), "shingle-sets")
+
+
+def _parts(rows: DataFrame, weight: Column, most: int) -> DataFrame:
+    """rows with keys of over ``most`` dealt into parts: each two parts of a key meet under a key of their own."""
+    crowds = rows.groupBy("key").agg(F.sum(weight).alias("n")).where(F.col("n") > most)
+    crowds = stored(crowds.select("key", F.ceil(F.col("n") / most).alias("parts")), "crowded-keys")
+    part, other = F.pmod(F.xxhash64("rep"), F.col("parts")), F.col("other")
+    spread = rows.join(crowds, "key", "left").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
+    place = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least(part, other), F.greatest(part, other)))
+    return spread.withColumn("key", place).drop("parts", "other")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
+    """pairs(a, b) with similar: whether their sets of shingles have that Jaccard similarity. Only documents in pairs are cut again."""
+    asked = stored(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct(), "asked")
+    sets = _sets(asked, docs, doc_id, text, width)
     both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("rid").alias("b"), F.col("set").alias("set_b")), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     enough = shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared)
@@ -250,8 +299,8 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stays selective. So documents meet on 64-bit keys made of their smallest shingles, and
     bring all bits of all lanes with them. Fingerprints only sort out pairs that are too far apart;
     what is left is verified exactly. First a key proposes pairs that span all that is near in it: if
-    they hold, the rest of the key's pairs adds nothing. Keys where one did not hold propose for each
-    document its nearest ones of larger groups, more of them each round, until all are decided.
+    they hold, the rest of the key's pairs adds nothing. Where one did not hold, the documents of the key meet
+    again with their sets, and a task gives only similar pairs that join groups, fewer than it has documents.
     In a crowded key documents are dealt into parts, and each two parts are compared in a place of their own.
     Texts with equal sets of shingles are one from the start.
     """
@@ -265,33 +314,24 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marked = stored(marked.select("rid", "marks.wide", "marks.keys", "marks.same"), "wide-simhash")
     reps = stored(marked.groupBy("wide", "same").agg(F.min("rid").alias("rep"), F.first("keys").alias("keys")), "wide-distinct")
     dealt = reps.select(F.explode("keys").alias("key"), "rep", "wide")
-    crowds = stored(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key", F.ceil(F.col("n") / CROWD).alias("parts")), "crowded-keys")
-    part, other = F.pmod(F.xxhash64("rep"), F.col("parts")), F.col("other")
-    spread = dealt.join(crowds, "key", "left").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
-    place = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least(part, other), F.greatest(part, other)))
-    placed = spread.select(place.alias("key"), "rep", "wide")
-
-    def proposed(rows: DataFrame, partners: int) -> DataFrame:
-        most = farthest(similarity)
-        met = rows.select("key", "rep", "group", "wide").repartition("key").sortWithinPartitions("key")
-        return stored(met.mapInArrow(lambda it: _met(it, most, partners), _PAIRS), "met")
-
-    met = proposed(placed.withColumn("group", F.col("rep")), 0)
-    pairs = _verified(met.where("not more").select("a", "b").distinct(), docs, doc_id, text, width, similarity)
-    roots = components(pairs.where("similar"))
+    placed, most = _parts(dealt, F.lit(1), CROWD), farthest(similarity)
+    met = stored(placed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _met(it, most), _PAIRS), "met")
+    pairs = _verified(met.select("a", "b").distinct(), docs, doc_id, text, width, similarity)
+    links = pairs.where("similar").select("a", "b")
+    roots = components(links)
     again = stored(met.join(pairs.where("not similar"), ["a", "b"], "left_semi").select("key").distinct(), "open-keys")
-    partners = WIDER
-    while not again.isEmpty():
-        group = F.coalesce("root", "rep").alias("group")
-        rows = placed.join(again, "key", "left_semi").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", group, "wide")
-        met = proposed(rows, partners)
-        new = stored(met.where("not more").select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "new-pairs")
-        decided = _verified(new, docs, doc_id, text, width, similarity)
-        pairs = stored(pairs.unionByName(decided), "pairs")
-        if not decided.where("similar").isEmpty():
-            roots = components(pairs.where("similar"))
-        again = stored(met.where("more").select("key").distinct(), "open-keys")
-        partners *= WIDER
+    rows = placed.join(again, "key", "left_semi").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("group"), "wide")
+    # Keys whose documents are all of one group by now have nothing left to join.
+    several = rows.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("last")).where("least < last").select("key")
+    rows = stored(rows.join(several, "key", "left_semi"), "open-rows")
+    if not rows.isEmpty():
+        sets = _sets(rows.select(F.col("rep").alias("rid")).distinct(), docs, doc_id, text, width).withColumnRenamed("rid", "rep")
+        sizes = sets.groupBy("rep").agg(F.sum(F.size("set") + EACH).alias("weight"))
+        parts = _parts(rows.join(sizes, "rep"), F.col("weight"), PART).join(sets, "rep").select("key", "rep", "group", "wide", "set")
+        found = parts.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _joined(it, most, similarity), "a long, b long")
+        found = stored(found.distinct(), "joining-pairs")
+        if not found.isEmpty():
+            roots = components(links.union(found))
     named = stored(reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("wide", "same", F.coalesce("root", "rep").alias("root")), "wide-roots")
     return marked.select("rid", "wide", "same").join(named, ["wide", "same"]).select("rid", "root")
 

@@ -97,3 +97,45 @@ def test_ids_that_repeat_and_texts_without_words(spark):
     ship_package(spark)
     found = {r.rid: r.root for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[2] == 1 and found[4] == found[5] == 3 and found[7] == 6 and found[(1 << 63) - 1] == 1
+
+
+def test_a_crowd_just_below_the_threshold_makes_no_more_rows_than_keys(spark, monkeypatch):
+    texts, pairs = _crowd(340, 60, 150, 10, seed=6, changes=3)
+    made, stored = {}, simhash.stored
+
+    def counted(df, name):
+        found = stored(df, name)
+        made[name] = max(made.get(name, 0), found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    root = _roots(spark, texts, pairs)
+    assert [(a, b) for a, b in pairs if root[a] != root[b]] == []
+    assert {k: n for k, n in made.items() if n > simhash.KEYS * len(texts)} == {}
+
+
+def test_parts_of_open_keys_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", 20_000)
+    texts, pairs = _crowd(340, 60, 120, 25, seed=5, changes=3)
+    root = _roots(spark, texts, pairs)
+    later = dict((b, a) for a, b in pairs)
+    assert [i for i in texts if root[i] != later.get(i, i)] == []
+
+
+def test_joining_pairs_are_those_of_similar_sets(monkeypatch):
+    monkeypatch.setattr(simhash, "PARTNERS", 2)
+    rng = random.Random(3)
+    base = rng.sample(range(10**9), 100)
+    sets = [np.unique(base[: 100 - k] + rng.sample(range(10**9), k)) for k in [rng.randrange(25) for _ in range(60)]]
+    group = np.arange(60) // 3
+    got = simhash.joining(np.zeros((60, simhash.LANES), np.uint64), group, sets, 5, 0.8)
+
+    def joined(links):
+        root = group.copy()
+        for a, b in links:
+            root[root == root[a]] = root[b]
+        return {tuple(np.flatnonzero(root == r)) for r in root}
+
+    similar = [(a, b) for a in range(60) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    assert set(got) <= {(a, b) for p in similar for a, b in (p, p[::-1])} and len(got) < 20
+    assert joined(got) == joined(similar) and len(joined(got)) > 1
