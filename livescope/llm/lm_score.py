@@ -13,6 +13,9 @@ each in a compressed shuffle, 3.2 GB one way, against six here: hashes are sorte
 their differences are stored, and counts take the bytes they need. There are never more
 lists than there would be rows, as empty ones are left out.
 
+Texts are shuffled in packs too, one for each batch that a task has some 32 MB of texts of:
+compressed together they take under two thirds of what they take as rows.
+
 Counts are added up before they are shuffled, so the most frequent n-gram is one entry a
 batch. Buckets and batches have about ``batch_bytes`` of text to them and their number
 follows the input.
@@ -28,6 +31,9 @@ without rows gives none; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,10 +46,41 @@ from .common import documents, stored, text_of
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 #: Bytes of text of a batch; also of the n-grams of a bucket.
 BATCH_BYTES = 16 << 20
+#: Bytes of texts that a task holds before it packs them by batch.
+PACK_BYTES = 32 << 20
+_PACK = "batch long, doc_ids array<long>, sizes array<int>, texts binary"
 _ASK = "bucket long, batch long, gram int, n int, hashes binary, counts binary"
 _ANSWER = "batch long, gram int, bucket long, n int, totals binary"
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (batch, doc_id, text): one row for each batch, with its texts compressed together."""
+    held = []
+    for rows in chain(batches, [None]):
+        held += [rows] if rows is not None and rows.num_rows else []
+        if not held or rows is not None and sum(x.nbytes for x in held) < PACK_BYTES:
+            continue
+        table, held = pa.Table.from_batches(held).sort_by("batch"), []
+        batch, texts = table.column("batch").to_numpy(), [t.encode() for t in table.column("text").to_pylist()]
+        first = np.flatnonzero(np.diff(batch, prepend=-1))
+        bounds = np.append(first, len(batch)).astype(np.int32)
+        packs = [pa.compress(b"".join(texts[a:b]), "zstd", asbytes=True) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        ids, sizes = table.column("doc_id").combine_chunks(), pa.array(map(len, texts), pa.int32())
+        columns = [pa.array(batch[first]), pa.ListArray.from_arrays(bounds, ids), pa.ListArray.from_arrays(bounds, sizes), pa.array(packs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["batch", "doc_ids", "sizes", "texts"])
+
+
+def _unpacked(packs: pa.Table) -> pa.Table:
+    """batch, doc_id, text of the packs of one batch."""
+    sizes = [np.array(x, np.int64) for x in packs.column("sizes").to_pylist()]
+    texts = []
+    for own, pack in zip(sizes, packs.column("texts").to_pylist(), strict=True):
+        raw, ends = pa.decompress(pack, int(own.sum()), "zstd", asbytes=True), np.cumsum(own)
+        texts += [raw[a:b].decode() for a, b in zip((ends - own).tolist(), ends.tolist(), strict=True)]
+    ids = pa.array(chain.from_iterable(packs.column("doc_ids").to_pylist()), pa.int64())
+    return pa.table([pa.array(np.repeat(packs.column("batch").to_numpy(), [len(x) for x in sizes])), ids, pa.array(texts, pa.string())], names=["batch", "doc_id", "text"])
+
+
 def _grams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Words of each text; by order, a hash for each word: of the n-gram that ends there, 0 where the text is too short."""
     sizes = np.zeros(len(texts), np.int64)
@@ -162,13 +199,13 @@ def lm_scores(
     base = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // batch_bytes))
-    dealt = base.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
-    asked = dealt.groupBy("batch").applyInArrow(lambda t: _ask(t, order, n), _ASK)
+    dealt = base.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("batch"), "doc_id", "text").mapInArrow(_packed, _PACK)
+    asked = dealt.groupBy("batch").applyInArrow(lambda t: _ask(_unpacked(t), order, n), _ASK)
     answers = asked.groupBy("bucket").applyInArrow(_answer, _ANSWER)
     parts = (
         dealt.groupBy("batch")
         .cogroup(answers.groupBy("batch"))
-        .applyInArrow(lambda a, b: _sum(a, b, order, alpha, min_count), "doc_id long, n_words long, part double, n_alone long, n_backoffs long")
+        .applyInArrow(lambda a, b: _sum(_unpacked(a), b, order, alpha, min_count), "doc_id long, n_words long, part double, n_alone long, n_backoffs long")
     )
     parts = stored(parts, "lm-parts")
     words = parts.agg(F.sum("n_words")).first()[0] or 0

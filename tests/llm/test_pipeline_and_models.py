@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +145,16 @@ def test_the_place_of_a_value_is_exact(spark):
     values = [0.5] * 5 + [1e-300, 3.0, 3.0000000001, 7e9, -2.0] + [float(i) / 7 for i in range(3000)]
     df = spark.createDataFrame([(v,) for v in values], "s double")
     assert [quality.nth(df, k) for k in (0, 1, 6, 1500, 3009)] == [sorted(values)[k] for k in (0, 1, 6, 1500, 3009)]
+
+
+def test_packed_texts_are_the_texts_and_smaller(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(7)) for _ in range(400)]
+    rows = [(i % 3, i if i % 7 else None, " ".join(rng.choices(words, k=rng.randrange(300))) + "é") for i in range(200)] + [(4, 900, "")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[a:b])], names=["batch", "doc_id", "text"]) for a, b in ((0, 90), (90, 201))]
+    monkeypatch.setattr(lm_score, "PACK_BYTES", 60_000)
+    packs = pa.Table.from_batches(lm_score._packed(iter(batches)))
+    got = [tuple(r.values()) for b in (0, 1, 2, 4) for r in lm_score._unpacked(packs.filter(pa.compute.equal(packs.column("batch"), b))).to_pylist()]
+    assert sorted(got, key=str) == sorted(rows, key=str) and packs.num_rows == 7
+    assert sum(map(len, packs.column("texts").to_pylist())) < 0.5 * sum(len(t.encode()) for _, _, t in rows)
+    assert list(lm_score._packed(iter([]))) == []
