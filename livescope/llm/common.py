@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 #: ASCII white space as the contracts have it; the same class as ``bytes.split()``.
 SPACES = r"[\x20\x09-\x0D]+"
 LAST_ID = (1 << 63) - 1
+#: The tables that ``stored_alone`` deletes in the end.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,10 +62,49 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of ``make()``, stored; tables that it stored on the way are deleted once these are written.
+
+    Only for what depends on no such table any more: later plans read the stored rows.
+    """
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        rows = make()
+    finally:
+        _MADE.reset(token)
+    rows, spark = stored(rows, name), rows.sparkSession
+    for path in made:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return rows
+
+
+#: Bits of a bitmap's row, and of all its rows at most (8 MB).
+ROW_BITS, MOST_BITS = 1 << 15, 1 << 26
+
+
+def set_apart(rows: DataFrame, key: Column, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be in found(key), and rows whose key is not: long rows of the second kind need no shuffle.
+
+    The keys' hashes are bits of a bitmap of 8 MB at most, whatever the input; where it gets full, more rows are of the first kind.
+    """
+    bits = min(MOST_BITS, 1 << max(10, (16 * found.count() - 1).bit_length()))
+    slot = lambda column: F.pmod(F.xxhash64(column), F.lit(bits))
+    marks = found.select(slot(F.col("key")).alias("slot")).groupBy(F.floor(F.col("slot") / ROW_BITS).alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % ROW_BITS).alias("marks"))
+    marks = F.broadcast(stored(marks, "marks"))
+    place = slot(key)
+    byte = F.conv(F.hex(F.substring("marks", F.floor(place % ROW_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    same = (F.col("part") == F.floor(place / ROW_BITS)) & (F.getbit(byte, (place % 8).cast("int")) == 1)
+    return rows.join(marks, same, "left_semi"), rows.join(marks, same, "left_anti")
+
+
 #: Python workers live from stage to stage: what one has freed goes back to the system, so that the next finds room.
 _WORKERS = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACES, all_columns, column_of_row, documents, stored, text_of
+from .common import LAST_ID, SPACES, all_columns, column_of_row, documents, id_of, set_apart, stored, stored_alone, text_of
 
 #: A chunk ends after these three character classes, at least 96 characters on;
 #: without such a place within 1024 characters it ends there.
@@ -91,10 +91,11 @@ def exact_dedup(
 
 def first_copies(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs whose document is the first of its equals."""
-    gone = stored(exact_dedup(docs).where("not kept").select("doc_id", "text_sha256").distinct(), "later-copies")
-    own = docs.select(all_columns(docs))
+    gone = stored_alone(lambda: exact_dedup(docs).where("not kept").select("doc_id", "text_sha256").distinct(), "later-copies")
+    rid = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST_ID))
+    asked, others = set_apart(docs.select(all_columns(docs)), rid, gone.select(id_of(gone).alias("key")))
     sha = F.sha2(normalised(F.coalesce(F.col("row.text"), F.lit(""))).cast("binary"), 256)
-    left = own.join(gone, F.col("row.doc_id").eqNullSafe(gone["doc_id"]) & (sha == gone["text_sha256"]), "left_anti")
+    left = asked.join(gone, F.col("row.doc_id").eqNullSafe(gone["doc_id"]) & (sha == gone["text_sha256"]), "left_anti").union(others)
     return left.select(*[column_of_row(c).alias(c) for c in docs.columns])
 
 

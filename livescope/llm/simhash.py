@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import mixed
-from .common import LAST_ID, all_columns, column_of_row, documents, id_of, stored, text_of
+from .common import LAST_ID, all_columns, column_of_row, documents, id_of, set_apart, stored, stored_alone, text_of
 from .components import components
 
 SEED = 42
@@ -338,10 +338,10 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def first_of_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows and columns of docs that reach no smaller doc_id."""
-    gone = stored(similar_groups(docs, width=width, similarity=similarity).where("rid > root").select("rid").distinct(), "later-near-copies")
-    own = docs.select(all_columns(docs))
+    gone = stored_alone(lambda: similar_groups(docs, width=width, similarity=similarity).where("rid > root").select("rid").distinct(), "later-near-copies")
     rid = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST_ID))
-    return own.join(gone, rid == gone["rid"], "left_anti").select(*[column_of_row(c).alias(c) for c in docs.columns])
+    asked, others = set_apart(docs.select(all_columns(docs)), rid, gone.select(F.col("rid").alias("key")))
+    return asked.join(gone, rid == gone["rid"], "left_anti").union(others).select(*[column_of_row(c).alias(c) for c in docs.columns])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import pieces
-from .common import all_columns, column_of_row, documents, id_of, stored, text_of
+from .common import LAST_ID, all_columns, column_of_row, documents, id_of, set_apart, stored, stored_alone, text_of
 
 GRAM = 8
 #: Cells of a row of the sketch for each piece, at least.
@@ -200,13 +200,16 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     Texts that lose nothing stay as they are; a document that loses all its words goes.
     """
-    _, spans = repeated_spans(docs, window=window)
-    whole = docs.select(id_of(docs).alias("rid"), F.xxhash64(text_of(docs)).alias("th"), text_of(docs).alias("text"), all_columns(docs))
-    cut = _cut(whole.join(_lists(spans), ["rid", "th"], "left")).where("cut.n_removed = 0 or cut.n_removed < cut.n_words")
+    lists = stored_alone(lambda: _lists(repeated_spans(docs, window=window)[1]), "span-lists")
+    rid = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST_ID))
+    asked, others = set_apart(docs.select(all_columns(docs)), rid, lists.select(F.col("rid").alias("key")))
+    text = F.coalesce("row.text", F.lit(""))
+    whole = asked.select(rid.alias("rid"), F.xxhash64(text).alias("th"), text.alias("text"), "row")
+    cut = _cut(whole.join(lists, ["rid", "th"], "left")).where("cut.n_removed = 0 or cut.n_removed < cut.n_words")
     text = F.when(F.col("cut.n_removed") > 0, F.col("cut.kept_text")).otherwise(F.col("row.text"))
     n_chars = F.when(F.col("cut.n_removed") > 0, F.char_length("cut.kept_text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
     made = {"text": text, "n_chars": n_chars}
-    return cut.select(*[made.get(c, column_of_row(c)).alias(c) for c in docs.columns])
+    return cut.select(*[made.get(c, column_of_row(c)).alias(c) for c in docs.columns]).union(others.select(*[column_of_row(c).alias(c) for c in docs.columns]))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 import hashlib
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import xxhash
 from pyspark.sql import functions as F
 
-from livescope.llm import exact_dedup, simhash, substring_dedup
+from livescope.llm import common, exact_dedup, simhash, substring_dedup
 from livescope.llm.components import components
 
 LAST = (1 << 63) - 1
@@ -165,3 +166,23 @@ def test_similar_groups_find_edited_copies_and_leave_the_rest(spark, docs):
     kept = {r.doc_id for r in simhash.first_of_groups(spark.createDataFrame(rows, docs.schema)).collect()}
     assert set(range(150)) <= kept and len([d for d in kept if d >= 1000]) <= 0.1 * edited
     assert simhash.first_of_groups(docs).columns == docs.columns and simhash.first_of_groups(docs.where("false")).count() == 0
+
+
+def test_rows_that_are_set_apart_are_all_rows_once(spark):
+    rows = spark.range(0, 200_000, 1, 4).withColumn("text", F.lit("x"))
+    found = spark.range(0, 200_000, 50).select(F.col("id").alias("key"))
+    asked, others = common.set_apart(rows, F.col("id"), found)
+    a, b = ({r.id for r in x.select("id").collect()} for x in (asked, others))
+    assert not a & b and len(a) + len(b) == 200_000
+    assert set(range(0, 200_000, 50)) <= a and len(a) < 30_000
+    asked, others = common.set_apart(rows, F.col("id"), found.where("key < 0"))
+    assert not asked.count() and others.count() == 200_000
+
+
+def test_a_stage_leaves_only_the_table_that_its_result_reads(spark, docs):
+    folder = Path(common.run_dir(spark).removeprefix("file:"))
+    for stage, left in ((exact_dedup.first_copies, {"later-copies", "marks"}), (simhash.first_of_groups, {"later-near-copies", "marks"}), (substring_dedup.without_repeats, {"span-lists", "marks"})):
+        before = set(folder.iterdir())
+        kept = stage(docs).count()
+        assert {x.name[:-33] for x in set(folder.iterdir()) - before} == left
+        assert 0 < kept <= docs.count()
