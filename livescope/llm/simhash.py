@@ -292,12 +292,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width:
     return stored(both.select("a", "b", enough.alias("similar")).groupBy("a", "b").agg(F.bool_or("similar").alias("similar")), "verified-pairs")
 
 
+def ball_pairs(reps: DataFrame, distance: int = 2) -> DataFrame:
+    """(a, b): of reps(rep, wide), enough pairs for all components of first fingerprints within ``distance`` bits; equal ones go with the first document."""
+    own = reps.select(F.col("wide")[0].alias("fp"), "rep")
+    heads = stored(own.groupBy("fp").agg(F.min("rep").alias("head")), "ball-heads")
+    a, b = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}")) for x in "ab")
+    near = links(heads.select("fp"), distance).join(a, "a").join(b, "b").select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
+    equal = own.join(heads, "fp").select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    return stored(near.union(equal).where("a <> b").distinct(), "ball-pairs")
+
+
+def _apart(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The pairs (key, a, b) whose ends are not in one group of grouped(node, root)."""
+    a, b = (grouped.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    joined = pairs.join(a, "a", "left").join(b, "b", "left")
+    return joined.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("key", "a", "b")
+
+
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """rid, root: the smallest id that each document reaches over pairs of texts whose sets of shingles have that Jaccard similarity or more.
 
-    A pair at similarity 0.8 differs in some 15 bits of 100, too many for balls of a key that
-    stays selective. So documents meet on 64-bit keys made of their smallest shingles, and
-    bring all bits of all lanes with them. Fingerprints only sort out pairs that are too far apart;
+    Balls of the first lane's fingerprints come first: what they link within two bits and its sets confirm is
+    one group from there on. A pair at similarity 0.8 differs in some 15 bits of 100, too many for balls of a key that
+    stays selective. For those, documents meet on 64-bit keys made of their smallest shingles, and
+    bring all bits of all lanes with them; pairs of one group are not asked again. Fingerprints only sort out pairs that are too far apart;
     what is left is verified exactly. First a key proposes pairs that span all that is near in it: if
     they hold, the rest of the key's pairs adds nothing. Where one did not hold, the documents of the key meet
     again with their sets, and a task gives only similar pairs that join groups, fewer than it has documents.
@@ -313,11 +331,14 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marked = docs.select(id_of(docs, doc_id).alias("rid"), marks(text_of(docs, text)).alias("marks"))
     marked = stored(marked.select("rid", "marks.wide", "marks.keys", "marks.same"), "wide-simhash")
     reps = stored(marked.groupBy("wide", "same").agg(F.min("rid").alias("rep"), F.first("keys").alias("keys")), "wide-distinct")
+    balls = _verified(ball_pairs(reps), docs, doc_id, text, width, similarity).where("similar").select("a", "b")
+    grouped = components(balls)
     dealt = reps.select(F.explode("keys").alias("key"), "rep", "wide")
     placed, most = _parts(dealt, F.lit(1), CROWD), farthest(similarity)
-    met = stored(placed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _met(it, most), _PAIRS), "met")
+    met = placed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _met(it, most), _PAIRS)
+    met = stored(_apart(stored(met, "met-on-keys"), grouped), "met")
     pairs = _verified(met.select("a", "b").distinct(), docs, doc_id, text, width, similarity)
-    links = pairs.where("similar").select("a", "b")
+    links = balls.union(pairs.where("similar").select("a", "b"))
     roots = components(links)
     again = stored(met.join(pairs.where("not similar"), ["a", "b"], "left_semi").select("key").distinct(), "open-keys")
     rows = placed.join(again, "key", "left_semi").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("group"), "wide")

@@ -139,3 +139,22 @@ def test_joining_pairs_are_those_of_similar_sets(monkeypatch):
     similar = [(a, b) for a in range(60) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
     assert set(got) <= {(a, b) for p in similar for a, b in (p, p[::-1])} and len(got) < 20
     assert joined(got) == joined(similar) and len(joined(got)) > 1
+
+
+def test_balls_of_fingerprints_link_texts_that_share_no_key(spark, monkeypatch):
+    """One word of some 2,000 differs, so fingerprints do in few bits; keys that never meet leave the balls alone."""
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(10**9)}" for _ in range(2000)] for _ in range(6)]
+    texts = {n: " ".join(words) for n, words in enumerate(base)} | {10 + n: " ".join([*words[:-1], "other"]) for n, words in enumerate(base)}
+    fp = {n: simhash.wide_simhash(np.unique(simhash.shingle_hashes(t, 5)))[0] for n, t in texts.items()}
+    near = {n for n in range(6) if ((fp[n] ^ fp[10 + n]) & (1 << 64) - 1).bit_count() <= 2}
+    monkeypatch.setattr(simhash, "_met", lambda batches, most: iter(()))
+    roots = _roots(spark, texts, [(n, 10 + n) for n in range(6)])
+    assert len(near) >= 4 and all(roots[10 + n] == n for n in near)
+    assert all(roots[n] == n for n in range(6))
+
+
+def test_pairs_that_balls_have_joined_are_not_asked_again(spark):
+    met = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (2, 4, 5), (3, 3, 9)], "key long, a long, b long")
+    grouped = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, root long")
+    assert sorted(tuple(r) for r in simhash._apart(met, grouped).collect()) == [(2, 4, 5), (3, 3, 9)]
