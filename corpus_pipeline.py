@@ -2,7 +2,7 @@
 
 Each stage takes the documents that its predecessor kept, written as Parquet and read
 again, and all but the last return them with the columns of ``documents``, further columns of any
-name included. Near-dedup takes shingles of five words and a Jaccard similarity of 0.8.
+name included. Near-dedup takes shingles of five words and a Jaccard similarity of 0.8; balls of fingerprints come before keys of shingles.
 Stages are written to the application's folder, which is deleted when the driver ends.
 
 Cases: a null text counts as empty in every stage; empty texts are scored like any other, and those that
