@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from livescope.operators import facts, phases, rules, verdict
+from livescope.sources import store
 
 TABLES = "/root/testdata/sf0.01"
 PASSING = {
@@ -123,3 +124,18 @@ def test_the_store_brings_every_case():
     assert {r[0] for r in con.sql(f"SELECT DISTINCT static_reachable FROM ({sql['G5']})").fetchall()} == {True, False, None}
     empty = [name for name, text in sql.items() if not name.startswith("op") and not con.sql(f"SELECT 1 FROM ({text}) LIMIT 1").fetchall()]
     assert not empty  # a query that agrees on nothing says nothing
+
+
+def test_every_part_has_its_calls(spark, tmp_path):
+    spark.range(40).selectExpr("id AS p_partkey", "CAST(id AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    calls = {}
+    for r in store.call_edges(spark, str(tmp_path)).collect():
+        calls.setdefault(r.src, []).append(r.dst)
+    assert {k: len(v) for k, v in calls.items()} == {k: 3 if k % 8 == 1 else 2 for k in range(40)}
+    assert sorted(calls[22]) == [23, 26] and {r.src for r in store.thinned_call_edges(spark, str(tmp_path)).collect()} == set(range(40)) - {5, 22, 39}
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="needs the given tables")
+def test_blast_radius_over_the_calls_of_every_part(spark):
+    shown = {(r.callee_cls, r.callee_idx): r.shown for r in entry.queries()["K9"](spark, TABLES).collect()}
+    assert shown["p.Brand#24.LARGE", 6] == "m239(1739)V=DEAD_CANDIDATE"  # 1739 calls others and nothing calls it: UNKNOWN where the graph leaves out its calls
